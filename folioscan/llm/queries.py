@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import chat, line_dedup, packing, quality_rules, sharding, token_store
 from .common import read_table
 
 
@@ -20,13 +21,107 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, end_id=0)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_spread_lines(docs, min_sites=10).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    digest = docs.select("doc_id", "lang", "source", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    dims = [sharding.prefix_number(F.col("lang")), sharding.prefix_number(F.col("source")), F.col("size")]
+    rows = sharding.shard_by_curve(digest, dims, n_shards=8, tie=F.struct("doc_id", "text_crc32"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "lang", "source")
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op9_token_tables)}
+    every = (op1_best_fit_packing, op3_line_dedup, op4_quality_rules, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables)
+    return {f.__name__: f for f in every}
+
+
+_ASCII_LINE = r"translate(regexp_replace({x}, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, source, x, pos, {_ASCII_LINE.format(x="x")} AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), spread AS (
+  SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT l.doc_id, l.pos, l.x, l.line, s.first_id IS NOT NULL AND s.first_id <> l.doc_id AS gone
+  FROM lines l LEFT JOIN spread s ON l.line = s.line AND l.line <> ''
+), cut AS (
+  SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, length(text)::BIGINT AS n_chars_left, md5(text) AS text_md5 FROM cut
+"""
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS words FROM documents
+), lines AS (
+  SELECT doc_id, source, text, x, {_ASCII_LINE.format(x="x")} AS line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d)
+), dup AS (
+  SELECT doc_id, (count(*) - count(DISTINCT x))::BIGINT AS n_dup_lines FROM lines WHERE line <> '' GROUP BY doc_id
+), hosts AS (
+  SELECT source, count(DISTINCT text) AS host_docs FROM lines WHERE line <> '' GROUP BY source
+), frequent AS (
+  SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS docs FROM lines WHERE line <> '' GROUP BY source, line) JOIN hosts USING (source)
+  WHERE docs > 10 AND docs > host_docs * 0.1
+), lost AS (
+  SELECT doc_id, sum(len(regexp_extract_all(line, '[^ \\t-\\r]+')))::BIGINT AS lost_words FROM lines JOIN frequent USING (source, line) GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, words[i:i + 7] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 9)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM win) WHERE n >= 2
+), repeats AS (
+  SELECT doc_id, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ \\t-\\r]+', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, NOT base_failed AND lost_words <= n_words * 0.7 AS kept FROM judged
+"""
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role AS speaker,
+         replace(replace(text, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>') AS text
+  FROM conversations
+), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+), s AS (
+  SELECT t.conv_id, perspective, turn, speaker, speaker = perspective AS masked, t.text AS body,
+         '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p USING (conv_id)
+), g AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM s
+), w AS (
+  SELECT *, row_number() OVER o - 1 AS position, coalesce(sum(length(segment)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM g WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, body)
+)
+SELECT conv_id, perspective, turn, position, speaker, segment, start, (start + length(segment))::BIGINT AS "end",
+       (start + length(head))::BIGINT AS content_start, (start + length(segment) - 1)::BIGINT AS content_end, masked
+FROM w
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_chat_perspectives": OP7_SQL}
