@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, quality_rules, sharding, token_store
+from . import chat, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, token_store
 from .common import read_table
 
 
@@ -30,6 +30,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(read_table(spark, sf_dir, "conversations"))
 
@@ -47,7 +55,7 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_best_fit_packing, op3_line_dedup, op4_quality_rules, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables)
+    every = (op1_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_quality_classifier, op6_ngram_join, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables)
     return {f.__name__: f for f in every}
 
 
