@@ -313,7 +313,8 @@ def read_store(manifest: DataFrame) -> DataFrame:
                         yield _batch(rows)
 
     files = manifest.select("path", "offset")
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number given is kept, so that files are read side by side however small the manifest is
+    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
