@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, token_store
+from . import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding, token_store
 from .common import read_table
 
 
@@ -21,6 +21,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, end_id=0)
 
 
+#: A key for tests and examples; a deployment passes its own secret.
+PII_KEY = "example-key"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_spread_lines(docs, min_sites=10).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
@@ -54,8 +62,12 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tie")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_best_fit_packing, op3_line_dedup, op4_quality_rules, op5_quality_classifier, op6_ngram_join, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables)
+    every = (op1_best_fit_packing, op2_pii_pseudonyms, op3_line_dedup, op4_quality_rules, op5_quality_classifier, op6_ngram_join, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables, op10_decontamination)
     return {f.__name__: f for f in every}
 
 
