@@ -55,11 +55,11 @@ def quantised(df: DataFrame, dims: list[Column], bits: int) -> Column:
     """
     n = 1 << bits
     cuts = df.select(*[F.percentile_approx(d, [k / n for k in range(1, n)], 10_000).alias(f"d{i}") for i, d in enumerate(dims)]).first()
-    cells = []
-    for i, d in enumerate(dims):
-        own = sorted(set(cuts[i] or []))
-        cells.append(F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda c, d=d: c < d)) if own else F.lit(0))
-    return F.array(*cells)
+
+    def cell(value: Column, own: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda cut: cut < value)) if own else F.lit(0)
+
+    return F.array(*[cell(d, sorted(set(cuts[i] or []))) for i, d in enumerate(dims)])
 
 
 def shard_by_curve(df: DataFrame, dims: list[Column], n_shards: int, bits: int = 4, tie: Column | None = None) -> DataFrame:
