@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are word n-grams of the test items. How rare one is, is counted over all
-documents; the rarest of each stretch of an item, and the rarer half of all
-its n-grams, are its seeds, so no item is without some, however often it has
-leaked. Where a document holds a seed, the words around it are aligned with
+documents. An item's seeds are the n-grams that few documents hold, or not many
+more than hold the item's usual ones, and the rarest of each of its stretches:
+so no item is without seeds, however often it has leaked, and copies with
+edits keep some. Where a document holds a seed, the words around it are aligned with
 the item; the alignment's score, as a share of the item's own, finds exact,
 edited and paraphrased copies.
 
@@ -22,6 +23,8 @@ from .ngram_join import _MIX, _U, _hashes, _mixed
 #: Characters of test items that are held on the driver and sent to the executors at a time.
 BLOCK_CHARS = 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram in so many documents is rare; or in so many times as many as the item's n-grams are in by median.
+RARE, RARE_FACTOR = 10, 3
 _TABLE = bytes(ord(" ") if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
 
@@ -128,8 +131,12 @@ def _find_block(texts: DataFrame, items: list, n: int, min_score: float, stretch
         k = min(n, len(h))
         own = grams(h, k)
         freq = np.array([df.get(int(g), 0) for g in own.astype(np.int64, casting="unsafe")])
-        order = np.argsort(freq, kind="stable")
-        chosen = set(order[: (len(own) + 1) // 2].tolist()) | {s + int(freq[s : s + stretch].argmin()) for s in range(0, len(own), stretch)}
+        present = np.flatnonzero(freq)
+        if not len(present):
+            continue
+        limit = max(RARE, RARE_FACTOR * float(np.median(freq[present])))
+        some = np.where(freq > 0, freq, np.iinfo(np.int64).max)
+        chosen = set(present[freq[present] <= limit].tolist()) | {s + int(some[s : s + stretch].argmin()) for s in range(0, len(own), stretch) if freq[s : s + stretch].any()}
         for q in chosen:
             seeds[k].setdefault(int(own[q]), []).append((at, q))
 
