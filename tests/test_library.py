@@ -7,13 +7,8 @@ from folioscan import library
 from folioscan.schemas import DOCUMENT, TOMBSTONE
 from folioscan.sources import article_xml, readers, writers
 from folioscan.streaming import sync
+from tests_support import JATS
 
-JATS = """<article xmlns:x="http://www.w3.org/1999/xlink" xml:lang="en"><front><article-meta><article-id pub-id-type="pmc">{n}</article-id><article-id pub-id-type="pmid">{n}1</article-id>
-<title-group><article-title>Title {n}</article-title></title-group><pub-date><year>2020</year></pub-date>
-<permissions><license x:href="https://creativecommons.org/licenses/by/4.0/">Free</license></permissions>
-<abstract><title>Goal</title><p>Short <i>abstract</i> text.</p></abstract></article-meta></front>
-<body><sec id="s1"><title>Intro</title><p>Before <bold>x</bold> mid<fig id="f1"><caption><p>Figure text.</p></caption></fig> after.</p>
-<list><list-item><p>{body}</p></list-item></list><table-wrap><table><tr><td>1</td><td>2</td></tr></table></table-wrap></sec><sec id="s1"><p>Again.</p></sec></body><back><p>Refs.</p></back></article>"""
 PUBMED = """<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>77</PMID><Article><ArticleTitle>A title</ArticleTitle><Abstract><AbstractText Label="AIM">One.</AbstractText><AbstractText>Two.</AbstractText></Abstract>
 <Language>eng</Language><Journal><JournalIssue><PubDate><MedlineDate>1999 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal></Article></MedlineCitation>
 <PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/x</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>"""
