@@ -13,9 +13,12 @@ A document's set is its distinct word n-grams, as 64-bit hashes.
   shares one. Some more first-level parts than needed let nearly all sets do
   without signatures of empty subsets; the few others emit them.
 * Equal sets are one node, which stands for all its documents.
-* Nodes that share a signature, however indirectly, form a cluster; a cluster's
-  sets are compared exactly, in tasks of bounded size, for a spanning forest
-  of its links.
+* Among the nodes of a signature, pairs whose sizes or parity sketches rule a
+  link out are left aside. A sketch has a bit for each hash bucket, the parity
+  of the set's elements there; sketches differ in no more bits than sets in
+  elements, so no link is lost.
+* What is left joins nodes to clusters; a cluster's sets are compared exactly,
+  in tasks of bounded size, for a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .components import components
 MEMO_WORDS = 500_000
 #: Elements of the sets that one comparing task takes.
 TASK_ELEMENTS = 1 << 20
+#: Nodes of one signature that one filtering task takes.
+TASK_NODES = 50_000
 #: Candidate documents up to which their ids (16 bytes each) are broadcast to the text scan; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
 
@@ -148,6 +153,72 @@ class Bands:
         return np.concatenate(out).astype(np.int64, casting="unsafe") if out else np.zeros(0, dtype=np.int64)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of about as many hash buckets as there are elements (64 to 4,096), as bits."""
+    n = 1 << min(12, max(6, int(len(own)).bit_length()))
+    return np.packbits(np.bincount((own & _U(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, the shortest there is, as rows of 64-bit words: buckets that become one add up."""
+    size = min(map(len, sketches))
+    out = np.zeros((len(sketches), size // 8), dtype=_U)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, dtype=_U).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def plausible(sizes: np.ndarray, sketches: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and sketches leave possible, as (member, first member found)."""
+    bits = folded(sketches)
+    left = np.arange(len(sizes))
+    edges = []
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        queue = [first]
+        while queue and len(left):
+            u = queue.pop()
+            apart = np.bitwise_count(bits[left] ^ bits[u]).sum(axis=1, dtype=np.int64)
+            near = (apart * (den + num) <= (den - num) * (sizes[left] + sizes[u])) & (den * np.minimum(sizes[left], sizes[u]) >= num * np.maximum(sizes[left], sizes[u]))
+            if near.any():
+                found = left[near].tolist()
+                edges += [(v, first) for v in found]
+                queue += found
+                left = left[~near]
+    return edges
+
+
+def _dealt(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """Deals the nodes of each group to tasks: one task for a group of one block, else one for each two blocks.
+
+    ``blocks`` has each group's number of blocks. Returns node and task.
+    """
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
+    every = rows.join(blocks, group).withColumn("block", block).select("node", group, "block", F.explode(partners).alias("other"))
+    return every.select("node", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+
+
+def _by_task(batches, solve):
+    """Edges of each task's rows (task, node, size, data), which come sorted by task."""
+    task, held = None, []
+
+    def done():
+        pairs = solve([h[1] for h in held], [h[2] for h in held]) if len(held) > 1 else []
+        return [held[a][0] for a, _ in pairs], [held[b][0] for _, b in pairs]
+
+    for batch in batches:
+        out = ([], [])
+        for key, node, size, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if key != task:
+                for x, y in zip(out, done(), strict=True):
+                    x.extend(y)
+                task, held = key, []
+            held.append((node, size, data))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], names=["u", "v"])
+
+
 def forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``sets``: (member, first member found), by exact intersection sizes.
 
@@ -207,7 +278,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def sized(batches):
         for batch in batches:
             own = [shingles(t.as_py(), n) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([node_of(s) if len(s) else None for s in own], pa.int64())], names=["id", "tie", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([sketch(s) if len(s) else None for s in own], pa.binary())],
+                names=["id", "tie", "n_shingles", "node", "sketch"],
+            )
 
     def signed(batches):
         bands = Bands(num, den)
@@ -229,50 +303,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             own = [shingles(t.as_py(), n) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "elements"])
 
-    def compared(batches):
-        """Rows come sorted by task."""
-        task, nodes, sets = None, [], []
+    def filtered(batches):
+        return _by_task(batches, lambda sizes, data: plausible(np.array(sizes), data, num, den))
 
-        def done():
-            pairs = forest(sets, num, den)
-            return [nodes[a] for a, _ in pairs], [nodes[b] for _, b in pairs]
+    def compared(batches):
+        return _by_task(batches, lambda _, data: forest([np.frombuffer(d, dtype=_U) for d in data], num, den))
 
-        for batch in batches:
-            out = ([], [])
-            for key, node, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if key != task:
-                    for x, y in zip(out, done(), strict=True):
-                        x.extend(y)
-                    task, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(data, dtype=_U))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done()], names=["u", "v"])
-
-    members = materialise(source.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(sized, f"id {kind}, tie long, n_shingles long, node long"), "sets")
+    members = materialise(source.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(sized, f"id {kind}, tie long, n_shingles long, node long, sketch binary"), "sets")
     group = Window.partitionBy("sig")
-    shared = source.select("text").mapInArrow(signed, "sig long, node long").select("node", F.min("node").over(group).alias("least"), F.max("node").over(group).alias("most"))
-    candidates = materialise(shared.where("least < most and node <> least").select("node", "least").distinct(), "candidates")
-    clusters = materialise(components(candidates.select(F.col("node").alias("u"), F.col("least").alias("v"))), "clusters")
-    first = members.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("size"), F.min(F.struct("id", "tie")).alias("copy"))
-    chosen = materialise(clusters.join(first, "node").select("node", "root", "size", F.col("copy.id").alias("c_id"), F.col("copy.tie").alias("c_tie")), "chosen")
-    weights = chosen.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(TASK_ELEMENTS)).cast("int").alias("blocks"))
+    shared = source.select("text").mapInArrow(signed, "sig long, node long").select("sig", "node", F.min("node").over(group).alias("least"), F.max("node").over(group).alias("most"))
+    candidates = materialise(shared.where("least < most").select("sig", "node").distinct(), "candidates")
+    first = materialise(members.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n_shingles").alias("size"), F.min(F.struct("id", "tie")).alias("copy"), F.min("sketch").alias("sketch")), "nodes")
+    of_sig = candidates.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(TASK_NODES)).cast("int").alias("blocks"))
+    sketched = _dealt(candidates, "sig", of_sig).join(first.select("node", "size", "sketch"), "node").select("task", "node", "size", "sketch")
+    possible = sketched.repartition("task").sortWithinPartitions("task", "node").mapInArrow(filtered, "u long, v long")
+    chosen = materialise(components(possible).join(first, "node").select("node", "root", "size", F.col("copy.id").alias("c_id"), F.col("copy.tie").alias("c_tie")), "chosen")
     ids = chosen.select("node", "c_id", "c_tie")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = source.join(ids, source["id"].eqNullSafe(ids["c_id"]) & (F.xxhash64("text") == ids["c_tie"])).select("node", "text")
-    sets = texts.mapInArrow(with_sets, "node long, elements binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # a cluster of several blocks is compared block by block, each with each; one of a single block in one task
-    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-    tasks = (
-        chosen.select("node", "root").join(weights, "root").withColumn("block", block)
-        .select("node", "root", "block", F.explode(partners).alias("other"))
-        .select("node", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
-    )
-    dealt = tasks.join(sets, "node").select("task", "node", "elements")
+    sets = texts.mapInArrow(with_sets, "node long, elements binary").dropDuplicates(["node"])
+    weights = chosen.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(TASK_ELEMENTS)).cast("int").alias("blocks"))
+    dealt = _dealt(chosen.select("node", "root"), "root", weights).join(sets, "node").select("task", "node", F.lit(0).alias("size"), "elements")
     links = dealt.repartition("task").sortWithinPartitions("task", "node").mapInArrow(compared, "u long, v long")
-    classes = components(links.distinct())
-    reached = first.join(classes, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    classes = components(links)
+    reached = first.select("node", "first_id").join(classes, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     labels = reached.join(reached.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     out = members.join(labels, "node", "left")
     return out.select(F.col("id").alias(id_col), "tie", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
