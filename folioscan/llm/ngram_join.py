@@ -74,7 +74,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         return np.zeros(0, dtype=_U)
     h = np.fromiter(map(_hashes.__getitem__, words), dtype=_U, count=len(words))
     size = min(n, len(h))
-    total = np.full(len(h) - size + 1, _MIX[0] * _U(size) if size < n else _U(0), dtype=_U)
+    total = np.full(len(h) - size + 1, _U(int(_MIX[0]) * size % (1 << 64)) if size < n else _U(0), dtype=_U)
     for k in range(size):
         total = (total + h[k : len(h) - size + 1 + k]) * _MIX[3]
         total ^= total >> _U(29)
