@@ -118,3 +118,14 @@ def select_candidates(candidates: DataFrame, fetched: DataFrame, target: int) ->
     status = F.when(F.col("excluded").isNotNull(), "excluded").when(chosen, "selected").otherwise("not_needed")
     reason = F.coalesce("excluded", F.when(chosen, "english_nonempty_abstract").otherwise("eligible_after_target_reached"))
     return place.select("pmid", "ord", status.alias("status"), reason.alias("reason"), F.greatest(F.coalesce("records", F.lit(1)) - 1, F.lit(0)).alias("duplicate_records"), F.coalesce("r.languages", F.array().cast("array<string>")).alias("languages"))
+
+
+def publish(documents: DataFrame, deleted: DataFrame, snapshot: DataFrame, now: str = "") -> Change:
+    """Puts a snapshot's documents into the library: they replace those of the same identifier and lift its tombstones."""
+    fresh = snapshot.select(*documents.columns)
+    known = documents.select("pmcid", F.sha2(F.to_json(F.struct(*documents.columns)), 256).alias("old"))
+    marked = fresh.withColumn("new", F.sha2(F.to_json(F.struct(*documents.columns)), 256)).join(known, "pmcid", "left")
+    status = F.when(F.col("old").isNull(), "imported").otherwise("updated")
+    log = _manifest(marked.where("old IS NULL OR old <> new"), status=status, reason=F.lit("published from a snapshot"), imported_at=F.lit(now))
+    rest = documents.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*documents.columns)
+    return Change(rest.unionByName(fresh), deleted.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*deleted.columns), log)

@@ -82,3 +82,20 @@ def status_counts(rows: DataFrame, status_col: str = "status") -> DataFrame:
 def only_in(left: DataFrame, right: DataFrame, col: str = "term") -> DataFrame:
     """Distinct values of ``left`` that ``right`` lacks."""
     return left.select(col).distinct().join(right.select(col).distinct(), col, "left_anti")
+
+
+def timings(rows: DataFrame, by: list[str], col: str = "ms") -> DataFrame:
+    """Samples, median and 95th percentile of durations; the latter is the sample at place int(0.95 n), counted from 1."""
+    sorted_values = F.sort_array(F.collect_list(col))
+    g = rows.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.expr(f"percentile(`{col}`, 0.5)").alias("median"), sorted_values.alias("v"))
+    return g.select(*by, "samples", "median", F.element_at("v", F.greatest(F.lit(1), F.floor(F.col("samples") * 0.95)).cast("int")).alias("p95"))
+
+
+def term_contributions(index: Index, terms: DataFrame, documents: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """What each term adds to the cosine of given (query, doc) pairs: query, doc, term, tf, df, idf, contribution."""
+    weighted = terms.select(id_col, "term").distinct().join(index.idf, "term")
+    q_norm = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("q_norm"))
+    pairs = documents.select(id_col, index.doc_col).distinct().join(weighted, id_col).join(q_norm, id_col).join(index.norms, index.doc_col)
+    hits = pairs.join(index.postings.select("term", index.doc_col, "tf"), ["term", index.doc_col], "left")
+    part = F.when(F.col("tf").isNotNull(), (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf") * F.col("idf") / (F.col("q_norm") * F.col("norm"))).otherwise(F.lit(0.0))
+    return hits.select(id_col, index.doc_col, "term", F.coalesce("tf", F.lit(0)).alias("tf"), "df", "idf", part.alias("contribution"))

@@ -177,3 +177,11 @@ def validated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     checked = docs.withColumn("__n", F.count(F.lit(1)).over(by))
     bad = F.when(~F.coalesce(F.col(id_col).cast("string").rlike("^[1-9][0-9]*$"), F.lit(False)), F.lit("invalid identifier")).when(F.col("__n") > 1, F.lit("duplicate identifier")).when(~F.coalesce(F.col(text_col).rlike("(?U)[^\\s\\x1c-\\x1f]"), F.lit(False)), F.lit("blank text"))
     return checked.where(F.when(bad.isNotNull(), F.raise_error(F.concat(bad, F.lit(": "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True))).drop("__n")
+
+
+def curve_points(fit_rows: DataFrame, keys: list[str], samples: int = 161) -> DataFrame:
+    """Points of the fitted lines at about ``samples`` ranks, evenly spaced in the logarithm: keys, rank, cf."""
+    step = (F.log10("rank_end") - F.log10("rank_start")) / (samples - 1)
+    ranks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.round(F.pow(F.lit(10.0), F.log10("rank_start") + step * i)).cast("long")))
+    rows = fit_rows.where(F.col("slope").isNotNull()).select(*keys, "slope", "intercept", F.explode(ranks).alias("rank"))
+    return rows.select(*keys, "rank", F.pow(F.lit(10.0), F.col("intercept") + F.col("slope") * F.log10("rank")).alias("cf"))
