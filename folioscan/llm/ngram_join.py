@@ -39,6 +39,8 @@ from .components import components
 MEMO_WORDS = 500_000
 #: Elements of the sets that one comparing task takes.
 TASK_ELEMENTS = 1 << 20
+#: Sets that a task remembers having signed; beyond it, copies are signed again.
+SEEN_NODES = 200_000
 #: Nodes of one signature that one filtering task takes.
 TASK_NODES = 50_000
 #: Candidate documents up to which their ids (16 bytes each) are broadcast to the text scan; beyond, a shuffle join.
@@ -284,13 +286,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             )
 
     def signed(batches):
-        bands = Bands(num, den)
+        bands, seen = Bands(num, den), set()
         for batch in batches:
             nodes, found, total = [], [], 0
             for t in batch.column(0):
                 own = shingles(t.as_py(), n)
+                if not len(own) or (node := node_of(own)) in seen:
+                    continue
+                # copies in a task say nothing new, so a large group of them is a few rows a task
+                if len(seen) >= SEEN_NODES:
+                    seen.clear()
+                seen.add(node)
                 found.append(bands.signatures(own))
-                nodes.append(np.full(len(found[-1]), node_of(own) if len(own) else 0, dtype=np.int64))
+                nodes.append(np.full(len(found[-1]), node, dtype=np.int64))
                 total += len(found[-1])
                 if total > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
