@@ -46,24 +46,23 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("condition", "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
-def ranked_terms(counts: DataFrame, n_documents: int) -> DataFrame:
+def ranked_terms(counts: DataFrame, n_documents: int, with_size: bool = False) -> DataFrame:
     """(condition, rank, term, cf, df, idf): ranks from 1 by falling cf, then term; idf is log10(N / df).
 
-    Ranks are exact without sorting all terms in one task: how many terms come
-    before a frequency is a running sum over the distinct frequencies, and
-    terms of one frequency and first letter are numbered apart.
+    Ranks are exact without sorting all terms in one task: terms of one
+    frequency and one beginning are numbered apart, and how many come before
+    such a group is a running sum over the groups. ``with_size`` adds v, the
+    number of the condition's terms.
     """
-    part = F.substring("term", 1, 2)
-    keyed = counts.withColumn("part", part)
+    keyed = counts.withColumn("part", F.substring("term", 1, 2))
     sizes = keyed.groupBy("condition", "cf", "part").agg(F.count(F.lit(1)).alias("n"))
-    of_cf = sizes.groupBy("condition", "cf").agg(F.sum("n").alias("n_cf"))
-    above = Window.partitionBy("condition").orderBy(F.col("cf").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    before = of_cf.select("condition", "cf", F.coalesce(F.sum("n_cf").over(above), F.lit(0)).alias("above"))
-    within = Window.partitionBy("condition", "cf").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, ["condition", "cf"]).select("condition", "cf", "part", (F.col("above") + F.col("inner")).alias("offset"))
+    order = Window.partitionBy("condition").orderBy(F.col("cf").desc(), "part")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("condition", "cf", "part", before.alias("offset"), F.sum("n").over(Window.partitionBy("condition")).alias("v"))
     own = F.row_number().over(Window.partitionBy("condition", "cf", "part").orderBy("term"))
     ranked = keyed.withColumn("own", own).join(offsets, ["condition", "cf", "part"])
-    return ranked.select("condition", (F.col("offset") + F.col("own")).alias("rank"), "term", "cf", "df", F.log10(F.lit(float(n_documents)) / F.col("df")).alias("idf"))
+    more = ["v"] if with_size else []
+    return ranked.select("condition", (F.col("offset") + F.col("own")).alias("rank"), "term", "cf", "df", F.log10(F.lit(float(n_documents)) / F.col("df")).alias("idf"), *more)
 
 
 def document_counts(terms: DataFrame, docs: DataFrame, doc_col: str = "doc_id", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
@@ -115,24 +114,24 @@ def fits(points: DataFrame, keys: list[str], rank_col: str = "rank", cf_col: str
 
 
 def zipf_fits(ranked: DataFrame) -> DataFrame:
-    """(condition, segment, fit): over all ranks and over head, middle and tail."""
-    size = ranked.groupBy("condition").agg(F.count(F.lit(1)).alias("v"))
+    """(condition, segment, fit): over all ranks and over head, middle and tail. Give ``ranked`` its sizes to have it read once."""
+    if "v" not in ranked.columns:
+        ranked = ranked.join(F.broadcast(ranked.groupBy("condition").agg(F.count(F.lit(1)).alias("v"))), "condition")
     head, middle = segment_bounds(F.col("v"))
-    bounds = size.select("condition", head.alias("head_end"), middle.alias("middle_end"))
-    segment = F.when(F.col("rank") <= F.col("head_end"), "head").when(F.col("rank") <= F.col("middle_end"), "middle").otherwise("tail")
-    rows = ranked.join(F.broadcast(bounds), "condition").select("condition", "rank", "cf", F.explode(F.array(F.lit("all"), segment)).alias("segment"))
+    segment = F.when(F.col("rank") <= head, "head").when(F.col("rank") <= middle, "middle").otherwise("tail")
+    rows = ranked.select("condition", "rank", "cf", F.explode(F.array(F.lit("all"), segment)).alias("segment"))
     return fits(rows, ["condition", "segment"])
 
 
 def best_segments(fit_rows: DataFrame) -> DataFrame:
     """(condition, best, status): the segments with both the largest r_squared and the smallest rmse, if any."""
-    own = fit_rows.where((F.col("segment") != "all") & F.col("r_squared").isNotNull() & F.col("rmse").isNotNull())
+    valid = (F.col("segment") != "all") & F.col("r_squared").isNotNull() & F.col("rmse").isNotNull()
     by = Window.partitionBy("condition")
     near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
-    marked = own.withColumns({"top": F.max("r_squared").over(by), "low": F.min("rmse").over(by)}).withColumn("best", near(F.col("r_squared"), F.col("top")) & near(F.col("rmse"), F.col("low")))
-    found = marked.groupBy("condition").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("best"), F.col("segment")))), ",").alias("best"))
-    every = fit_rows.select("condition").distinct().join(found, "condition", "left")
-    return every.select("condition", F.coalesce("best", F.lit("")).alias("best"), F.when(F.col("best").isNull(), "insufficient").when(F.col("best") == "", "mixed").otherwise("agreed").alias("status"))
+    marked = fit_rows.withColumn("valid", valid).withColumns({"top": F.max(F.when(F.col("valid"), F.col("r_squared"))).over(by), "low": F.min(F.when(F.col("valid"), F.col("rmse"))).over(by)})
+    best = F.col("valid") & near(F.col("r_squared"), F.col("top")) & near(F.col("rmse"), F.col("low"))
+    found = marked.groupBy("condition").agg(F.array_join(F.sort_array(F.collect_list(F.when(best, F.col("segment")))), ",").alias("best"), F.count_if("valid").alias("n"))
+    return found.select("condition", "best", F.when(F.col("n") == 0, "insufficient").when(F.col("best") == "", "mixed").otherwise("agreed").alias("status"))
 
 
 def bubbles(ranked: DataFrame, coordinates: list[str]) -> DataFrame:

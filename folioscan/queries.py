@@ -96,9 +96,9 @@ def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]
     return docs, analysis.document_terms(docs), docs.count()
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, with_size: bool = False) -> DataFrame:
     _, terms, n = _terms(spark, sf_dir)
-    return analysis.ranked_terms(analysis.term_counts(terms), n)
+    return analysis.ranked_terms(analysis.term_counts(terms), n, with_size)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -145,7 +145,7 @@ def preprocessing_comparison(spark, sf_dir):
 
 @registered(f"WITH {_CONDITIONS}, {_FIT} SELECT condition, segment, points, rank_start, rank_end, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(-slope, 6) AS zipf_exponent, round(r_squared, 6) AS r_squared, round(rmse, 6) AS rmse, status FROM fit")
 def zipf_regression(spark, sf_dir):
-    return rounded(analysis.zipf_fits(_ranked(spark, sf_dir)))
+    return rounded(analysis.zipf_fits(_ranked(spark, sf_dir, with_size=True)))
 
 
 @registered(
@@ -154,7 +154,7 @@ g AS (SELECT condition, coalesce(string_agg(segment, ',' ORDER BY segment) FILTE
 SELECT c.condition, coalesce(best, '') AS best, CASE WHEN best IS NULL THEN 'insufficient' WHEN best = '' THEN 'mixed' ELSE 'agreed' END AS status FROM (SELECT DISTINCT condition FROM fit) c LEFT JOIN g USING (condition)"""
 )
 def best_zipf_segment(spark, sf_dir):
-    return analysis.best_segments(analysis.zipf_fits(_ranked(spark, sf_dir)))
+    return analysis.best_segments(analysis.zipf_fits(_ranked(spark, sf_dir, with_size=True)))
 
 
 @registered(f"WITH {_CONDITIONS} SELECT condition, rank, term, cf, df, round(idf, 6) + 0.0 AS idf FROM ranked WHERE rank <= 50")
