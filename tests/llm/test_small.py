@@ -216,6 +216,15 @@ def test_statistics_take_any_text():
         assert len(s) == len(quality_model.STATISTICS) and np.isfinite(s).all()
 
 
+def test_top_word_is_counted_in_all_words():
+    at = quality_model.STATISTICS.index("top_word")
+    for n in (100, 1024, 8192):
+        # every second word is the same, in step with any even stride
+        words = [f"w{i}" if i % 2 else "same" for i in range(n)]
+        assert quality_model.statistics(" ".join(words))[at] == 0.5
+        assert quality_model.statistics(" ".join(words[1:]))[at] == (n / 2 - 1) / (n - 1)
+
+
 def test_fourier_features_approximate_the_kernel():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(30, len(quality_model.STATISTICS)))
