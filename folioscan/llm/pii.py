@@ -2,7 +2,9 @@
 
 Numbers and dates that pass their format's check are permuted by a keyed
 Feistel network within the format: a card number stays a 16-digit number with
-the same check-digit status, a date stays a date. The permutation depends on
+the same check-digit status, a date stays a date. Card and social security
+numbers are checked where ``checked`` is set, as the query does; without it
+whatever has their shape is permuted. The permutation depends on
 the key and the format alone, so equal values keep equal pseudonyms in every
 document, and different values different ones. E-mail addresses and long
 hexadecimal secrets, which have no bounded domain, get keyed digests of the
@@ -26,7 +28,7 @@ _ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DAY_DATE = r"(?<![0-9/.])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
-_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
+_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3,}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 #: One pattern; at a place the first alternative that fits wins.
 PATTERN = "|".join([_EMAIL, _IP, _ISO_DATE, _DAY_DATE, _SSN, _PHONE, _CARD, _SECRET])
@@ -98,17 +100,51 @@ def _laid_out(template: Column, digits: Column) -> Column:
     return F.aggregate(F.split(template, ""), start, step, lambda s: s["out"])
 
 
-def _card(m: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last keeps its distance from the Luhn digit, so valid numbers stay valid."""
+def _card(m: Column, key: str, checked: bool) -> Column:
+    """All digits but the last are permuted; the last keeps its distance from the Luhn digit, so valid numbers stay valid. Null for invalid ones if ``checked``."""
 
     def of(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
         gap = F.substring(d, F.length(d), F.lit(1)).cast("int") - luhn_digit(body)
-        return let(permuted_digits(body, key, F.lit("card")), lambda b: _laid_out(m, F.concat(b, F.pmod(luhn_digit(b) + gap, F.lit(10)).cast("string"))))
+        changed = lambda g: let(permuted_digits(body, key, F.lit("card")), lambda b: _laid_out(m, F.concat(b, F.pmod(luhn_digit(b) + g, F.lit(10)).cast("string"))))
+        return let(gap, lambda g: F.when(g == 0, changed(g)) if checked else changed(g))
 
     return let(F.regexp_replace(m, "[^0-9]", ""), of)
 
 
+def _grouped_cards(m: Column, key: str, checked: bool) -> Column:
+    """A run of groups of digits: each four that are a card number, from the left, are changed, so one after a year or another number is found."""
+
+    def of(groups: Column) -> Column:
+        state = lambda text, skip, n: F.struct(text.alias("text"), skip.alias("skip"), n.alias("n"))
+
+        def step(s: Column, i: Column) -> Column:
+            four = F.when(i + 4 <= F.size(groups), let(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), lambda w: _card(w, key, checked)))
+            fresh = let(four, lambda c: F.when(c.isNull(), state(F.concat(s["text"], F.get(groups, i)), F.lit(0), s["n"])).otherwise(state(F.concat(s["text"], c), F.lit(3), s["n"] + 1)))
+            return F.when(s["skip"] > 0, state(s["text"], s["skip"] - 1, s["n"])).otherwise(fresh)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), state(F.lit(""), F.lit(0), F.lit(0)), step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+
+    return let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), of)
+
+
+def _ssn(m: Column, key: str, checked: bool) -> Column:
+    """If ``checked``, numbers that can be given out are permuted among themselves, and others are null: areas 000, 666 and from 900, group 00, serial 0000."""
+    if not checked:
+        return _laid_out(m, permuted_digits(F.regexp_replace(m, "-", ""), key, F.lit("ssn")))
+    area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+    padded = lambda x, n: F.lpad(x.cast("string"), n, F.lit("0"))
+
+    def written(v: Column) -> Column:
+        upper = F.floor(v / 9999).cast("long")
+        at = F.floor(upper / 99).cast("long")
+        return F.concat_ws("-", padded(at + F.when(at >= 665, 2).otherwise(1), 3), padded(upper % 99 + 1, 2), padded(v % 9999 + 1, 4))
+
+    return F.when(valid, let(feistel(number, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, F.lit("ssn")), written))
+
+
 def _phone(m: Column, key: str) -> Column:
     """The country code stays."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)", 1)
@@ -121,7 +157,7 @@ def _ip(m: Column, key: str) -> Column:
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
     changed = let(number, lambda v: feistel(v, F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip")))
     dotted = lambda v: F.concat_ws(".", *[(F.shiftright(v, s).bitwiseAND(255)).cast("string") for s in (24, 16, 8, 0)])
-    return F.when(F.exists(octets, lambda x: x > 255), m).otherwise(let(changed, dotted))
+    return F.when(F.exists(octets, lambda x: x > 255), None).otherwise(let(changed, dotted))
 
 
 def _date(m: Column, day: Column, form: Column, key: str) -> Column:
@@ -131,11 +167,15 @@ def _date(m: Column, day: Column, form: Column, key: str) -> Column:
     # half of the larger domain lies in the range, so 64 rounds that all miss do not occur
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(ordinal.alias("v"), F.lit(False).alias("done")), lambda s, _: F.when(s["done"], s).otherwise(let(once(s["v"]), lambda w: F.struct(w.alias("v"), (w < _DAYS).alias("done")))), lambda s: s["v"])
     inside = day.isNotNull() & (ordinal >= 0) & (ordinal < _DAYS)
-    return F.when(inside, let(walked, lambda v: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int")), form) if isinstance(form, str) else form(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int"))))).otherwise(m)
+    return F.when(inside, let(walked, lambda v: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int")), form) if isinstance(form, str) else form(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int")))))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match of ``PATTERN``; what fails its format's check stays."""
+def pseudonym(m: Column, key: str, checked: bool = False) -> Column:
+    """The pseudonym of one match of ``PATTERN`` as text, and n, how many items were found in it; what fails its format's check stays and isn't counted.
+
+    Card numbers have to pass the Luhn test, and social security numbers to be
+    ones that can be given out, only if ``checked``.
+    """
     is_a = lambda p: m.rlike(_whole(p))
     digest = lambda n: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lower(m)), 256), 1, n)
     iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
@@ -143,21 +183,26 @@ def pseudonym(m: Column, key: str) -> Column:
     written = F.try_to_timestamp(F.translate(m, ".", "/"), F.lit("dd/MM/yyyy")).cast("date")
     as_written = lambda d: F.when(dots, F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
     stretched = F.substring(F.concat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)), 256), F.sha2(F.concat_ws("|", F.lit(key), F.lit("more"), F.lower(m)), 256)), F.lit(1), F.length(m))
-    return (
+    one = (
         F.when(F.contains(m, F.lit("@")), F.concat(F.lit("p"), digest(16), F.lit("@mail.invalid")))
         .when(is_a(_IP), _ip(m, key))
         .when(is_a(_ISO_DATE), _date(m, iso, "yyyy-MM-dd", key))
         .when(is_a(_DAY_DATE), _date(m, written, as_written, key))
-        .when(is_a(_SSN), _laid_out(m, permuted_digits(F.regexp_replace(m, "-", ""), key, F.lit("ssn"))))
-        .when(is_a(_CARD), _card(m, key))
+        .when(is_a(_SSN), _ssn(m, key, checked))
+        .when(is_a(_CARD), _card(m, key, checked))
         .when(is_a(_PHONE), _phone(m, key))
         .when(is_a(_SECRET), F.when(m.rlike("[A-F]"), F.upper(stretched)).otherwise(stretched))
-        .otherwise(m)
     )
+    single = let(one, lambda x: F.struct(F.coalesce(x, m).alias("text"), x.isNotNull().cast("int").alias("n")))
+    return F.when(is_a(_CARD) & m.rlike("[ -]"), _grouped_cards(m, key, checked)).otherwise(single)
+
 
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", checked: bool = False) -> DataFrame:
+    """``docs`` with personal data in ``text_col`` replaced, and n_found, how many items were.
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced, and n_found, how many matches there were.
+    With ``checked``, card numbers that fail the Luhn test and social security
+    numbers that can't be given out stay as they are; without, all of that
+    shape are replaced.
 
     No row is moved or gathered: the work is one projection. A null text stays
     null with n_found 0; an empty text stays empty. Repeated rows are treated
@@ -169,9 +214,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     gaps = F.split(text, PATTERN, -1)
-    replaced = let(F.transform(found, lambda m: pseudonym(m, key)), lambda r: let(gaps, lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(r, i), F.lit("")))), "")))
+    joined = lambda r, g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(r, i)["text"], F.lit("")))), "")
+    number = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    replaced = let(F.transform(found, lambda m: pseudonym(m, key, checked)), lambda r: F.struct(let(gaps, lambda g: joined(r, g)).alias("text"), number(r).alias("n")))
     # most texts have none of it, and one scan for a digit or an @ tells
     some = text.rlike(PATTERN)
-    pair = F.when(some, F.struct(replaced.alias("text"), F.size(found).cast("long").alias("n"))).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+    pair = F.when(some, replaced).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
     done = docs.withColumn("__pii", pair)
     return done.select(*[F.col("__pii.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__pii.n").alias("n_found"))

@@ -26,7 +26,7 @@ PII_KEY = "example-key"
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, checked=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import chat, components, decontaminate, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding, token_store
+from folioscan.llm.queries import queries
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -301,6 +302,28 @@ def test_pseudonyms_keep_formats(spark):
     assert out[8:] == texts[8:]
 
 
+def test_checked_numbers(spark):
+    texts = [
+        "order 4539578763621487 and 4539-5787-6362-1487", "card 4539578763621486", "in 2024 4539 5787 6362 1486 was paid", "000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000",
+        "ssn 123-45-6789", "ip 999.1.1.1 on 2021-02-30", "4539 5787 6362 1486 4539 5787 6362 1486", "4539 5787 6362 1487 4539 5787 6362 1487",
+    ]
+    out = pii.pseudonymise(docs(spark, list(enumerate(texts))), "k", checked=True).orderBy("doc_id").collect()
+    assert [r.n_found for r in out] == [0, 1, 1, 0, 1, 0, 2, 0]
+    assert all((r.text == t) == (r.n_found == 0) for r, t in zip(out, texts, strict=True))
+    a, b = re.search(r"\d{16}", out[1].text).group(), re.fullmatch(r"in 2024 (\d{4} \d{4} \d{4} \d{4}) was paid", out[2].text).group(1)
+    assert luhn(a) and b.replace(" ", "") == a and out[6].text == f"{b} {b}"
+    rows = [(i, f"{area:03}-{group:02}-{serial:04}") for i, (area, group, serial) in enumerate((x, y, z) for x in (1, 665, 667, 899) for y in range(1, 100, 7) for z in (1, 5000, 9999))]
+    changed = [r.text for r in pii.pseudonymise(docs(spark, rows), "k", checked=True).collect()]
+    assert len(set(changed)) == len(rows) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in changed)
+
+
+def test_query_leaves_unvalidated_numbers(spark, tmp_path):
+    docs(spark, [(1, "order 4539578763621487"), (2, "ref 000-12-3456"), (3, "card 4539578763621486")]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in queries()["op2_pii_pseudonyms"](spark, str(tmp_path)).collect()}
+    assert (out[1].text, out[1].n_found, out[2].text, out[2].n_found) == ("order 4539578763621487", 0, "ref 000-12-3456", 0)
+    assert out[3].n_found == 1 and out[3].text != "card 4539578763621486"
+
+
 def test_permutations_are_one_to_one(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, F.lit("0")).alias("d")).select(pii.permuted_digits(F.col("d"), "k", F.lit("t")).alias("x"))
     assert digits.distinct().count() == 1000 and digits.where("length(x) <> 3").count() == 0
