@@ -356,7 +356,7 @@ def search_snippets(spark, sf_dir):
 
 @registered()
 def sentence_spans(spark, sf_dir):
-    return sentences.sentence_table(table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"])
+    return sentences.sentence_table(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 # ---- spelling
@@ -401,7 +401,7 @@ def nearest_vectors(spark, sf_dir):
 @registered()
 def word_neighbours(spark, sf_dir):
     """Neighbours of a word by vectors trained on the documents' sentences."""
-    rows = sentences.sentence_table(table(spark, sf_dir, "documents").where("lang = 'en'"), ["doc_id"]).select(F.transform(text.tokens(F.col("text")), text.normalize).alias("tokens")).where(F.size("tokens") > 0)
+    rows = sentences.sentence_table(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.transform(text.tokens(F.col("text")), text.normalize).alias("tokens")).where(F.size("tokens") > 0)
     model = vectors.train_words(rows, size=32, epochs=1, partitions=4)
     from pyspark.ml.functions import vector_to_array
 

@@ -29,3 +29,22 @@ def test_against_sql(spark, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({queries.SQL[name]})").fetchall()
     assert canonical(map(tuple, df.select(*columns).collect())) == canonical(want)
+
+
+def _two_languages(spark, tmp_path):
+    rows = [(1, "One day came. Thanea went to the sea.", "en"), (2, "Un jour vint. Thanea alla en ville.", "fr"), (3, "Thanea ging fort.", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_sentences_of_every_language(spark, tmp_path):
+    out = queries.QUERIES["sentence_spans"](spark, _two_languages(spark, tmp_path)).groupBy("doc_id").count()
+    assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_words_of_every_language_are_learned(spark, tmp_path, monkeypatch):
+    seen = []
+    train = queries.vectors.train_words
+    monkeypatch.setattr(queries.vectors, "train_words", lambda rows, **kw: seen.append(rows) or train(rows, **kw | {"min_count": 1}))
+    queries.QUERIES["word_neighbours"](spark, _two_languages(spark, tmp_path))
+    assert {w for r in seen[0].collect() for w in r.tokens} >= {"one", "jour", "fort"}
