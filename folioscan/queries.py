@@ -402,7 +402,7 @@ def nearest_vectors(spark, sf_dir):
 def word_neighbours(spark, sf_dir):
     """Neighbours of a word by vectors trained on the documents' sentences."""
     rows = sentences.sentence_table(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.transform(text.tokens(F.col("text")), text.normalize).alias("tokens")).where(F.size("tokens") > 0)
-    model = vectors.train_words(rows, size=32, epochs=1, partitions=4)
+    model = vectors.train_words(rows, partitions=4)
     from pyspark.ml.functions import vector_to_array
 
     known = model.getVectors().select("word", vector_to_array("vector").alias("vector"))

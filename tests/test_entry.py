@@ -1,3 +1,5 @@
+import inspect
+
 import duckdb
 import pytest
 
@@ -48,3 +50,16 @@ def test_words_of_every_language_are_learned(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.vectors, "train_words", lambda rows, **kw: seen.append(rows) or train(rows, **kw | {"min_count": 1}))
     queries.QUERIES["word_neighbours"](spark, _two_languages(spark, tmp_path))
     assert {w for r in seen[0].collect() for w in r.tokens} >= {"one", "jour", "fort"}
+
+
+def test_neighbours_come_from_the_whole_training(spark, tmp_path, monkeypatch):
+    real, made = queries.vectors.train_words, []
+
+    def spy(rows, **kw):
+        made.append(inspect.signature(real).bind(rows, **kw))
+        made[-1].apply_defaults()
+        return real(rows, **kw | {"min_count": 1})
+
+    monkeypatch.setattr(queries.vectors, "train_words", spy)
+    assert queries.QUERIES["word_neighbours"](spark, _two_languages(spark, tmp_path)).count() == 10
+    assert (made[0].arguments["size"], made[0].arguments["epochs"]) == (100, 30)
