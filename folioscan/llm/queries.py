@@ -53,7 +53,7 @@ def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     digest = docs.select("doc_id", "lang", "source", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    dims = [sharding.prefix_number(F.col("lang")), sharding.prefix_number(F.col("source")), F.col("size")]
+    dims = [F.col("lang"), F.col("source"), F.col("size")]
     rows = sharding.shard_by_curve(digest, dims, n_shards=8, tie=F.struct("doc_id", "text_crc32"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "lang", "source")
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import materialise
 
 #: Parts that the rows of one cell are ordered in apart, so no cell is a task's bottleneck.
 SALTS = 32
@@ -48,25 +51,56 @@ def prefix_number(text: Column) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
 
 
+def string_cuts(df: DataFrame, value: Column, n: int) -> list[str]:
+    """The quantile cuts at 1/n to (n-1)/n of a string column without nulls, by whole values.
+
+    Counts by value are dealt out by ranges; a range's first rank is the sum of
+    the ranges below it, so only sums a range and the cuts come to the driver.
+    """
+    counts = df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = materialise(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    # parts are numbered in the order of their values
+    sums = sorted((r["part"], r["n"]) for r in ranges.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total = sum(x for _, x in sums)
+    if not total:
+        return []
+    below, firsts = 0, []
+    for part, x in sums:
+        firsts.append((part, below))
+        below += x
+    starts = F.broadcast(df.sparkSession.createDataFrame(firsts, "part int, below long"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    reach = ranges.join(starts, "part").select("v", "n", upto.alias("upto"))
+    # a value is a cut when a multiple of total / n lies within its ranks
+    step = lambda x: F.floor(x * n / total)
+    return [r["v"] for r in reach.where((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (step(F.col("upto") - F.col("n")) < n - 1)).select("v").orderBy("v").toLocalIterator()]
+
+
 def quantised(df: DataFrame, dims: list[Column], bits: int) -> Column:
     """Array of the cell of each dimension: how many of the dimension's quantile cuts lie below the value.
 
     Only ``2**bits - 1`` cuts a dimension come to the driver.
     """
     n = 1 << bits
-    cuts = df.select(*[F.percentile_approx(d, [k / n for k in range(1, n)], 10_000).alias(f"d{i}") for i, d in enumerate(dims)]).first()
+    text = [_is_text(df, d) for d in dims]
+    numbers = {i: d for i, d in enumerate(dims) if not text[i]}
+    cuts = df.select(*[F.percentile_approx(d, [k / n for k in range(1, n)], 10_000).alias(f"d{i}") for i, d in numbers.items()]).first() if numbers else None
 
-    def cell(value: Column, own: list[float]) -> Column:
+    def cell(value: Column, own: list) -> Column:
         return F.size(F.filter(F.array(*[F.lit(c) for c in own]), lambda cut: cut < value)) if own else F.lit(0)
 
-    return F.array(*[cell(d, sorted(set(cuts[i] or []))) for i, d in enumerate(dims)])
+    return F.array(*[cell(d, string_cuts(df, d, n) if text[i] else sorted(set(cuts[f"d{i}"] or []))) for i, d in enumerate(dims)])
+
+
+def _is_text(df: DataFrame, value: Column) -> bool:
+    return isinstance(df.select(value).schema[0].dataType, StringType)
 
 
 def shard_by_curve(df: DataFrame, dims: list[Column], n_shards: int, bits: int = 4, tie: Column | None = None) -> DataFrame:
     """Adds shard and slot: ``df``'s rows in curve order, cut into ``n_shards`` runs at most one row apart.
 
-    ``dims``: numeric columns, null taken as below all (see ``prefix_number``
-    for strings). Within a cell rows are ordered by a hash of ``tie`` and then
+    ``dims``: numeric or string columns, null taken as below all. Strings are
+    compared whole. Within a cell rows are ordered by a hash of ``tie`` and then
     ``tie`` itself (default: every column). slot numbers a shard's rows from 0
     without gaps. Rows that are equal in ``dims`` and ``tie`` share an order
     that is arbitrary among them; the numbers remain gapless. An empty table
@@ -83,7 +117,7 @@ def shard_by_curve(df: DataFrame, dims: list[Column], n_shards: int, bits: int =
     if not 1 <= bits * len(dims) <= 16:
         raise ValueError("bits times dimensions must be from 1 to 16")
     spark = df.sparkSession
-    dims = [F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]
+    dims = [F.coalesce(d, F.lit("")) if _is_text(df, d) else F.coalesce(d.cast("double"), F.lit(float("-inf"))) for d in dims]
     all_cells = 1 << (bits * len(dims))
     parts = F.array(*[F.shiftright(F.col("id"), bits * i).bitwiseAND((1 << bits) - 1).cast("int") for i in range(len(dims))])
     table = [r[1] for r in sorted(spark.range(0, all_cells, 1, 1).select("id", hilbert_index(parts, len(dims), bits)).collect())]

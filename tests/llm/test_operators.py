@@ -251,6 +251,21 @@ def test_shard_files_cover_few_values(spark, tmp_path):
         sharding.shard_by_curve(out, [F.col("size")], 8)
 
 
+def test_string_cuts(spark):
+    rng = np.random.default_rng(4)
+    values = [f"https://www.site{k}.example" for k in np.minimum(rng.geometric(0.05, 900), 60)] + [""] * 50 + ["é"] * 50
+    got = sharding.string_cuts(spark.createDataFrame([(v,) for v in values], "v string").repartition(5), F.col("v"), 8)
+    ordered = sorted(values, key=lambda v: v.encode())
+    assert got == sorted({ordered[-(-k * len(values) // 8) - 1] for k in range(1, 8)}, key=lambda v: v.encode())
+    assert sharding.string_cuts(spark.createDataFrame([], "v string"), F.col("v"), 8) == []
+
+
+def test_query_orders_by_long_sources(spark, tmp_path):
+    docs(spark, [(i, "x" * (1 + i % 50), f"https://www.site{i % 8}.example") for i in range(800)]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries()["op8_hilbert_shards"](spark, str(tmp_path))
+    assert out.count() == 800 and out.groupBy("shard").agg(F.countDistinct("source").alias("n")).agg(F.avg("n")).first()[0] <= 5
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"v{i}" for i in range(3000)]
