@@ -135,7 +135,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
         for batch in batches:
             rows = []
             source = []
-            for i, ids in enumerate(encoded_texts(tokenizer_path, batch.column(1).to_pylist())):
+            for i, ids in enumerate(encoded_texts(tokenizer_path, batch.column(1))):
                 for piece, start, part in pieces_of(ids + tail, capacity):
                     rows.append((piece, start, len(part) // 4, zlib.crc32(part)))
                     source.append(i)

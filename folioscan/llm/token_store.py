@@ -285,7 +285,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
                     wide = max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
                     table = TableWriter(out, wide)
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(tokenizer_path, batch.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(tokenizer_path, batch.column(1)), strict=True):
                     table.add(doc_id, ids + tail)
             table.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "docs": pa.array([table.docs], pa.int64()), "ids": pa.array([table.ids], pa.int64())})

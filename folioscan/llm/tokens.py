@@ -1,83 +1,166 @@
 """Token ids from a byte-level BPE file of the ``tokenizers`` library, fast on repeated words.
 
-The pre-tokenizer of such a file never lets a pre-token run from a visible
-character into a following space, so a text may be cut before every single
-space that has visible characters on both sides and the pieces encoded apart.
-Pieces recur, so each worker keeps a bounded memo of piece -> packed ids; a
-piece is still encoded by the library, once.
+The pre-tokenizer of such a file cuts a text into words with their leading
+space, numbers, runs of signs and runs of white space, and the model encodes
+each apart. For texts of ASCII and the Latin letters with marks (U+00C0 to
+U+00FF) the same cut is made here on the bytes of many texts at once; each
+distinct word is encoded by the library's model once and kept in a bounded
+memo. Texts with other characters are cut before every single space that a
+visible character follows, where a pre-token always begins; pieces with such
+characters go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Entries that a worker's memo holds at most; beyond it pieces are encoded without being kept.
-MEMO_ENTRIES = 700_000
-#: Longer pieces are not worth keeping.
-MEMO_PIECE = 40
-
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
-
-
-class PieceEncoder:
-    """``encode`` gives the ids of texts as packed little-endian unsigned 32-bit integers."""
-
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words that each of a memo's two halves holds at most.
+MEMO_WORDS = 350_000
+#: Longer words are not worth keeping.
+MEMO_LENGTH = 40
+#: Bytes of text that are cut at a time (a longer text stands alone).
+SLICE_BYTES = 8_000_000
+
+#: The character by which byte-level models write each byte: visible ones of Latin-1 stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = sorted(set(range(256)) - set(_SHOWN))
+_WRITTEN = "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
+
+#: Kinds of bytes in plain texts. Bytes from 128 on are halves of letters there.
+_LETTER, _DIGIT, _SIGN, _BLANK, _SPACE = 1, 2, 3, 4, 5
+_KIND = np.array([_LETTER if b > 127 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SPACE if b == 32 else _BLANK if 9 <= b <= 13 else _SIGN for b in range(256)], dtype=np.uint8)
+_PLAIN = r"\A[\t-\r -~À-ÖØ-öø-ÿ]*\z"
+_PLAIN_PIECE = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_CUT = re.compile(r"(?= \S)")
+_encoders: dict[tuple[str, int], TextEncoder] = {}
+
+
+def word_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in the bytes of plain texts that follow each other; ``firsts`` are the places of the texts' first bytes."""
+    kind = _KIND[data]
+    before = np.zeros_like(kind)
+    before[1:] = kind[:-1]
+    before[firsts] = 0
+    after = np.zeros_like(kind)
+    after[:-1] = kind[1:]
+    after[firsts[firsts > 0] - 1] = 0
+    blank = kind >= _BLANK
+    # the last of several blanks before a word stands apart: a space goes with the word
+    start = np.where(blank, (before < _BLANK) | ((after > 0) & (after < _BLANK)), (kind != before) & (before != _SPACE))
+    # 's 't 'm 'd 're 've 'll after anything but a sign or a space are words of their own
+    at = np.flatnonzero((data == 39) & start & (after == _LETTER))
+    if len(at):
+        one, two = data[at + 1], np.where(after[at + 1] == _LETTER, data[np.minimum(at + 2, len(data) - 1)], 0)
+        short = np.isin(one, list(b"stmd"))
+        long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        own, size = at[short | long], np.where(short, 2, 3)[short | long]
+        start[own + 1] = False
+        ends = own + size
+        inside = after[ends - 1] > 0
+        start[ends[inside & (kind[np.minimum(ends, len(data) - 1)] == _LETTER)]] = True
+    return np.flatnonzero(start)
+
+
+class _Memo(dict):
+    """What ``make`` gives for each key. When it is full, it becomes the older half, whose entries come back as they are asked for."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+        self.older: dict = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMO_LENGTH:
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class TextEncoder:
+    """Gives the ids of texts as packed little-endian unsigned 32-bit integers."""
+
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes | None] = {}
-        self.limit = memo_entries
+        self.model = self.tokenizer.model
+        self.words = _Memo(self._word, memo_words)
+        form = json.loads(self.tokenizer.to_str())
+        cut = form["pre_tokenizer"] or {}
+        #: Whether the file cuts texts as this module does; else every text goes to the library whole.
+        self.known = not form["normalizer"] and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; equal to the library's own for the whole text."""
-        split = []
-        for text in texts:
-            pieces = text.split(" ")
-            pieces[1:] = map(" ".__add__, pieces[1:])
-            split.append(pieces)
-        memo = self.memo
-        missing = [p for p in set().union(*split) if p not in memo]
-        extra: dict[str, bytes | None] = {}
-        if missing:
-            # A later piece that is a bare space or goes on with white space is part of a longer run: no safe cut.
-            unsafe = [p for p in missing if p[:1] == " " and (len(p) == 1 or p[1].isspace())]
-            keep = memo if len(memo) + len(missing) <= self.limit else extra
-            for p in unsafe:
-                keep[p] = None
-            refused = set(unsafe)
-            good = [p for p in missing if p not in refused]
-            for p, ids in zip(good, self._library(good), strict=True):
-                (keep if len(p) <= MEMO_PIECE else extra)[p] = ids
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(memo.__getitem__, pieces)) if not extra else b"".join([memo[p] if p in memo else extra[p] for p in pieces]))
-            except TypeError:
-                out.append(b"".join(self._library(_SAFE_CUT.split(text))))
-        return out
-
-
-def encoder(path: str, memo_entries: int = MEMO_ENTRIES) -> PieceEncoder:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_WRITTEN))]).tobytes()
+
+    def _plain(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """Ids of plain texts."""
+        where = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[where[0] : where[-1]] if where[-1] > where[0] else np.zeros(0, dtype=np.uint8)
+        where = where - where[0]
+        starts = word_starts(data, where[:-1][where[:-1] < where[1:]])
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        packed = [self.words[w] for w in words.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        pool, own = np.frombuffer(b"".join(packed), dtype="<u4"), words.indices.to_numpy()
+        counts = sizes[own]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[own] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[np.searchsorted(starts, where)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _mixed(self, text: str) -> bytes:
+        """Ids of a text with characters of any kind."""
+        if not self.known or any(a in text for a in self.added):
+            return self._library([text])[0]
+        pieces = _CUT.split(text)
+        plain = [_PLAIN_PIECE.fullmatch(p) is not None for p in pieces]
+        easy = iter(self._plain(pa.array([p for p, x in zip(pieces, plain, strict=True) if x], pa.large_string())))
+        other = iter(self._library([p for p, x in zip(pieces, plain, strict=True) if not x]))
+        return b"".join([next(easy if x else other) for x in plain])
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text in turn; equal to the library's own for the whole text. A null text counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        easy = pc.match_substring_regex(texts, _PLAIN) if self.known else pa.array([False] * len(texts))
+        for a in self.added:
+            easy = pc.and_not(easy, pc.match_substring(texts, a))
+        for a, b in runs(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
+            part, plain = texts[a:b], easy[a:b]
+            found = iter(self._plain(part.filter(plain)))
+            for k, x in enumerate(plain.to_pylist()):
+                yield next(found) if x else self._mixed(part[k].as_py())
+
+
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> TextEncoder:
     """This worker's encoder for ``path``; it outlives a task where Spark reuses its Python workers."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = (path, memo_entries)
+    key = (path, memo_words)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = PieceEncoder(path, memo_entries)
+        _encoders[key] = TextEncoder(path, memo_words)
     return _encoders[key]
 
 
-def runs(sizes: list[int], limit: int):
+def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges that follow each other, each of at most ``limit`` in total (a larger single item stands alone)."""
     start = total = 0
     for i, n in enumerate(sizes):
@@ -89,8 +172,6 @@ def runs(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
-def encoded_texts(path: str, texts: list[str | None], limit: int = 1_000_000):
-    """Packed ids of each text in turn, taking about ``limit`` characters at a time; a null text counts as empty."""
-    own = encoder(path)
-    for a, b in runs([len(t or "") + 16 for t in texts], limit):
-        yield from own.encode([t or "" for t in texts[a:b]])
+def encoded_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
+    """Packed ids of each text in turn; a null text counts as empty."""
+    return encoder(path).encode(texts)

@@ -1,9 +1,11 @@
 """Parts that need no cluster: plans, encoders, kernels."""
 
+import functools
 import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscan.llm import decontaminate, ngram_join, packing, quality_model, token_store, tokens
@@ -12,10 +14,15 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def whole(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH)
+
+
+def whole(text):
+    return library().encode(text, add_special_tokens=False).ids
 
 
 TRICKY = [
@@ -24,12 +31,33 @@ TRICKY = [
 ]
 
 
-@pytest.mark.parametrize("memo", [0, 1000])
-def test_encoder_equals_the_library(memo):
-    own = tokens.PieceEncoder(PATH, memo)
-    got = own.encode(TRICKY) + own.encode(list(reversed(TRICKY)))
-    want = [whole(t) for t in TRICKY + TRICKY[::-1]]
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+def ids_of(own, texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(texts, pa.string()))]
+
+
+@pytest.mark.parametrize("memo", [1, 3, 1000])
+def test_encoder_equals_the_library(memo, monkeypatch):
+    own, texts = tokens.TextEncoder(PATH, memo), [*TRICKY, None, *reversed(TRICKY)]
+    assert ids_of(own, texts) == [whole(t or "") for t in texts]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 20)
+    assert ids_of(own, texts) == [whole(t or "") for t in texts]
+    assert ids_of(own, []) == [] and ids_of(own, [""]) == [[]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(texts, pa.large_string())[3:7])] == [whole(t) for t in texts[3:7]]
+
+
+def test_encoder_equals_the_library_on_random_texts():
+    rng = np.random.default_rng(8)
+    own = tokens.TextEncoder(PATH, 50)
+    plain = [*"abzZ09 .,'!\"-<|>#\n\t\r\x0b", "é", "Ñ", "ÿ", "'s", "'re", "'ll", "'lm", "'vé", " ", "  ", "\n\n", "'d'm"]
+    other = [*"\x1c\x85\xa0", "×", "ª", "²", "你", "😀", "\u2028", "\u3000", "<|endoftext|>", "e\u0301", "\u200b", "\x7f"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 14)))) for signs in (plain, plain + other) for _ in range(3000)]
+    for t, got in zip(texts, ids_of(own, texts), strict=True):
+        assert got == whole(t), ascii(t)
+
+
+def test_other_files_go_to_the_library_whole():
+    own = tokens.TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not own.known and ids_of(own, ["Two  words"]) == [own.tokenizer.encode("Two  words", add_special_tokens=False).ids]
 
 
 def test_runs_cover_everything():
