@@ -1,14 +1,17 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates that pass their format's check are permuted by a keyed
-Feistel network within the format: a card number stays a 16-digit number with
-the same check-digit status, a date stays a date. Card and social security
-numbers are checked where ``checked`` is set, as the query does; without it
-whatever has their shape is permuted. The permutation depends on
-the key and the format alone, so equal values keep equal pseudonyms in every
-document, and different values different ones. E-mail addresses and long
-hexadecimal secrets, which have no bounded domain, get keyed digests of the
-same shape.
+Feistel network within the format: a valid card number stays a valid one of as many digits, a date
+stays a date. What fails its check (Luhn digits, numbers that are never given
+out, octets over 255, days that don't exist) is left alone. The permutation
+depends on the key and the format alone, so equal values keep equal
+pseudonyms in every document, and different values different ones. E-mail
+addresses and long hexadecimal secrets, which have no bounded domain, get
+keyed digests of the same shape.
+
+The keyed function is HMAC-SHA256. The key is a value of a one-row table that
+the plan refers to, not a literal: explain, event logs and the user interface
+don't show it.
 
 Everything is built from column expressions: texts are split at the matches of
 one pattern, only matches are worked on, and the text is joined again.
@@ -16,14 +19,18 @@ one pattern, only matches are worked on, and the text is joined again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
 
 ROUNDS = 8
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
-_IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,126}[A-Za-z]{2,24}"
+#: Not after a word for a version: such numbers look alike.
+_IP = r"(?<![0-9.])(?<!\b(?:[Vv]ersion|[Bb]uild|[Rr]elease|[Rr]evision|[Ff]irmware|[Vv])[ :.=]{0,2})(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 _ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DAY_DATE = r"(?<![0-9/.])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -40,12 +47,36 @@ def _whole(p: str) -> str:
     return f"^(?:{p})$"
 
 
-def keyed_number(key: str, *parts: Column) -> Column:
+class Key(NamedTuple):
+    """The two padded keys of HMAC-SHA256 as columns."""
+
+    inner: Column
+    outer: Column
+
+    def digest(self, *parts: Column) -> Column:
+        """HMAC of ``parts`` as 64 hexadecimal digits."""
+        message = F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")
+        return F.sha2(F.concat(self.outer, F.unhex(F.sha2(F.concat(self.inner, message), 256))), 256)
+
+
+def padded_keys(spark: SparkSession, secret: str) -> tuple[Column, Column]:
+    """The padded keys of ``secret`` as scalar subqueries on a one-row table."""
+    raw = secret.encode()
+    raw = hashlib.sha256(raw).digest() if len(raw) > 64 else raw
+    padded = raw.ljust(64, b"\0")
+    # a local relation of the JVM: its value isn't part of the plan's text, and no Python or RDD makes it
+    values = spark._jvm.java.util.ArrayList()
+    values.add(bytes(x ^ 0x36 for x in padded).hex() + bytes(x ^ 0x5C for x in padded).hex())
+    one = DataFrame(spark._jsparkSession.createDataset(values, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    return tuple(one.select(F.unhex(F.substring("value", at, 128)).alias("k")).scalar() for at in (1, 129))
+
+
+def keyed_number(key: Key, *parts: Column) -> Column:
     """60 pseudo-random bits from the key and ``parts``."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(key.digest(*parts), 1, 15), 16, 10).cast("long")
 
 
-def feistel(value: Column, left: Column, right: Column, key: str, tweak: Column) -> Column:
+def feistel(value: Column, left: Column, right: Column, key: Key, tweak: Column) -> Column:
     """Keyed permutation of the numbers below ``left * right`` (moduli of the two halves, below 2**31).
 
     An unbalanced network on (value div right, value mod right): each round
@@ -66,7 +97,7 @@ def _power10(n: Column) -> Column:
     return F.get(F.array(*[F.lit(10**k) for k in range(11)]), n)
 
 
-def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
+def permuted_digits(digits: Column, key: Key, tweak: Column) -> Column:
     """Keyed permutation of the digit strings of the same length, from 2 to 18 digits."""
 
     def of(d: Column) -> Column:
@@ -100,38 +131,49 @@ def _laid_out(template: Column, digits: Column) -> Column:
     return F.aggregate(F.split(template, ""), start, step, lambda s: s["out"])
 
 
-def _card(m: Column, key: str, checked: bool) -> Column:
-    """All digits but the last are permuted; the last keeps its distance from the Luhn digit, so valid numbers stay valid. Null for invalid ones if ``checked``."""
+def _card(m: Column, key: Key) -> Column:
+    """A number whose last digit is its Luhn digit: the others are permuted and get theirs. Null for any other number."""
 
     def of(d: Column) -> Column:
         body = F.substring(d, F.lit(1), F.length(d) - 1)
-        gap = F.substring(d, F.length(d), F.lit(1)).cast("int") - luhn_digit(body)
-        changed = lambda g: let(permuted_digits(body, key, F.lit("card")), lambda b: _laid_out(m, F.concat(b, F.pmod(luhn_digit(b) + g, F.lit(10)).cast("string"))))
-        return let(gap, lambda g: F.when(g == 0, changed(g)) if checked else changed(g))
+        changed = let(permuted_digits(body, key, F.lit("card")), lambda b: _laid_out(m, F.concat(b, luhn_digit(b).cast("string"))))
+        return F.when(F.substring(d, F.length(d), F.lit(1)).cast("int") == luhn_digit(body), changed)
 
     return let(F.regexp_replace(m, "[^0-9]", ""), of)
 
 
-def _grouped_cards(m: Column, key: str, checked: bool) -> Column:
-    """A run of groups of digits: each four that are a card number, from the left, are changed, so one after a year or another number is found."""
+#: Groups of a run that are put together before they are added to what comes before them.
+_CHUNK = 64
+
+
+def _grouped_cards(m: Column, key: Key) -> Column:
+    """A run of groups of digits: each four that are a card number, from the left, are changed, so one after a year or another number is found.
+
+    Long runs are put together chunk by chunk, as adding each group to all
+    text before it would take time in the square of the run.
+    """
 
     def of(groups: Column) -> Column:
         state = lambda text, skip, n: F.struct(text.alias("text"), skip.alias("skip"), n.alias("n"))
 
         def step(s: Column, i: Column) -> Column:
-            four = F.when(i + 4 <= F.size(groups), let(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), lambda w: _card(w, key, checked)))
+            four = F.when((s["skip"] == 0) & (i + 4 <= F.size(groups)), let(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), lambda w: _card(w, key)))
             fresh = let(four, lambda c: F.when(c.isNull(), state(F.concat(s["text"], F.get(groups, i)), F.lit(0), s["n"])).otherwise(state(F.concat(s["text"], c), F.lit(3), s["n"] + 1)))
             return F.when(s["skip"] > 0, state(s["text"], s["skip"] - 1, s["n"])).otherwise(fresh)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), state(F.lit(""), F.lit(0), F.lit(0)), step, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+        def chunk(s: Column, first: Column) -> Column:
+            places = F.sequence(first, F.least(first + _CHUNK, F.size(groups)) - 1)
+            own = F.aggregate(places, state(F.lit(""), s["skip"], s["n"]), step)
+            return let(own, lambda o: state(F.concat(s["text"], o["text"]), o["skip"], o["n"]))
+
+        firsts = F.sequence(F.lit(0), F.size(groups) - 1, F.lit(_CHUNK))
+        return F.aggregate(firsts, state(F.lit(""), F.lit(0), F.lit(0)), chunk, lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
 
     return let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), of)
 
 
-def _ssn(m: Column, key: str, checked: bool) -> Column:
-    """If ``checked``, numbers that can be given out are permuted among themselves, and others are null: areas 000, 666 and from 900, group 00, serial 0000."""
-    if not checked:
-        return _laid_out(m, permuted_digits(F.regexp_replace(m, "-", ""), key, F.lit("ssn")))
+def _ssn(m: Column, key: Key) -> Column:
+    """Numbers that can be given out are permuted among themselves; others are null: areas 000, 666 and from 900, group 00, serial 0000."""
     area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
@@ -145,14 +187,14 @@ def _ssn(m: Column, key: str, checked: bool) -> Column:
     return F.when(valid, let(feistel(number, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, F.lit("ssn")), written))
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Key) -> Column:
     """The country code stays."""
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)", 1)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return let(F.regexp_replace(rest, "[^0-9]", ""), lambda d: F.concat(code, _laid_out(rest, permuted_digits(d, key, F.lit("phone")))))
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Key) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
     changed = let(number, lambda v: feistel(v, F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ip")))
@@ -160,7 +202,7 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.exists(octets, lambda x: x > 255), None).otherwise(let(changed, dotted))
 
 
-def _date(m: Column, day: Column, form: Column, key: str) -> Column:
+def _date(m: Column, day: Column, form: Column, key: Key) -> Column:
     """Cycle-walking: the permutation of a slightly larger domain is applied until a day of the range comes up."""
     ordinal = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
     once = lambda v: feistel(v, F.lit(512).cast("long"), F.lit(256).cast("long"), key, F.lit("date"))
@@ -170,55 +212,51 @@ def _date(m: Column, day: Column, form: Column, key: str) -> Column:
     return F.when(inside, let(walked, lambda v: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int")), form) if isinstance(form, str) else form(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int")))))
 
 
-def pseudonym(m: Column, key: str, checked: bool = False) -> Column:
-    """The pseudonym of one match of ``PATTERN`` as text, and n, how many items were found in it; what fails its format's check stays and isn't counted.
-
-    Card numbers have to pass the Luhn test, and social security numbers to be
-    ones that can be given out, only if ``checked``.
-    """
+def pseudonym(m: Column, key: Key) -> Column:
+    """The pseudonym of one match of ``PATTERN`` as text, and n, how many items were found in it; what fails its format's check stays and isn't counted."""
     is_a = lambda p: m.rlike(_whole(p))
-    digest = lambda n: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lower(m)), 256), 1, n)
+    digest = lambda n: F.substring(key.digest(F.lit("mail"), F.lower(m)), 1, n)
     iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
     dots = F.contains(m, F.lit("."))
     written = F.try_to_timestamp(F.translate(m, ".", "/"), F.lit("dd/MM/yyyy")).cast("date")
     as_written = lambda d: F.when(dots, F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
-    stretched = F.substring(F.concat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)), 256), F.sha2(F.concat_ws("|", F.lit(key), F.lit("more"), F.lower(m)), 256)), F.lit(1), F.length(m))
+    stretched = F.substring(key.digest(F.lit("secret"), F.lower(m)), F.lit(1), F.length(m))
     one = (
         F.when(F.contains(m, F.lit("@")), F.concat(F.lit("p"), digest(16), F.lit("@mail.invalid")))
         .when(is_a(_IP), _ip(m, key))
         .when(is_a(_ISO_DATE), _date(m, iso, "yyyy-MM-dd", key))
         .when(is_a(_DAY_DATE), _date(m, written, as_written, key))
-        .when(is_a(_SSN), _ssn(m, key, checked))
-        .when(is_a(_CARD), _card(m, key, checked))
+        .when(is_a(_SSN), _ssn(m, key))
+        .when(is_a(_CARD), _card(m, key))
         .when(is_a(_PHONE), _phone(m, key))
         .when(is_a(_SECRET), F.when(m.rlike("[A-F]"), F.upper(stretched)).otherwise(stretched))
     )
     single = let(one, lambda x: F.struct(F.coalesce(x, m).alias("text"), x.isNotNull().cast("int").alias("n")))
-    return F.when(is_a(_CARD) & m.rlike("[ -]"), _grouped_cards(m, key, checked)).otherwise(single)
+    return F.when(is_a(_CARD) & m.rlike("[ -]"), _grouped_cards(m, key)).otherwise(single)
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", checked: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced, and n_found, how many items were.
 
-    With ``checked``, card numbers that fail the Luhn test and social security
-    numbers that can't be given out stay as they are; without, all of that
-    shape are replaced.
-
     No row is moved or gathered: the work is one projection. A null text stays
     null with n_found 0; an empty text stays empty. Repeated rows are treated
     alike. Other columns are carried along; none may be named n_found. An empty
-    table gives no rows.
+    table gives no rows. An e-mail address has at most 126 labels, as names on
+    the net do, and a run of one class of signs, however long, is read in time
+    in proportion to it.
     """
     if "n_found" in docs.columns:
         raise ValueError("the input has a column n_found")
-    text = F.col(text_col)
+    names = [c + "_" * max(len(x) for x in docs.columns) for c in ("inner", "outer", "pii")]
+    # subqueries may not stand inside higher-order functions, so they are columns first
+    with_key = docs.withColumns(dict(zip(names, padded_keys(docs.sparkSession, key), strict=False)))
+    secret, text = Key(F.col(names[0]), F.col(names[1])), F.col(f"`{text_col}`")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     gaps = F.split(text, PATTERN, -1)
     joined = lambda r, g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(r, i)["text"], F.lit("")))), "")
     number = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    replaced = let(F.transform(found, lambda m: pseudonym(m, key, checked)), lambda r: F.struct(let(gaps, lambda g: joined(r, g)).alias("text"), number(r).alias("n")))
+    replaced = let(F.transform(found, lambda m: pseudonym(m, secret)), lambda r: F.struct(let(gaps, lambda g: joined(r, g)).alias("text"), number(r).alias("n")))
     # most texts have none of it, and one scan for a digit or an @ tells
-    some = text.rlike(PATTERN)
-    pair = F.when(some, replaced).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
-    done = docs.withColumn("__pii", pair)
-    return done.select(*[F.col("__pii.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__pii.n").alias("n_found"))
+    pair = F.when(text.rlike(PATTERN), replaced).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
+    done = with_key.withColumn(names[2], pair)
+    return done.select(*[F.col(f"{names[2]}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(f"{names[2]}.n").alias("n_found"))
