@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import join_frequent, let, materialise
 
 #: Registers of a sketch, as a power of 2: a relative standard error of 1.04 / sqrt(2**12), 1.6 %.
 SKETCH_BITS = 12
@@ -23,7 +23,7 @@ TRUST = 6
 
 def normalised(line: Column) -> Column:
     """What lines are compared by: ASCII white space at the ends dropped and A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _hashes(text: Column) -> Column:
@@ -46,7 +46,7 @@ def spread_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", text_c
     error = TRUST * 1.04 / 2 ** (SKETCH_BITS / 2)
     counted = materialise(sketched.select("line", "first_id", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - error) - 1), "line-spread")
     sure = F.col("sites") > min_sites * (1 + error) + 1
-    near = lines.join(counted.where(~sure).select("line"), "line", "left_semi").where(F.col("site").isNotNull())
+    near = join_frequent(lines, counted.where(~sure).select("line"), ["line"], F.xxhash64("id")).where(F.col("site").isNotNull())
     exact = near.groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").count().where(F.col("count") >= min_sites)
     return counted.where(sure).select("line", "first_id").unionByName(counted.where(~sure).join(exact, "line", "left_semi").select("line", "first_id"))
 
@@ -56,7 +56,8 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc
 
     A line that is on ``min_sites`` sites stays in the document with the
     smallest id that has it (all its occurrences there), so no line is lost
-    from the corpus; with ``id_col`` null a document is never that one. Lines
+    from the corpus. A document with a null id is never that one; where only
+    such documents have the line, it stays in all of them. Lines
     without a word are neither counted as boilerplate nor removed. A null text
     stays null. Documents are joined back by their id and text, so equal ids with
     different texts are told apart and repeated rows are all kept. n_lines
@@ -69,7 +70,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = 10, id_col: str = "doc
     spread = materialise(spread_lines(docs, min_sites, id_col, text_col, site_col), "spread-lines")
     hashes = _hashes(F.col(text_col))
     where = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), F.explode(F.array_distinct(hashes)).alias("line")).where(F.col("line").isNotNull())
-    gone = where.join(spread, "line").where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("id", "tie").agg(F.collect_set("line").alias("gone"))
+    gone = join_frequent(where, spread, ["line"], F.xxhash64("id", "tie")).where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("id", "tie").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "gone")
     # within a document the set of its removed lines is no larger than the document
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tie")), "left")

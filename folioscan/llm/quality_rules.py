@@ -7,10 +7,10 @@ removed, and a document that loses too large a part of its words is rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, let, materialise, words_of
+from .common import WORD_SPACE, join_frequent, let, materialise, words_of
 from .line_dedup import normalised
 
 #: Words of a window whose repetition counts.
@@ -57,40 +57,43 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(host, line) above its host's limit; ``lines`` has host, tie (of the text) and line.
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(host, line) that more than ``min_docs`` distinct documents of the host hold; ``lines`` has host, tie (of the text) and line.
 
-    A host's documents are its distinct texts, so that exact copies are one. A
-    line is above the limit when more than ``min_docs`` of them, and more than
-    ``share`` of all, hold it.
+    A host's documents are its distinct texts: an exact copy is no further
+    document, so a text isn't boilerplate for having been copied.
     """
-    held = lines.select("host", "tie", "line").distinct()
-    of_host = lines.select("host", "tie").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    by_line = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
-    return by_line.join(of_host, by_line["host"].eqNullSafe(of_host["host"])).where(F.col("docs") > F.col("host_docs") * share).select(by_line["host"], "line")
+    return lines.select("host", "tie", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs).select("host", "line")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.1, max_loss: float = 0.7, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, max_loss: int = 30, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """Base counts and verdicts: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat``
     percent of them in repeated windows. kept: not failed, and the lines above
-    their host's limit (``frequent_lines``) hold at most ``max_loss`` of the words.
+    their host's limit (``frequent_lines``) hold at most ``max_loss`` percent of
+    the words: a text made of boilerplate beyond that is as poor as one that
+    repeats itself, so both shares are the same by default. The limit is a
+    number of documents, not a share of the host's, so that a large host has
+    no more room for boilerplate than a small one.
 
     A null text has no words and fails. Rows without a host share one host.
     Repeated rows are judged alike and all returned; equal ids with different
     texts are told apart. Other columns are not read. An empty table gives no rows.
     """
+    if id_col in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept"):
+        raise ValueError(f"the result has a column {id_col} of its own")
     d = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     line = lambda x: let(normalised(x), lambda n: F.when(n != "", F.struct(F.xxhash64(n).alias("line"), F.size(words_of(n)).alias("words"))))
-    lines = d.select("id", "host", "tie", F.explode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line)).alias("l")).where(F.col("l").isNotNull()).select("id", "host", "tie", "l.line", "l.words")
-    limit = materialise(frequent_lines(lines, min_docs, share), "frequent-lines")
-    hit = lines.join(limit, lines["host"].eqNullSafe(limit["host"]) & (lines["line"] == limit["line"]), "left_semi")
-    lost = hit.groupBy("id", "tie").agg(F.sum("words").alias("lost"))
-    lost = lost.select(F.col("id").alias("l_id"), F.col("tie").alias("l_tie"), "lost")
-    counts = d.select("id", "tie", *[c.alias(k) for k, c in base_counts(F.col("text")).items()]).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("id", "tie")))
+    lines = d.select("id", "host", "tie", F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line)).alias("at", "l")).where(F.col("l").isNotNull()).select("id", "host", "tie", "at", "l.line", "l.words")
+    limit = materialise(frequent_lines(lines, min_docs), "frequent-lines")
+    # rows that are equal lose their lines together, so each line counts once, but as often as it stands in the text
+    hit = join_frequent(lines, limit, ["host", "line"], F.xxhash64("id", "tie"))
+    lost = hit.select("id", "tie", "host", "at", "words").distinct().groupBy("id", "tie", "host").agg(F.sum("words").alias("lost"))
+    lost = lost.select(F.col("id").alias("l_id"), F.col("tie").alias("l_tie"), F.col("host").alias("l_host"), "lost")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    # rows that are equal lose their lines together, so the sum is over all of them
-    out = counts.join(lost, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("tie") == F.col("l_tie")), "left").withColumn("lost_words", (F.coalesce("lost", F.lit(0)) / F.col("same")).cast("long")).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * max_loss)
+    counts = d.select("id", "host", "tie", *[c.alias(k) for k, c in base_counts(F.col("text")).items()])
+    own = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in ("id", "tie", "host")]
+    out = counts.join(lost, own, "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)).cast("long")).withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & (100 * F.col("lost_words") <= max_loss * F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", kept.alias("kept"))

@@ -26,7 +26,7 @@ PII_KEY = "example-key"
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, checked=True)
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +97,8 @@ WITH d AS (
   SELECT doc_id, source, text, x, {_ASCII_LINE.format(x="x")} AS line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS x FROM d)
 ), dup AS (
   SELECT doc_id, (count(*) - count(DISTINCT x))::BIGINT AS n_dup_lines FROM lines WHERE line <> '' GROUP BY doc_id
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS host_docs FROM lines WHERE line <> '' GROUP BY source
 ), frequent AS (
-  SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS docs FROM lines WHERE line <> '' GROUP BY source, line) JOIN hosts USING (source)
-  WHERE docs > 10 AND docs > host_docs * 0.1
+  SELECT source, line FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 5
 ), lost AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '[^ \\t-\\r]+')))::BIGINT AS lost_words FROM lines JOIN frequent USING (source, line) GROUP BY doc_id
 ), win AS (
@@ -119,7 +116,7 @@ WITH d AS (
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, NOT base_failed AND lost_words <= n_words * 0.7 AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, NOT base_failed AND 100 * lost_words <= 30 * n_words AS kept FROM judged
 """
 
 OP7_SQL = r"""
