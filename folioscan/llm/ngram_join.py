@@ -197,7 +197,9 @@ def _dealt(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
     """
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     partners = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block")))
-    every = rows.join(blocks, group).withColumn("block", block).select("node", group, "block", F.explode(partners).alias("other"))
+    # a second key has both sides exchanged for this join, so that Spark can split a large group's partition
+    twice = lambda df: df.withColumn("h", F.xxhash64(group))
+    every = twice(rows).join(twice(blocks), [group, "h"]).withColumn("block", block).select("node", group, "block", F.explode(partners).alias("other"))
     return every.select("node", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")).alias("task"))
 
 
@@ -274,6 +276,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     Sets are nodes by a 64-bit hash of all their elements and their size.
     """
+    if id_col in ("tie", "n_shingles", "component_id"):
+        raise ValueError(f"the result has a column {id_col} of its own")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
