@@ -22,6 +22,13 @@ def _neutral(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(START), F.lit("<|im_start |>")), F.lit(END), F.lit("<|im_end |>"))
 
 
+def _name(speaker: Column) -> Column:
+    """A speaker's name without what would break a turn's head: other names stay other names."""
+    for sign in "%\t\n\r <>|":
+        speaker = F.replace(speaker, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return speaker
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrators: tuple[str, ...] = ("system",)) -> DataFrame:
     """Renders every conversation once for each of its participants.
 
@@ -29,6 +36,10 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     conversation), speaker, segment, start, end (the segment's place in the
     perspective's text), content_start, content_end, masked.
 
+    A conversation gives turns times participants rows, as every participant
+    gets all turns. Blanks and the signs ``%<>|`` in a name are written as % and
+    two digits, so names that differ stay different.
+
     ``masked`` marks the segments to learn from: from content_start to end,
     which holds the content and its end mark; all else is context. Speakers in
     ``narrators`` take no perspective and appear as themselves.
@@ -48,7 +59,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     speakers = t.where(~F.col("speaker").isin(list(narrators))).select("conv", F.col("speaker").alias("perspective")).distinct()
     both = t.join(speakers, t["conv"].eqNullSafe(speakers["conv"])).drop(speakers["conv"])
     is_own = F.col("speaker") == F.col("perspective")
-    name = F.regexp_replace("speaker", r"[\s<>|]+", "_")
+    name = _name(F.col("speaker"))
     role = F.when(is_own, F.lit("assistant")).when(F.col("speaker").isin(list(narrators)), name).otherwise(F.concat(F.lit("user name="), name))
     cut = (
         both.withColumn("head", F.concat(F.lit(START), role, F.lit("\n")))
