@@ -14,8 +14,9 @@ from pyspark.sql.types import StringType
 
 from .common import materialise
 
-#: Parts that the rows of one cell are ordered in apart, so no cell is a task's bottleneck.
-SALTS = 32
+#: Rows of one cell that a task should have to order: a cell is ordered in parts, as many as all rows would need if they were in it.
+ROWS_PER_SALT = 500_000
+LEAST_SALTS = 32
 
 
 def hilbert_index(cells: Column, dims: int, bits: int) -> Column:
@@ -107,9 +108,9 @@ def shard_by_curve(df: DataFrame, dims: list[Column], n_shards: int, bits: int =
     gives no rows. Other columns are carried along; they must not be named
     shard or slot.
 
-    The ranks come from counts by cell and hash part, so no task sorts more
-    than such a part: the tables of counts have at most
-    ``2**(bits * dims) * SALTS`` rows.
+    The ranks come from counts by cell and hash part. A cell has as many parts
+    as the whole table would need (``ROWS_PER_SALT``), so no task sorts more
+    than about that, even if one cell holds most rows.
     """
     for name in ("shard", "slot"):
         if name in df.columns:
@@ -123,13 +124,14 @@ def shard_by_curve(df: DataFrame, dims: list[Column], n_shards: int, bits: int =
     table = [r[1] for r in sorted(spark.range(0, all_cells, 1, 1).select("id", hilbert_index(parts, len(dims), bits)).collect())]
     cell = F.aggregate(F.reverse(quantised(df, dims, bits)), F.lit(0), lambda a, c: a * (1 << bits) + c)
     tie = F.struct(*df.columns) if tie is None else tie
-    keyed = df.withColumns({"__order": F.get(F.lit(table), cell), "__tie": tie}).withColumn("__salt", F.pmod(F.xxhash64("__tie"), F.lit(SALTS)))
+    total = df.count()
+    salts = max(LEAST_SALTS, -(-total // ROWS_PER_SALT))
+    keyed = df.withColumns({"__order": F.get(F.lit(table), cell), "__tie": tie}).withColumn("__salt", F.pmod(F.xxhash64("__tie"), F.lit(salts)))
     counts = keyed.groupBy("__order", "__salt").count()
     by_order = counts.groupBy("__order").agg(F.sum("count").alias("rows"))
     order_first = by_order.select("__order", F.coalesce(F.sum("rows").over(Window.orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__order").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__order", "__salt", F.coalesce(F.sum("count").over(within), F.lit(0)).alias("__inner")).join(order_first, "__order").select("__order", "__salt", (F.col("__before") + F.col("__inner")).alias("__before"))
-    total = df.count()
     rank = F.row_number().over(Window.partitionBy("__order", "__salt").orderBy("__tie")) - 1
     ranked = keyed.withColumn("__rank", rank).join(offsets, ["__order", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     # a whole-number division by way of decimals would lose speed; products stay below 2**63 for any table
