@@ -8,11 +8,15 @@ edits keep some. Where a document holds a seed, the words around it are aligned
 the item; the alignment's score, as a share of the item's own, finds exact,
 edited and paraphrased copies.
 
-Test items are taken in blocks of bounded size, each block against all documents.
+Test items are taken in blocks of bounded size, each block against all
+documents. An alignment keeps two rows, so its memory is in proportion to the
+passage, however long the item.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .ngram_join import _MIX, _U, _hashes, _mixed
 
 #: Characters of test items that are held on the driver and sent to the executors at a time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An n-gram in so many documents is rare; or in so many times as many as the item's n-grams are in by median.
 RARE, RARE_FACTOR = 10, 3
@@ -46,24 +50,33 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment with linear gap costs: score, first and past-the-last aligned position in ``words``."""
-    n, m = len(item), len(words)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    slope = -GAP * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.maximum(table[i - 1] + GAP, 0)
-        row[1:] = np.maximum(row[1:], table[i - 1, :-1] + np.where(words == item[i - 1], MATCH, MISMATCH))
-        table[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    best, end = int(table[i, j]), int(j)
-    while table[i, j] > 0:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (MATCH if words[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif j and table[i, j] == table[i, j - 1] + GAP:
-            j -= 1
-        else:
-            i -= 1
-    return best, int(j), end
+    """Best local alignment with linear gap costs: score, first and past-the-last aligned position in ``words``.
+
+    Each cell carries where its alignment began, so no table is kept for a way
+    back: two rows of ``words``' length are all there is.
+    """
+    m = len(words)
+    score, begin = np.zeros(m + 1, dtype=np.int32), np.arange(m + 1, dtype=np.int32)
+    places = np.arange(m + 1, dtype=np.int32)
+    slope = -GAP * places
+    best = (0, 0, 0)
+    for word in item:
+        own = np.maximum(score + GAP, 0)
+        own_begin = np.where(own > 0, begin, places)
+        pair = score[:-1] + np.where(words == word, MATCH, MISMATCH).astype(np.int32)
+        better = pair >= np.maximum(own[1:], 1)
+        own[1:][better] = pair[better]
+        own_begin[1:][better] = begin[:-1][better]
+        # gaps along the row: the last place from which the running maximum comes
+        level = own + slope
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == top, places, 0))
+        score = top - slope
+        begin = np.where(score > 0, own_begin[source], places)
+        at = int(score.argmax())
+        if score[at] > best[0]:
+            best = (int(score[at]), int(begin[at]), at)
+    return best
 
 
 class Lookup:
@@ -103,15 +116,63 @@ def find_copies(docs: DataFrame, items: DataFrame, n: int = 3, min_score: float
     out = None
     for b in range(blocks):
         own = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        found = _find_block(texts, [(r["item"], word_hashes(r["text"])) for r in own.collect()], n, min_score, stretch, docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString())
+        found = _find_block(texts, Items([(r["item"], word_hashes(r["text"])) for r in own.toLocalIterator()], n), min_score, stretch, docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString())
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(id_col), "tie", F.col("item").alias(item_col if item_col != id_col else f"{item_col}_item"), "score", "start_word", "end_word")
 
 
-def _find_block(texts: DataFrame, items: list, n: int, min_score: float, stretch: int, id_kind: str, item_kind: str) -> DataFrame:
-    items = [(i, h) for i, h in items if len(h)]
-    sizes = sorted({min(n, len(h)) for _, h in items})
-    every = {k: np.unique(np.concatenate([grams(h, k) for _, h in items if min(n, len(h)) == k])) for k in sizes}
+class Items:
+    """Test items as flat arrays: ``names``, the words of all one after another, and each item's first."""
+
+    def __init__(self, rows: list[tuple[object, np.ndarray]], n: int):
+        rows = [(i, h) for i, h in rows if len(h)]
+        self.names = [i for i, _ in rows]
+        self.words = np.concatenate([h for _, h in rows]) if rows else np.zeros(0, dtype=_U)
+        self.firsts = np.concatenate(([0], np.cumsum([len(h) for _, h in rows]))).astype(np.int64)
+        self.sizes = [min(n, len(h)) for _, h in rows]
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.words[self.firsts[k] : self.firsts[k + 1]]
+
+
+class Seeds(NamedTuple):
+    """Seeds of one length: the lookup of their hashes, and for each hash a stretch of (item, place in the item)."""
+
+    lookup: Lookup
+    firsts: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
+def choose_seeds(items: Items, every: dict[int, np.ndarray], docs_with: dict[int, np.ndarray], stretch: int) -> dict[int, Seeds]:
+    """Each item's rare n-grams and the rarest of each of its stretches; ``docs_with`` counts the documents that hold each of ``every``."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in every}
+    for at in range(len(items)):
+        own = grams(items[at], k := items.sizes[at])
+        freq = docs_with[k][np.searchsorted(every[k], own)]
+        present = np.flatnonzero(freq)
+        if not len(present):
+            continue
+        limit = max(RARE, RARE_FACTOR * float(np.median(freq[present])))
+        some = np.where(freq > 0, freq, np.iinfo(np.int64).max)
+        rarest = [s + int(some[s : s + stretch].argmin()) for s in range(0, len(own), stretch) if freq[s : s + stretch].any()]
+        chosen = np.union1d(present[freq[present] <= limit], np.array(rarest, dtype=np.int64))
+        found[k].append((own[chosen], np.full(len(chosen), at), chosen))
+    out = {}
+    for k, parts in found.items():
+        if parts:
+            gram, item, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(gram, kind="stable")
+            keys, firsts = np.unique(gram[order], return_index=True)
+            out[k] = Seeds(Lookup(keys), np.append(firsts, len(gram)), item[order].astype(np.int32), place[order].astype(np.int32))
+    return out
+
+
+def _find_block(texts: DataFrame, items: Items, min_score: float, stretch: int, id_kind: str, item_kind: str) -> DataFrame:
+    every = {k: np.unique(np.concatenate([grams(items[at], k) for at in range(len(items)) if items.sizes[at] == k])) for k in sorted(set(items.sizes))}
 
     def count(batches):
         lookups = {k: Lookup(v) for k, v in every.items()}
@@ -123,49 +184,48 @@ def _find_block(texts: DataFrame, items: list, n: int, min_score: float, stretch
                     seen[k][np.unique(lookup.find(grams(h, k))[1])] += 1
             for k, c in seen.items():
                 at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(every[k][at].astype(np.int64, casting="unsafe")), pa.array(c[at])], names=["gram", "docs"])
-
-    df = {g: c for g, c in texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs")).toLocalIterator()} if items else {}
-    seeds: dict[int, dict[int, list[tuple[int, int]]]] = {k: {} for k in sizes}
-    for at, (_, h) in enumerate(items):
-        k = min(n, len(h))
-        own = grams(h, k)
-        freq = np.array([df.get(int(g), 0) for g in own.astype(np.int64, casting="unsafe")])
-        present = np.flatnonzero(freq)
-        if not len(present):
-            continue
-        limit = max(RARE, RARE_FACTOR * float(np.median(freq[present])))
-        some = np.where(freq > 0, freq, np.iinfo(np.int64).max)
-        chosen = set(present[freq[present] <= limit].tolist()) | {s + int(some[s : s + stretch].argmin()) for s in range(0, len(own), stretch) if freq[s : s + stretch].any()}
-        for q in chosen:
-            seeds[k].setdefault(int(own[q]), []).append((at, q))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at), pa.array(c[at])], names=["n", "at", "docs"])
+
+    docs_with = {k: np.zeros(len(v), dtype=np.int64) for k, v in every.items()}
+    if len(items):
+        # a row for each n-gram of the block's items at most
+        counted = texts.select("text").mapInArrow(count, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).toArrow()
+        size, at, held = (counted.column(c).to_numpy() for c in ("n", "at", "docs"))
+        for k, c in docs_with.items():
+            c[at[size == k]] = held[size == k]
+    seeds = choose_seeds(items, every, docs_with, stretch)
+
+    def best_passage(own: np.ndarray, h: np.ndarray, begins: list[int]) -> tuple[int, int, int]:
+        """Best alignment near the places at which the item would begin; far apart ones are aligned apart."""
+        slack = len(own) // 2 + 4
+        best, low = (0, 0, 0), begins[0]
+        for a, b in zip(begins, [*begins[1:], None], strict=True):
+            if b is None or b - a > len(own) + 2 * slack or b - low > 8 * len(own) + 64:
+                start = max(0, low - slack)
+                window = h[start : a + len(own) + slack]
+                # no more words can be aligned than the passage has
+                if np.isin(own, window).sum() >= min_score * len(own):
+                    score, x, y = align(own, window)
+                    best = max(best, (score, start + x, start + y), key=lambda t: t[0])
+                low = b
+        return best
 
     def scan(batches):
-        lookups = {k: Lookup(np.array(list(v), dtype=_U)) for k, v in seeds.items() if v}
         for batch in batches:
             rows, source = [], []
             for row, text in enumerate(batch.column(2)):
                 h = word_hashes(text.as_py())
                 hits: dict[int, list[int]] = {}
-                for k, lookup in lookups.items():
-                    at, place = lookup.find(grams(h, k))
-                    for p, g in zip(at.tolist(), lookup.keys[place].tolist(), strict=True):
-                        for item, q in seeds[k][g]:
+                for k, s in seeds.items():
+                    at, key = s.lookup.find(grams(h, k))
+                    for p, a, b in zip(at.tolist(), s.firsts[key].tolist(), s.firsts[key + 1].tolist(), strict=True):
+                        for item, q in zip(s.item[a:b].tolist(), s.place[a:b].tolist(), strict=True):
                             hits.setdefault(item, []).append(p - q)
                 for item, begins in hits.items():
-                    own = items[item][1]
-                    slack = len(own) // 2 + 4
-                    best, begins = (0, 0, 0), sorted(begins)
-                    low = begins[0]
-                    for a, b in zip(begins, [*begins[1:], None], strict=True):
-                        if b is None or b - a > len(own) + 2 * slack or b - low > 8 * len(own) + 64:
-                            start = max(0, low - slack)
-                            score, x, y = align(own, h[start : a + len(own) + slack])
-                            best = max(best, (score, start + x, start + y), key=lambda t: t[0])
-                            low = b
-                    share = best[0] / (MATCH * len(own))
-                    if share >= min_score:
-                        rows.append((item, share, best[1], best[2]))
+                    own = items[item]
+                    score, x, y = best_passage(own, h, sorted(begins))
+                    if score >= min_score * MATCH * len(own):
+                        rows.append((item, score / (MATCH * len(own)), x, y))
                         source.append(row)
             if rows:
                 picked = pa.array(source, pa.int64())
@@ -174,6 +234,6 @@ def _find_block(texts: DataFrame, items: list, n: int, min_score: float, stretch
 
     spark = texts.sparkSession
     found = texts.mapInArrow(scan, f"id {id_kind}, tie long, at long, score double, start_word long, end_word long")
-    names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], f"at long, item {item_kind}")
+    names = spark.createDataFrame([(k, i) for k, i in enumerate(items.names)], f"at long, item {item_kind}")
     # a block has at most BLOCK_CHARS characters, so its identifiers are few enough to broadcast
     return found.join(F.broadcast(names), "at").drop("at")
