@@ -160,6 +160,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     read, whatever their names. An empty table gives no rows. Memory on the
     driver is bounded by ``capacity`` times the number of salts.
     """
+    if id_col in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
+        raise ValueError(f"the result has a column {id_col} of its own")
     made = materialise(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     n_rows = made.count()
     salts = int(min(4096, max(16, -(-n_rows // ROWS_PER_SALT))))

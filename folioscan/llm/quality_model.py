@@ -206,5 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     learn from every score is 0.5. Only the id, text and label columns are
     read. An empty table gives no rows.
     """
+    if id_col in ("held_out", "score", "predicted"):
+        raise ValueError(f"the result has a column {id_col} of its own")
     model = fit(docs, labels, learned_fold(F.col(id_col)), id_col, text_col, label_col)
     return score(docs, model, id_col, text_col).select(F.col("id").alias(id_col), (id_fold(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -16,7 +16,8 @@ A file holds documents in ascending key order::
 * footer (fixed size): places of filter and index, documents, ids, id width, magic.
 
 A key is a byte 1 and the identifier as a biased big-endian 64-bit integer, so
-byte order is numeric order; a null identifier is the single byte 0.
+byte order is numeric order, or a byte 2 and its text in UTF-8; a null
+identifier is the single byte 0.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, qualified
 from .tokens import encoded_texts
 
 MAGIC = b"FOLIOSST"
@@ -44,11 +45,15 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQI8s")
 
 
-def key_of(doc_id: int | None) -> bytes:
-    return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
+def key_of(doc_id: int | str | None) -> bytes:
+    if doc_id is None:
+        return b"\0"
+    return b"\2" + doc_id.encode() if isinstance(doc_id, str) else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
 
 
-def id_of(key: bytes) -> int | None:
+def id_of(key: bytes) -> int | str | None:
+    if key[0] == 2:
+        return key[1:].decode()
     return None if key == b"\0" else struct.unpack(">Q", key[1:])[0] - (1 << 63)
 
 
@@ -121,7 +126,7 @@ class TableWriter:
     def _clear(self) -> None:
         self.block, self.size, self.restarts, self.entries, self.before, self.previous = [], 0, [], 0, self.ids, b""
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | str | None, ids: bytes) -> None:
         """``ids``: packed unsigned 32-bit little-endian integers."""
         key = key_of(doc_id)
         if self.last is not None and key < self.last:
@@ -222,7 +227,7 @@ class TableReader:
     def _ids(self, value: bytes) -> np.ndarray:
         return np.frombuffer(value, dtype="<u4" if self.width == 4 else "<u2").astype("<u4")
 
-    def scan(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | str | None, int, np.ndarray]]:
         """(identifier, ids before it in this file, ids) in key order."""
         before = 0
         for k in range(len(self.blocks)):
@@ -231,7 +236,7 @@ class TableReader:
                 yield id_of(key), before, ids
                 before += len(ids)
 
-    def get(self, doc_id: int | None) -> list[np.ndarray]:
+    def get(self, doc_id: int | str | None) -> list[np.ndarray]:
         """Ids of the documents with this identifier (none: an empty list)."""
         import bisect
 
@@ -255,6 +260,11 @@ class TableReader:
         return found
 
 
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """The type that identifiers are stored as: bigint or string."""
+    return "bigint" if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every document and writes it to table files under ``path``, in ascending id order across files.
 
@@ -263,9 +273,16 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     manifest, a row for each file: shard, path, docs, ids, offset (ids in
     earlier files).
 
-    A null id comes first; a null text is the end id alone; rows with equal
-    ids are all kept, next to each other. An empty table gives no files.
+    Identifiers are whole numbers of up to 64 bits or else texts (of other
+    types: their text), in numeric or byte order. A null id comes first; a null
+    text is the end id alone; rows with equal ids are all kept, next to each
+    other. Other columns aren't read. An empty table gives no files.
+
+    A ``path`` without a scheme is one of the default file system, as anywhere
+    in Spark, and all executors must reach it.
     """
+    kind = id_type(docs, id_col)
+    path = qualified(docs.sparkSession, path)
 
     def run(batches):
         from pyspark import TaskContext
@@ -290,14 +307,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
             table.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "docs": pa.array([table.docs], pa.int64()), "ids": pa.array([table.ids], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     manifest = materialise(rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text").mapInArrow(run, "shard int, path string, docs long, ids long"), "token-manifest")
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("offset", F.coalesce(F.sum("ids").over(upto), F.lit(0)))
 
 
-def read_store(manifest: DataFrame) -> DataFrame:
-    """Reads the files of a manifest: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
+def read_store(manifest: DataFrame, id_col: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """Reads the files of a manifest: the identifier (``kind``: bigint or string), start (ids of all documents before), n_tokens, ids_crc32."""
 
     def run(batches):
         for batch in batches:
@@ -307,20 +324,23 @@ def read_store(manifest: DataFrame) -> DataFrame:
                     for doc_id, before, ids in table.scan():
                         rows.append((doc_id, offset + before, len(ids), zlib.crc32(ids)))
                         if len(rows) == 20_000:
-                            yield _batch(rows)
+                            yield of_rows(rows)
                             rows = []
                     if rows:
-                        yield _batch(rows)
+                        yield of_rows(rows)
+
+    def of_rows(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("path", "offset")
     # a number given is kept, so that files are read side by side however small the manifest is
-    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return files.repartition(max(1, files.count())).mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` to a store in the shared folder and reads it back."""
-    return read_store(write_store(docs, new_path(docs.sparkSession, "token-store"), tokenizer_path, end_id))
+    if id_col in ("start", "n_tokens", "ids_crc32"):
+        raise ValueError(f"the result has a column {id_col} of its own")
+    manifest = write_store(docs, new_path(docs.sparkSession, "token-store"), tokenizer_path, end_id, id_col, text_col)
+    return read_store(manifest, id_col, id_type(docs, id_col))

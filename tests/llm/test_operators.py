@@ -1,13 +1,19 @@
 """Operators on small tables: nulls, empty texts, ties, repeated rows, empty tables, other columns."""
 
 import collections
+import datetime
+import hashlib
+import hmac
+import pathlib
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.llm import chat, components, decontaminate, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding, token_store
+from folioscan.llm import chat, common, components, decontaminate, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding, token_store
 from folioscan.llm.queries import queries
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -49,6 +55,19 @@ def test_token_store_edges(spark, tmp_path):
     assert token_store.read_store(token_store.write_store(docs(spark, []), str(tmp_path / "e"), PATH)).count() == 0
 
 
+def test_token_store_of_text_keys(spark, tmp_path):
+    rows = [("b", "x y"), ("a", "x"), (None, "n"), ("a", "z"), ("é", None)]
+    d = spark.createDataFrame(rows, "name string, body string")
+    manifest = token_store.write_store(d, str(tmp_path / "s"), PATH, id_col="name", text_col="body")
+    assert manifest.first().path.startswith("file:")
+    assert [r.name for r in token_store.read_store(manifest, "name", "string").orderBy("start").collect()] == [None, "a", "a", "b", "é"]
+    with token_store.TableReader(manifest.first().path) as t:
+        assert len(t.get("a")) + sum(len(token_store.TableReader(r.path).get("a")) for r in manifest.collect()[1:]) == 2
+    assert token_store.round_trip(d, PATH, id_col="name", text_col="body").columns == ["name", "start", "n_tokens", "ids_crc32"]
+    with pytest.raises(ValueError):
+        token_store.round_trip(d.withColumnRenamed("name", "start"), PATH, id_col="start", text_col="body")
+
+
 def test_line_dedup(spark):
     rows = [(i, f"Shared line\nown {i} line\n\n", f"site{i % 6}") for i in range(12)] + [(20, "shared LINE ", None), (21, None, "site1"), (22, "", "site2"), (None, "Shared line\nx", "site3"), (23, "pair\npair", "site1"), (24, "pair", "site2")]
     d = docs(spark, rows)
@@ -64,6 +83,17 @@ def test_line_dedup(spark):
         line_dedup.remove_spread_lines(d.withColumn("n_lines", F.lit(1)), 2)
 
 
+def test_long_blank_lines(spark):
+    # many blanks inside a line and at its ends, which a pattern with a backtracking end takes quadratic time for
+    text = " " * 1_000_000 + "Line" + " " * 1_000_000 + "end\n" + "\t" * 500_000
+    d = docs(spark, [(i, text, f"s{i}") for i in range(3)])
+    assert [(r.n_lines, r.n_removed) for r in line_dedup.remove_spread_lines(d, min_sites=3).orderBy("doc_id").collect()] == [(1, 0), (1, 1), (1, 1)]
+    began = time.time()
+    assert d.select(F.sum(F.length(line_dedup.normalised(F.col("text")))).alias("n")).first().n > 3_000_000
+    assert time.time() - began < 5
+    assert [r.n_words for r in quality_rules.judge(d).collect()] == [2] * 3
+
+
 def brute_repeats(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
     seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
@@ -168,6 +198,31 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_of_a_large_star(spark):
+    n = 200_000
+    leaves = spark.range(1, n + 1).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    ring = spark.range(n + 1, n + 21).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    rows = components.components(leaves.unionByName(ring))
+    assert rows.groupBy("root").count().collect() and {(r.root, r["count"]) for r in rows.groupBy("root").count().collect()} == {(0, n + 1), (n + 1, 21)}
+
+
+def test_frequent_keys_join_salted(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i % 3 else "k", i % 7) for i in range(300)], "id int, host string, line int")
+    keys = spark.createDataFrame([(None, 2, "a"), ("k", 3, "b")], "host string, line int, more string")
+    want = sorted(map(str, common.join_frequent(rows, keys, ["host", "line"], F.xxhash64("id")).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, common.join_frequent(rows, keys, ["host", "line"], F.xxhash64("id")).collect())) == want and len(want) > 30
+
+
+def test_shared_folder(spark):
+    kept = common.materialise(spark.range(5), "x")
+    files = kept.inputFiles()
+    assert files and kept.count() == 5
+    common.discard(kept)
+    common.discard(kept)
+    assert not any(pathlib.Path(f.removeprefix("file://")).exists() for f in files)
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "ann", "Bye 😀"), (2, 1, None, "alone"), (3, 1, "system", "nobody"), (None, 1, "eve", "x"), (1, None, "ann", "first")]
     t = spark.createDataFrame([(*x, "y") for x in turns], "conv_id bigint, turn bigint, role string, text string, perspective string")
@@ -183,6 +238,13 @@ def test_chat(spark):
     assert chat.rotate(t.limit(0)).count() == 0
 
 
+def test_chat_names_stay_apart(spark):
+    names = ["a b", "a_b", "a<b", "a%b", "a%20b", "a", None]
+    t = spark.createDataFrame([(1, i, n, "x") for i, n in enumerate(names)], "conv_id bigint, turn bigint, role string, text string")
+    heads = {r.segment.split("\n")[0] for r in chat.rotate(t).where("perspective = 'a' and not masked").collect()}
+    assert len(heads) == len(names) - 1 and all(re.fullmatch(r"<\|im_start\|>user name=[^\s<>|]+", h) for h in heads)
+
+
 def test_chat_in_many_blocks(spark, monkeypatch):
     t = spark.createDataFrame([(1, i, "ab"[i % 2], "w" * (i % 5)) for i in range(60)], "conv_id bigint, turn bigint, role string, text string")
     want = sorted(map(tuple, chat.rotate(t).collect()))
@@ -281,6 +343,17 @@ def test_decontamination(spark):
     assert decontaminate.find_copies(docs(spark, []), bench).count() == 0 and decontaminate.find_copies(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_long_items_are_aligned_in_little_memory(spark):
+    rng = np.random.default_rng(9)
+    item = rng.integers(0, 2**63, 6_000).astype(np.uint64)
+    passage = np.concatenate([rng.integers(0, 2**63, 500).astype(np.uint64), item[:3_000], item[3_020:], rng.integers(0, 2**63, 8_000).astype(np.uint64)])
+    tracemalloc.start()
+    assert decontaminate.align(item, passage) == (2 * 5_980 - 20, 500, 6_480)
+    # a whole table would take 350 MB
+    assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(12)], "item_id int, text string")
     d = docs(spark, [(i, f"start {r.text} end") for i, r in enumerate(items.collect())])
@@ -304,8 +377,7 @@ def test_pseudonyms_keep_formats(spark):
     out = [r.text for r in pii.pseudonymise(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
     a, b = re.findall(r"[\d-]{16,}", out[0])
     assert a != "4539578763621486" and luhn(a) and b.replace("-", "") == a and re.fullmatch(r"\d{4}-\d{4}-\d{4}-\d{4}", b)
-    bad = re.search(r"\d{16}", out[1]).group()
-    assert bad != "4539578763621487" and not luhn(bad)
+    assert out[1] == texts[1]
     assert "bob" not in out[2] and re.search(r"p[0-9a-f]{16}@mail\.invalid now$", out[2])
     ip = re.search(r"ip (\S+) and 999.1.1.1$", out[3]).group(1)
     assert ip != "10.2.33.254" and all(0 <= int(x) <= 255 for x in ip.split("."))
@@ -322,13 +394,13 @@ def test_checked_numbers(spark):
         "order 4539578763621487 and 4539-5787-6362-1487", "card 4539578763621486", "in 2024 4539 5787 6362 1486 was paid", "000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000",
         "ssn 123-45-6789", "ip 999.1.1.1 on 2021-02-30", "4539 5787 6362 1486 4539 5787 6362 1486", "4539 5787 6362 1487 4539 5787 6362 1487",
     ]
-    out = pii.pseudonymise(docs(spark, list(enumerate(texts))), "k", checked=True).orderBy("doc_id").collect()
+    out = pii.pseudonymise(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()
     assert [r.n_found for r in out] == [0, 1, 1, 0, 1, 0, 2, 0]
     assert all((r.text == t) == (r.n_found == 0) for r, t in zip(out, texts, strict=True))
     a, b = re.search(r"\d{16}", out[1].text).group(), re.fullmatch(r"in 2024 (\d{4} \d{4} \d{4} \d{4}) was paid", out[2].text).group(1)
     assert luhn(a) and b.replace(" ", "") == a and out[6].text == f"{b} {b}"
     rows = [(i, f"{area:03}-{group:02}-{serial:04}") for i, (area, group, serial) in enumerate((x, y, z) for x in (1, 665, 667, 899) for y in range(1, 100, 7) for z in (1, 5000, 9999))]
-    changed = [r.text for r in pii.pseudonymise(docs(spark, rows), "k", checked=True).collect()]
+    changed = [r.text for r in pii.pseudonymise(docs(spark, rows), "k").collect()]
     assert len(set(changed)) == len(rows) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in changed)
 
 
@@ -339,10 +411,69 @@ def test_query_leaves_unvalidated_numbers(spark, tmp_path):
     assert out[3].n_found == 1 and out[3].text != "card 4539578763621486"
 
 
+def keyed(key, *parts):
+    return int(hmac.new(key.encode(), "|".join(map(str, parts)).encode(), hashlib.sha256).hexdigest()[:15], 16)
+
+
+def plain_feistel(value, left, right, key, *tweak):
+    """The network of the operator in plain Python."""
+    a, b = divmod(value, right)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = (a + keyed(key, *tweak, i, b) % left) % left
+        else:
+            b = (b + keyed(key, *tweak, i, a) % right) % right
+    return a * right + b
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    rng = np.random.default_rng(6)
+    key = "k" * 70  # longer than a block of the hash
+    cards, want = [], []
+    for n in (12, 13, 16, 19):
+        for _ in range(8):
+            body = "".join(map(str, rng.integers(0, 10, n - 1)))
+            low = (n - 1) // 2
+            own = str(plain_feistel(int(body), 10 ** (n - 1 - low), 10**low, key, "card", n - 1)).zfill(n - 1)
+            whole = lambda d: next(d + str(c) for c in range(10) if luhn(d + str(c)))
+            cards.append(whole(body))
+            want.append(whole(own))
+    hosts = [tuple(map(int, rng.integers(0, 256, 4))) for _ in range(10)]
+    ips = [".".join(map(str, h)) for h in hosts]
+    want += [".".join(str(plain_feistel(int.from_bytes(bytes(h)), 65536, 65536, key, "ip") >> s & 255) for s in (24, 16, 8, 0)) for h in hosts]
+    days = [int(d) for d in rng.integers(0, 73049, 12)]
+    for d in days:
+        v = plain_feistel(d, 512, 256, key, "date")
+        while v >= 73049:
+            v = plain_feistel(v, 512, 256, key, "date")
+        want.append(str(datetime.date(1900, 1, 1) + datetime.timedelta(v)))
+    dates = [str(datetime.date(1900, 1, 1) + datetime.timedelta(d)) for d in days]
+    out = pii.pseudonymise(docs(spark, list(enumerate(cards + ips + dates))), key).orderBy("doc_id").collect()
+    assert [r.text for r in out] == want and all(r.n_found == 1 for r in out)
+
+
+def test_hard_texts_are_read_in_time(spark):
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2) + "com", "x@" + "a." * 100 + "com", "a." * (n // 2), "1" * n, "." * n, " " * n, "@" * n, "x@" * (n // 2), "1234 " * (n // 5), "-" * n, "(" * n, "f" * n, "1.1.1.1." * (n // 8)]
+    out = pii.pseudonymise(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()
+    assert [r.n_found for r in out] == [0, 1] + [0] * (len(texts) - 2) and all(r.text == t for r, t in zip(out, texts, strict=True) if r.doc_id != 1)
+    run = "4539 5787 6362 1486 " * 100 + "12 34"
+    long = pii.pseudonymise(docs(spark, [(0, run)]), "k").first()
+    assert long.n_found == 100 and len(set(long.text[:2000].split(" "))) == 5 and long.text.endswith(" 12 34")
+
+
+def test_key_is_not_in_the_plan(spark):
+    out = pii.pseudonymise(docs(spark, [(1, "ip 10.2.33.254 is no version 10.2.33.254")]).withColumn("pii", F.lit(7)), "very-secret")
+    plan = out._jdf.queryExecution().toString()
+    assert "very-secret" not in plan and b"very-secret".hex() not in plan.lower() and out.columns[-2:] == ["pii", "n_found"]
+    assert out.first().n_found == 1 and out.first().text.endswith("version 10.2.33.254") and out.first().pii == 7
+
+
 def test_permutations_are_one_to_one(spark):
-    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, F.lit("0")).alias("d")).select(pii.permuted_digits(F.col("d"), "k", F.lit("t")).alias("x"))
+    KEY = pii.Key(F.lit(b"i" * 64), F.lit(b"o" * 64))
+    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, F.lit("0")).alias("d")).select(pii.permuted_digits(F.col("d"), KEY, F.lit("t")).alias("x"))
     assert digits.distinct().count() == 1000 and digits.where("length(x) <> 3").count() == 0
-    numbers = spark.range(1024).select(pii.feistel(F.col("id"), F.lit(32).cast("long"), F.lit(32).cast("long"), "k", F.lit("t")).alias("x"))
+    numbers = spark.range(1024).select(pii.feistel(F.col("id"), F.lit(32).cast("long"), F.lit(32).cast("long"), KEY, F.lit("t")).alias("x"))
     assert numbers.distinct().count() == 1024 and numbers.where("x < 0 or x >= 1024").count() == 0
     days = spark.range(0, 73049, 37).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     mapped = pii.pseudonymise(days, "k")
