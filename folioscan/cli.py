@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "analyze":
         texts = analysis.validated(readers.abstract_texts(docs), "pmid", "text")
         n = texts.count()
-        ranked = analysis.ranked_terms(analysis.term_counts(analysis.document_terms(texts, "pmid")), n)
+        ranked = analysis.ranked_terms(analysis.corpus_counts(texts, "pmid"), n)
         writers.write_csv(ranked, ["condition", "rank", "term", "cf", "df", "idf"], f"{a.out}/terms")
         writers.write_csv(analysis.summaries(ranked, n), ["condition", "documents", "tokens", "unique_terms", "singleton_terms", "top10_token_share", "postings_entries"], f"{a.out}/summary")
         writers.write_csv(analysis.zipf_fits(ranked), ["condition", "segment", "points", "rank_start", "rank_end", "slope", "intercept", "zipf_exponent", "r_squared", "rmse", "status"], f"{a.out}/regression")

@@ -53,16 +53,21 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda t: t != "")
 
 
-def condition_tokens(text: Column, condition: str) -> Column:
-    """Array of raw tokens of an analysis condition before terms are normalised, filtered and stemmed."""
+def terms(text: Column) -> Column:
+    """Terms in order: the text is normalised as a whole, as neither case nor the kind of a hyphen moves the bounds of a token."""
+    return tokens(normalize(text))
+
+
+def condition_terms(text: Column, condition: str) -> Column:
+    """Array of the normalised terms of an analysis condition, before filtering and stemming."""
     if condition not in CONDITIONS:
         raise ValueError(f"unknown condition: {condition!r}")
-    return whitespace_tokens(text) if condition == "A" else tokens(text)
+    return whitespace_tokens(normalize(text)) if condition == "A" else terms(text)
 
 
 def query_terms(text: Column) -> Column:
     """Distinct terms in order of appearance."""
-    return F.array_distinct(F.transform(tokens(text), normalize))
+    return F.array_distinct(terms(text))
 
 
 def without_stopwords(terms: Column, words: tuple[str, ...] = ANALYSIS_STOPWORDS) -> Column:

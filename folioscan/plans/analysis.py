@@ -1,9 +1,10 @@
 """Corpus analysis under four preprocessing conditions.
 
 A: white-space tokens; B: word tokens; C: B without stopwords; D: C stemmed.
-All conditions run as one plan over rows (condition, document, term), counted
-first within documents, so the exchange carries a row for each distinct term of
-a document. D is C's counts grouped by stem: the text isn't read again for it.
+One pass over the texts counts the terms of A and B, summed up before the one
+exchange by term, and the counts are written once. C is a filter of B's counts,
+and D regroups them by stem. Only the document frequency of a stem that
+several terms share needs the texts again.
 """
 
 from __future__ import annotations
@@ -15,20 +16,30 @@ from pyspark.sql import functions as F
 
 from ..functions import porter, text
 from ..functions.vocabulary import ANALYSIS_STOPWORDS, REPRESENTATIVE_TERMS, SELECTED_DOMAIN_TERMS
+from ..storage import materialise
 
 SEGMENTS = ("head", "middle", "tail")
 #: Rank segments hold terms in their order, so ranking is cut at frequency classes of this many terms at most per sort.
 QUANTILES = (0.01, 0.03, 0.05, 0.10, 0.20, 0.30, 0.40, 0.50, 0.75, 1.0)
 
 
-def document_terms(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
-    """(condition, doc, term, tf)."""
+#: Terms that share their stem, up to which they are broadcast with their stems (some 40 bytes each); beyond, a shuffle join.
+BROADCAST_TERMS = 500_000
+
+
+def _kinds(conditions: tuple[str, ...]) -> list[str]:
+    """The token conditions that ``conditions`` are made from."""
     for c in conditions:
         if c not in text.CONDITIONS:
             raise ValueError(f"unknown condition: {c!r}")
-    kinds = [k for k in ("A", "B") if k in conditions or (k == "B" and {"C", "D"} & set(conditions))]
-    raw = docs.select(doc_col, F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), text.condition_tokens(F.col(text_col), k).alias("tokens")) for k in kinds])).alias("c"))
-    counted = raw.select(F.col("c.condition").alias("condition"), doc_col, F.explode("c.tokens").alias("t")).select("condition", doc_col, text.normalize(F.col("t")).alias("term")).groupBy("condition", doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return [k for k in ("A", "B") if k in conditions or (k == "B" and {"C", "D"} & set(conditions))]
+
+
+def document_terms(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
+    """(condition, doc, term, tf)."""
+    kinds = _kinds(conditions)
+    raw = docs.select(doc_col, F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), text.condition_terms(F.col(text_col), k).alias("terms")) for k in kinds])).alias("c"))
+    counted = raw.select(F.col("c.condition").alias("condition"), doc_col, F.explode("c.terms").alias("term")).groupBy("condition", doc_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     parts = []
     if set(kinds) & set(conditions):
         parts.append(counted.where(F.col("condition").isin(*conditions)))
@@ -41,6 +52,34 @@ def document_terms(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     return reduce(DataFrame.unionByName, parts)
 
 
+def _shared_stems(vocabulary: DataFrame) -> DataFrame:
+    """(term, stem) of the terms of ``vocabulary`` (term, stem) whose stem is another term's as well; broadcast if they are few."""
+    several = vocabulary.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stem")
+    shared = materialise(vocabulary.select("term", "stem").join(several, "stem", "left_semi"), "shared-stems")
+    return F.broadcast(shared) if shared.count() <= BROADCAST_TERMS else shared
+
+
+def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
+    """(condition, term, cf, df) of all documents, written once; ``docs`` has a row for each document."""
+    kinds = _kinds(conditions)
+    own = {k: text.condition_terms(F.col(text_col), k) for k in kinds}
+    one = lambda k, terms, cf, df: F.struct(F.lit(k).alias("condition"), terms.alias("terms"), F.lit(cf).alias("cf"), F.lit(df).alias("df"))
+    lists = docs.select(F.explode(F.array(*[x for k, t in own.items() for x in (one(k, t, 1, 0), one(k, F.array_distinct(t), 0, 1))])).alias("x"))
+    rows = lists.select("x.condition", F.explode("x.terms").alias("term"), "x.cf", "x.df")
+    counted = materialise(rows.groupBy("condition", "term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")), "term-counts")
+    if not {"C", "D"} & set(conditions):
+        return counted
+    c = counted.where((F.col("condition") == "B") & ~F.col("term").isin(list(ANALYSIS_STOPWORDS))).withColumn("condition", F.lit("C"))
+    parts = [counted.where(F.col("condition").isin(*conditions)), *([c] if "C" in conditions else [])]
+    if "D" in conditions:
+        vocabulary = materialise(porter.stems(c), "stems")
+        shared = _shared_stems(vocabulary)
+        held = docs.select(doc_col, F.explode(F.array_distinct(own["B"])).alias("term")).join(shared, "term").select("stem", doc_col).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
+        by_stem = vocabulary.groupBy("stem").agg(F.sum("cf").alias("cf"), F.max("df").alias("df")).join(held, "stem", "left")
+        parts.append(materialise(by_stem.select(F.lit("D").alias("condition"), F.col("stem").alias("term"), "cf", F.coalesce("held", "df").alias("df")), "stem-counts"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def term_counts(terms: DataFrame) -> DataFrame:
     """(condition, term, cf, df) from document terms."""
     return terms.groupBy("condition", "term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
@@ -65,11 +104,27 @@ def ranked_terms(counts: DataFrame, n_documents: int, with_size: bool = False) -
     return ranked.select("condition", (F.col("offset") + F.col("own")).alias("rank"), "term", "cf", "df", F.log10(F.lit(float(n_documents)) / F.col("df")).alias("idf"), *more)
 
 
-def document_counts(terms: DataFrame, docs: DataFrame, doc_col: str = "doc_id", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
-    """(condition, doc, tokens, unique_terms) for every document, zeros included."""
-    own = terms.groupBy("condition", doc_col).agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("unique_terms"))
-    every = docs.select(doc_col, F.explode(F.array(*[F.lit(c) for c in conditions])).alias("condition"))
-    return every.join(own, ["condition", doc_col], "left").select("condition", doc_col, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("unique_terms", F.lit(0)).alias("unique_terms"))
+def document_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
+    """(condition, doc, tokens, unique_terms) of every document, zeros included.
+
+    Counted within the row but for the stems: a document's distinct stems are
+    its distinct terms less those that share a stem with another of them.
+    """
+    kinds = _kinds(conditions)
+    terms = {k: text.condition_terms(F.col(text_col), k) for k in kinds}
+    if {"C", "D"} & set(conditions):
+        terms["C"] = text.without_stopwords(terms["B"])
+    size = lambda x: F.greatest(F.size(x), F.lit(0)).cast("long")
+    one = lambda c: F.struct(F.lit(c).alias("condition"), size(terms["C" if c == "D" else c]).alias("tokens"), size(F.array_distinct(terms["C" if c == "D" else c])).alias("unique_terms"))
+    rows = docs.select(doc_col, F.explode(F.array(*[one(c) for c in conditions])).alias("x")).select("x.condition", doc_col, "x.tokens", "x.unique_terms")
+    if "D" not in conditions:
+        return rows
+    own = docs.select(doc_col, F.explode(F.array_distinct(terms["C"])).alias("term"))
+    vocabulary = materialise(porter.stems(own.select("term").distinct()), "stems")
+    twice = own.join(_shared_stems(vocabulary), "term").groupBy(doc_col, "stem").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0").groupBy(doc_col).agg(F.sum("more").alias("more"))
+    twice = twice.select(F.col(doc_col).alias("__doc"), "more")
+    less = F.when(F.col("condition") == "D", F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
+    return rows.join(twice, F.col(doc_col).eqNullSafe(F.col("__doc")), "left").select("condition", doc_col, "tokens", (F.col("unique_terms") - less).alias("unique_terms"))
 
 
 def _share(a: Column, b: Column) -> Column:

@@ -91,14 +91,13 @@ fit AS (
 )"""
 
 
-def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs, analysis.document_terms(docs), docs.count()
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _ranked(spark: SparkSession, sf_dir: str, with_size: bool = False) -> DataFrame:
-    _, terms, n = _terms(spark, sf_dir)
-    return analysis.ranked_terms(analysis.term_counts(terms), n, with_size)
+def _ranked(spark: SparkSession, sf_dir: str, with_size: bool = False, conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return analysis.ranked_terms(analysis.corpus_counts(docs, conditions=conditions), docs.count(), with_size)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -116,8 +115,7 @@ def term_ranks(spark, sf_dir):
 
 @registered(f"WITH {_CONDITIONS} SELECT d.condition, doc_id, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(unique_terms, 0) AS unique_terms FROM (SELECT doc_id, unnest(['A', 'B', 'C', 'D']) AS condition FROM documents) d LEFT JOIN (SELECT condition, doc_id, sum(tf) AS tokens, count(*) AS unique_terms FROM tf GROUP BY ALL) USING (condition, doc_id)")
 def document_term_counts(spark, sf_dir):
-    docs, terms, _ = _terms(spark, sf_dir)
-    return analysis.document_counts(terms, docs)
+    return analysis.document_counts(_texts(spark, sf_dir))
 
 
 _SUMMARY = f"""
@@ -133,14 +131,12 @@ SELECT condition, (SELECT count(*) FROM documents) AS documents, tokens, unique_
        round(singleton_terms / unique_terms, 6) AS singleton_ratio, round(singleton_terms / tokens, 6) AS singleton_token_share, round(top10 / tokens, 6) AS top10_token_share, postings_entries FROM s1"""
 )
 def condition_summary(spark, sf_dir):
-    _, terms, n = _terms(spark, sf_dir)
-    return rounded(analysis.summaries(analysis.ranked_terms(analysis.term_counts(terms), n), n))
+    return rounded(analysis.summaries(_ranked(spark, sf_dir), _texts(spark, sf_dir).count()))
 
 
 @registered(_SUMMARY + "SELECT condition, unnest(['tokens', 'unique_terms', 'postings_entries']) AS metric, unnest([tokens, unique_terms, postings_entries]) AS value FROM s1")
 def preprocessing_comparison(spark, sf_dir):
-    _, terms, n = _terms(spark, sf_dir)
-    return analysis.comparison_rows(analysis.summaries(analysis.ranked_terms(analysis.term_counts(terms), n), n))
+    return analysis.comparison_rows(analysis.summaries(_ranked(spark, sf_dir), _texts(spark, sf_dir).count()))
 
 
 @registered(f"WITH {_CONDITIONS}, {_FIT} SELECT condition, segment, points, rank_start, rank_end, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(-slope, 6) AS zipf_exponent, round(r_squared, 6) AS r_squared, round(rmse, 6) AS rmse, status FROM fit")
@@ -186,9 +182,7 @@ sel AS (SELECT condition, rank, term, cf, df, round(idf, 6) + 0.0 AS idf, round(
 
 @registered(_SELECTED + "SELECT * FROM sel")
 def selected_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = docs.count()
-    return rounded(analysis.selected_terms(analysis.ranked_terms(analysis.term_counts(analysis.document_terms(docs, conditions=("B",))), n), n))
+    return rounded(analysis.selected_terms(_ranked(spark, sf_dir, conditions=("B",)), _texts(spark, sf_dir).count()))
 
 
 _REPRESENTATIVE = "[" + ", ".join(f"'{t}'" for t in analysis.REPRESENTATIVE_TERMS) + "]"

@@ -20,11 +20,23 @@ def test_conditions(spark):
     assert ("C", "the") not in c and c["C", "run"] == (3, 2)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_corpus_counts_equal_counts_by_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(analysis, "BROADCAST_TERMS", broadcast)
+    d = docs(spark, "The cats run, a cat ran; running CATS run.", "Runs and cat’s cats’ ÉTÉ été", "", None, "the of", "STRASSE Straße ὈΔΥΣΣΕΎΣ 3.14 mid‐sized mid-sized", "x " * 500 + "cat runs")
+    for conditions in (("A", "B", "C", "D"), ("B",), ("D",), ("A", "C")):
+        rows = lambda f: sorted(map(tuple, f.select("condition", "term", "cf", "df").collect()))  # noqa: E731, B023
+        assert rows(analysis.corpus_counts(d, conditions=conditions)) == rows(analysis.term_counts(analysis.document_terms(d, conditions=conditions)))
+        got = {(r.condition, r.doc_id): (r.tokens, r.unique_terms) for r in analysis.document_counts(d, conditions=conditions).collect()}
+        want = {(r.condition, r.doc_id): (r.tokens, r.n) for r in analysis.document_terms(d, conditions=conditions).groupBy("condition", "doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("n")).collect()}
+        assert got == {(c, i): want.get((c, i), (0, 0)) for c in conditions for i in range(1, 8)}
+
+
 def test_population_keeps_documents_without_terms(spark):
     d = docs(spark, "the", "cats")
     ranked = analysis.ranked_terms(analysis.term_counts(analysis.document_terms(d)), d.count())
     assert ranked.where("condition = 'C'").first().idf == pytest.approx(0.30103, abs=1e-5)
-    assert analysis.document_counts(analysis.document_terms(d), d).where("condition = 'C' AND doc_id = 1").first().tokens == 0
+    assert analysis.document_counts(d).where("condition = 'C' AND doc_id = 1").first().tokens == 0
 
 
 def test_ranks(spark):
