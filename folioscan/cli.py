@@ -27,8 +27,8 @@ def parser() -> argparse.ArgumentParser:
     out = ("--out", {"required": True})
     query = ("query", {})
     command("import", ("folder", {}), ("--scope", {"choices": ["full", "abstract"], "default": "full"}), out, help="parse a folder of XML and store its documents")
-    command("build", docs, ("--variant", {"choices": index.VARIANTS, "default": "relevance"}), out, help="build an index")
-    command("search", query, docs, ("--mode", {"choices": search.MODES, "default": "RELEVANCE"}), ("--stemming", {"action": "store_true"}), ("--limit", {"type": int, "default": 10}), help="search stored documents")
+    command("build", docs, ("--variant", {"choices": index.VARIANTS, "default": "porter_relevance"}), ("--phrases", {"action": "store_true", "help": "with the token table that phrase search needs"}), out, help="build an index, unless the one there is still right")
+    command("search", query, ("index", {"help": "folder of a built index"}), ("--documents", {"help": "folder of stored documents, for titles"}), ("--mode", {"choices": search.MODES}), ("--limit", {"type": int, "default": 10}), help="search a built index")
     command("stats", docs, help="totals of a library")
     command("analyze", docs, out, help="four-condition analysis of abstracts, as CSV")
     command("spell", query, docs, help="spelling suggestions from the documents' words")
@@ -49,18 +49,25 @@ def main(argv: list[str] | None = None) -> int:
         parsed.where("error <> ''").select("raw_path", "error").show(50, truncate=False)
         writers.write_documents(readers.documents_of(parsed), a.out)
         return 0
+    if a.command == "search":
+        own = index.read_index(spark, a.index)
+        mode = a.mode or ("RELEVANCE" if "relevance" in own.variant else "OR")
+        if (mode == "RELEVANCE") != ("relevance" in own.variant):
+            raise SystemExit(f"an index of the variant {own.variant} can't answer {mode}")
+        rows = index.read_tokens(spark, a.index) if mode == "PHRASE" else None
+        r = search.search(own, a.query, mode, "porter" in own.variant, "tfidf", rows)
+        print("\n".join(x for x in (r.warning, r.query_message, f"unknown: {', '.join(r.missing_terms)}" if r.missing_terms else "") if x))
+        hits = r.hits.where(F.col("rank") <= a.limit)
+        if a.documents:
+            hits = hits.join(readers.read_documents(spark, a.documents).select(F.col("pmcid").alias("doc_id"), "title"), "doc_id", "left")
+        hits.orderBy("rank").show(a.limit, truncate=80)
+        return 0
     docs = readers.read_documents(spark, a.documents)
     blocks = readers.blocks_of(docs)
     if a.command == "stats":
         library.overview(docs).show()
     elif a.command == "build":
-        index.write_index(index.build_index(blocks, a.variant), a.out)
-    elif a.command == "search":
-        own = index.build_index(blocks, index.variant_name(a.stemming and a.mode != "PHRASE", a.mode == "RELEVANCE"), locations=False)
-        rows = text.token_table(blocks, ["doc_id", "block_id"]) if a.mode == "PHRASE" else None
-        r = search.search(own, a.query, a.mode, a.stemming, "tfidf", rows)
-        print("\n".join(x for x in (r.warning, r.query_message, f"unknown: {', '.join(r.missing_terms)}" if r.missing_terms else "") if x))
-        r.hits.join(docs.select(F.col("pmcid").alias("doc_id"), "title"), "doc_id").orderBy("rank").limit(a.limit).show(a.limit, truncate=80)
+        index.current_index(blocks, a.out, a.variant, phrases=a.phrases)
     elif a.command == "analyze":
         texts = analysis.validated(readers.abstract_texts(docs), "pmid", "text")
         n = texts.count()

@@ -125,6 +125,31 @@ def compound_parts(surface: Column) -> Column:
     return F.aggregate(F.split(surface, _PIECES), start, step, lambda s: s["parts"])
 
 
+def relevance_occurrences(df: DataFrame, keys: list[str], text_col: str = "text", components: bool = True) -> DataFrame:
+    """(keys, term) for each term that ``relevance_tokens`` finds, without its place.
+
+    A token's neighbours come from shifted arrays of its own text, so nothing
+    is exchanged or sorted. Only tokens with digits or hyphens are taken apart.
+    """
+    texts = df.where(F.col(text_col).isNotNull()).select(*keys, tokens(F.col(text_col)).alias("all"), F.split(F.col(text_col), TOKEN, -1).alias("gaps")).where(F.size("all") > 0)
+    n = F.size("all")
+    around = F.arrays_zip(
+        F.col("all").alias("surface"), F.concat(F.array(F.lit(None).cast("string")), F.slice("all", F.lit(1), n - 1)).alias("before"), F.slice("all", F.lit(2), n).alias("after"), F.slice("gaps", F.lit(1), n).alias("gap"), F.slice("gaps", F.lit(2), n).alias("gap_after")
+    )
+    rows = texts.select(*keys, F.explode(around).alias("t")).select(*keys, "t.*").withColumn("term", normalize(F.col("surface")))
+    named = F.lit(False)
+    for word, letters in LETTER_CONTEXTS.items():
+        named = named | ((normalize(F.col("before")) == word) & F.col("term").isin(list(letters)))
+    cell = F.col("term").isin(list(CELL_LETTERS)) & normalize(F.col("after")).isin(list(CELL_WORDS))
+    protected = F.when(F.length("term") == 1, (named & F.col("gap").rlike(ALL_SPACE)) | (cell & F.col("gap_after").rlike(ALL_SPACE))).otherwise(F.lit(False))
+    pieces = F.filter(F.split("surface", _PIECES), lambda p: ~p.rlike(rf"^{HYPHEN}?$"))
+    parts = F.when(F.col("surface").rlike(rf"{HYPHEN}|\p{{N}}"), F.transform(pieces, normalize)).otherwise(F.array("term"))
+    apart = rows.select(*keys, F.coalesce(protected, F.lit(False)).alias("protected"), parts.alias("parts"))
+    told = apart.withColumn("telling", F.filter("parts", lambda p: ~p.isin(list(SEARCH_STOPWORDS)) & ~isolated_letter(p))).where(F.col("protected") | (F.size("telling") > 0))
+    whole = F.array(F.array_join("parts", "-"))
+    return told.select(*keys, F.explode(F.when((F.size("parts") > 1) & F.lit(components), F.concat(whole, F.col("telling"))).otherwise(whole)).alias("term"))
+
+
 def relevance_tokens(token_rows: DataFrame, keys: list[str], components: bool = True) -> DataFrame:
     """Terms for relevance search from a ``token_table``: keys, pos, term, start, end.
 

@@ -6,15 +6,21 @@ their parts, without words that carry no topic) and porter_relevance.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter, text
+from ..storage import materialise
 
 VARIANTS = ("plain", "porter", "relevance", "porter_relevance")
+#: Terms up to which their idf is broadcast (some 40 bytes each); beyond, a shuffle join.
+BROADCAST_TERMS = 500_000
 #: Changes with anything that alters an index's content.
 INDEX_VERSION = "1"
 
@@ -42,9 +48,13 @@ def postings(terms: DataFrame, doc_col: str = "doc_id", block_col: str = "block_
     return terms.groupBy("term", doc_col).agg(*aggs)
 
 
-def term_frequencies(blocks: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc, tf) of plain terms, straight from token arrays: no offsets, so no exchange but the count's."""
-    return blocks.select(doc_col, F.explode(text.tokens(F.col(text_col))).alias("t")).select(doc_col, text.normalize(F.col("t")).alias("term")).groupBy("term", doc_col).agg(F.count(F.lit(1)).alias("tf"))
+def term_frequencies(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, doc, tf) of a variant, straight from token arrays: no offsets, so no exchange but the count's."""
+    if variant not in VARIANTS:
+        raise ValueError(f"unknown variant: {variant!r}")
+    rows = text.relevance_occurrences(blocks, [doc_col], text_col) if "relevance" in variant else blocks.select(doc_col, F.explode(text.terms(F.col(text_col))).alias("term"))
+    counted = rows.groupBy("term", doc_col).agg(F.count(F.lit(1)).alias("tf"))
+    return porter.stemmed(counted).groupBy("term", doc_col).agg(F.sum("tf").alias("tf")) if "porter" in variant else counted
 
 
 def inverse_document_frequency(posting_rows: DataFrame, n_documents: int) -> DataFrame:
@@ -56,13 +66,14 @@ def inverse_document_frequency(posting_rows: DataFrame, n_documents: int) -> Dat
 def document_norms(posting_rows: DataFrame, idf: DataFrame, documents: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc, norm) of every document, those without terms included: 0."""
     weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    own = posting_rows.join(idf, "term").groupBy(doc_col).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    few = idf.select("term", "idf") if idf.count() > BROADCAST_TERMS else F.broadcast(idf.select("term", "idf"))
+    own = posting_rows.join(few, "term").groupBy(doc_col).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     return documents.select(doc_col).distinct().join(own, doc_col, "left").select(doc_col, F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
 @dataclass
 class Index:
-    """Tables of one variant; each may be lazy, cached or read from files."""
+    """Tables of one variant, read from files."""
 
     variant: str
     postings: DataFrame
@@ -73,33 +84,85 @@ class Index:
 
 
 def build_index(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", locations: bool = True) -> Index:
-    """Index of a table of text blocks; documents without terms count in N."""
+    """Index of a table of text blocks; documents without terms count in N.
+
+    The texts are read once: postings are written in the shared folder, and
+    idf and norms come from there. ``write_index`` gives an index a place of
+    its own.
+    """
     n = blocks.select(doc_col).distinct().count()
-    rows = term_frequencies(blocks, doc_col, text_col) if variant == "plain" and not locations else postings(located_terms(blocks, variant, doc_col, block_col, text_col), doc_col, block_col, locations)
-    idf = inverse_document_frequency(rows, n)
+    rows = postings(located_terms(blocks, variant, doc_col, block_col, text_col), doc_col, block_col) if locations else term_frequencies(blocks, variant, doc_col, text_col)
+    rows = materialise(rows, "postings")
+    idf = materialise(inverse_document_frequency(rows, n), "idf")
     return Index(variant, rows, idf, document_norms(rows, idf, blocks, doc_col), n, doc_col)
 
 
-def write_index(index: Index, path: str, buckets: int = 64) -> None:
-    """Writes an index sorted by term, so a lookup of terms reads few row groups; metadata last, as the mark that it is whole."""
+def rules() -> dict:
+    """What decides an index's content: stored with it, and compared before it is used."""
+    from ..functions import vocabulary
+
+    words = {name: hashlib.sha256(json.dumps(getattr(vocabulary, name), sort_keys=True).encode()).hexdigest() for name in ("CELL_LETTERS", "CELL_WORDS", "LETTER_CONTEXTS", "SEARCH_STOPWORDS")}
+    sign = {name: hashlib.sha256(inspect.getsource(f).encode()).hexdigest() for name, f in (("normalize", text.normalize), ("stem", porter.stem_word), ("relevance", text.relevance_occurrences))}
+    return {"version": INDEX_VERSION, "token": text.TOKEN, "space": text.SPACE, "hyphen": text.HYPHEN, **words, **sign}
+
+
+def content_mark(blocks: DataFrame, doc_col: str, block_col: str, text_col: str) -> str:
+    """A mark that changes with the rows of a table of blocks, whatever their order."""
+    n, total = blocks.agg(F.count(F.lit(1)), F.sum(F.xxhash64(doc_col, block_col, text_col).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
+def write_index(index: Index, path: str, buckets: int = 64, token_rows: DataFrame | None = None, content: str = "") -> None:
+    """Writes an index sorted by term, so a lookup of terms reads few row groups; metadata last, as the mark that it is whole.
+
+    ``token_rows``, a token table, is what phrase search needs besides; it is
+    sorted by term as well. ``content`` is the ``content_mark`` of the blocks.
+    """
     spark = index.postings.sparkSession
     index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     saved = spark.read.parquet(f"{path}/postings")
     idf = inverse_document_frequency(saved, index.n_documents)
     idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
     index.norms.write.mode("overwrite").parquet(f"{path}/norms")
-    meta = {"version": INDEX_VERSION, "variant": index.variant, "n_documents": index.n_documents, "doc_col": index.doc_col, "tokenizer": text.TOKEN}
+    if token_rows is not None:
+        token_rows.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/tokens")
+    meta = {"rules": rules(), "variant": index.variant, "n_documents": index.n_documents, "doc_col": index.doc_col, "tokens": token_rows is not None, "content": content}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+def _meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    """An index written by ``write_index``; refuses one of another version or tokenizer."""
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if meta["version"] != INDEX_VERSION or meta["tokenizer"] != text.TOKEN:
+    """An index written by ``write_index``; refuses one that was built by other rules."""
+    meta = _meta(spark, path)
+    if meta.get("rules") != rules():
         raise ValueError("the index was built by other rules; build it again")
     return Index(meta["variant"], *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "idf", "norms")), meta["n_documents"], meta["doc_col"])
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The token table that was written with an index."""
+    if not _meta(spark, path)["tokens"]:
+        raise ValueError("the index was built without a token table, which phrase search needs")
+    return spark.read.parquet(f"{path}/tokens")
+
+
+def current_index(blocks: DataFrame, path: str, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", phrases: bool = False, locations: bool = True) -> Index:
+    """The index at ``path``, built again if it is missing, not whole, of other rules or of other blocks."""
+    spark = blocks.sparkSession
+    mark = content_mark(blocks, doc_col, block_col, text_col)
+    try:
+        meta = _meta(spark, path)
+    except AnalysisException:
+        meta = {}
+    if (meta.get("rules"), meta.get("variant"), meta.get("content")) != (rules(), variant, mark) or (phrases and not meta["tokens"]):
+        rows = text.token_table(blocks, [doc_col, block_col], text_col) if phrases else None
+        write_index(build_index(blocks, variant, doc_col, block_col, text_col, locations), path, token_rows=rows, content=mark)
+    return read_index(spark, path)
+
+
 def index_faults(index: Index, documents: DataFrame) -> DataFrame:
     """What is wrong with an index, a row (fault, count) each: none if it is valid for ``documents``."""
     ids = documents.select(index.doc_col).distinct()

@@ -16,6 +16,7 @@ from .functions import porter, sentences, text
 from .functions.vocabulary import ANALYSIS_STOPWORDS, CELL_LETTERS, CELL_WORDS, LETTER_CONTEXTS, SEARCH_STOPWORDS, SELECTED_DOMAIN_TERMS
 from .operators import evaluation, index, search, snippets, spelling, vectors
 from .plans import analysis
+from .storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,7 +196,7 @@ def representative_terms(spark, sf_dir):
 
 @registered(f"WITH t AS (SELECT DISTINCT term FROM ({_B})) {porter.duckdb_sql('t', 'term')}")
 def porter_stems(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("t")).select(text.normalize(F.col("t")).alias("term")).distinct()
+    terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term")).distinct()
     return porter.stems(terms)
 
 
@@ -243,8 +244,8 @@ relevance AS (
 
 @registered(f"WITH {_RELEVANCE} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM relevance GROUP BY term")
 def relevance_terms(spark, sf_dir):
-    rows = index.located_terms(document_blocks(spark, sf_dir), "relevance")
-    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    rows = index.term_frequencies(document_blocks(spark, sf_dir), "relevance")
+    return rows.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 # ---- search
@@ -306,13 +307,35 @@ def search_relevance(spark, sf_dir):
     return search.search_batch(own, batch_queries(spark), "RELEVANCE").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@registered(f"WITH {_POSITIONS} SELECT 1 AS query_id, doc_id, a.stop - length(a.surface) AS start, b.stop AS \"end\" FROM placed a JOIN placed b USING (doc_id) WHERE b.pos = a.pos + 1 AND a.term = 'of' AND b.term = 'the' AND regexp_matches(b.gap, '^\\s+$') UNION ALL SELECT 2, doc_id, a.stop - length(a.surface), c.stop FROM placed a JOIN placed b USING (doc_id) JOIN placed c USING (doc_id) WHERE b.pos = a.pos + 1 AND c.pos = a.pos + 2 AND a.term = 'the' AND b.term = 'the' AND c.term = 'the' AND regexp_matches(b.gap, '^\\s+$') AND regexp_matches(c.gap, '^\\s+$')")
+_PHRASES = f"SELECT 1 AS query_id, doc_id, a.stop - length(a.surface) AS start, b.stop AS \"end\" FROM placed a JOIN placed b USING (doc_id) WHERE b.pos = a.pos + 1 AND a.term = 'of' AND b.term = 'the' AND regexp_matches(b.gap, '^\\s+$') UNION ALL SELECT 2, doc_id, a.stop - length(a.surface), c.stop FROM placed a JOIN placed b USING (doc_id) JOIN placed c USING (doc_id) WHERE b.pos = a.pos + 1 AND c.pos = a.pos + 2 AND a.term = 'the' AND b.term = 'the' AND c.term = 'the' AND regexp_matches(b.gap, '^\\s+$') AND regexp_matches(c.gap, '^\\s+$')"
+
+
+@registered(f"WITH {_POSITIONS} {_PHRASES}")
 def phrase_offsets(spark, sf_dir):
     rows = text.token_table(document_blocks(spark, sf_dir), ["doc_id", "block_id"])
     terms = search.parse_queries(batch_queries(spark, ('"of the"', "the the the")), "PHRASE")
     return search.phrase_matches(rows, terms).select("query_id", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+@registered(f"WITH {_POSITIONS}, {_scored(_B, 'qt AS (SELECT * FROM (VALUES (1, ' + repr('of') + '), (1, ' + repr('the') + '), (2, ' + repr('the') + ')) AS v(query_id, term))')}, phrases AS ({_PHRASES}) SELECT query_id, doc_id, score FROM scored SEMI JOIN phrases USING (query_id, doc_id)")
+def search_phrase(spark, sf_dir):
+    """Documents with an exact phrase, ranked by cosine, from an index that was written with its token table."""
+    path = new_path(spark, "index")
+    own = index.current_index(document_blocks(spark, sf_dir), path, "plain", phrases=True, locations=False)
+    best = search.search_batch(own, batch_queries(spark, ('"of the"', "the the the")), "PHRASE", ranking="tfidf", token_rows=index.read_tokens(spark, path))
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+_RELEVANCE_STEMS = f"q AS (SELECT * FROM (VALUES {_QUERY_ROWS}) AS v(query_id, query)), qa AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '{_TOKEN}')) AS term FROM q), qb AS (SELECT * FROM qa WHERE term NOT IN ({_SEARCH_STOP})), bs AS ({porter.duckdb_sql('(SELECT DISTINCT term FROM relevance UNION SELECT DISTINCT term FROM qb)', 'term')}), qt AS (SELECT DISTINCT query_id, stem AS term FROM qb JOIN bs USING (term))"
+
+
+@registered(f"WITH {_RELEVANCE}, {_scored('SELECT doc_id, stem AS term FROM relevance JOIN bs USING (term)', _RELEVANCE_STEMS)} SELECT query_id, doc_id, score FROM scored WHERE score > 0")
+def search_porter_relevance(spark, sf_dir):
+    """The usual public search, stemmed relevance, from a written index."""
+    own = index.current_index(document_blocks(spark, sf_dir), new_path(spark, "index"), "porter_relevance", locations=False)
+    return search.search_batch(own, batch_queries(spark), "RELEVANCE", stemming=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 @registered(f"WITH {_scored(_B, f'qt AS (SELECT DISTINCT item_id AS query_id, {_NORM.format(t='t')} AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, {chr(39)}{_TOKEN}{chr(39)})) AS t FROM benchmark))')}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) SELECT query_id, score, count(*) AS n FROM r WHERE rank <= 10 GROUP BY ALL")
 def batch_search_top10(spark, sf_dir):
     """Benchmark items as a batch of OR queries; scores of each item's ten best documents."""

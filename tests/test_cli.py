@@ -1,3 +1,5 @@
+import pytest
+
 from folioscan import cli
 from tests_support import JATS
 
@@ -9,7 +11,15 @@ def test_import_stats_search_spell(spark, tmp_path, capsys):
     docs = str(tmp_path / "docs")
     assert cli.main(["import", str(tmp_path / "raw"), "--out", docs]) == 0
     assert cli.main(["stats", docs]) == 0
-    assert cli.main(["search", "cancer", docs]) == 0
+    at = str(tmp_path / "index")
+    assert cli.main(["build", docs, "--out", at]) == 0
+    before = sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "index").rglob("*"))
+    assert cli.main(["build", docs, "--out", at]) == 0 and before == sorted((p, p.stat().st_mtime_ns) for p in (tmp_path / "index").rglob("*"))
+    assert cli.main(["search", "cancers", at, "--documents", docs]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["search", "cancer", at, "--mode", "AND"])
+    assert cli.main(["build", docs, "--variant", "plain", "--phrases", "--out", at]) == 0
+    assert cli.main(["search", "cancer treatment", at, "--mode", "PHRASE"]) == 0
     assert cli.main(["spell", "treatmnet", docs]) == 0
     out = capsys.readouterr().out
     assert "PMC1" in out and "treatment" in out

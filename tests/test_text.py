@@ -51,6 +51,20 @@ def test_relevance_tokens(spark, value, expected):
     assert sorted(r.term for r in rows) == sorted(expected)
 
 
+def test_occurrences_equal_located_terms(spark):
+    import random
+
+    rng = random.Random(5)
+    pieces = ["vitamin", "Vitamin", "C", "c", "D", "T", "t", "B", "cell", "cells", "the", "of", "il6", "IL-6", "GLP‐1", "x", "-", ", ", " ", " ", " ", "\n", "risk-risk", "3.14", "Été", "ὈΔΥΣΣΕΎΣ", "İ", "’s", "a-b", "hepatitis", "E"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(25)))) for i in range(400)] + [(900, None), (901, "")]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    for components in (True, False):
+        got = sorted(map(tuple, text.relevance_occurrences(d, ["doc_id"], components=components).collect()))
+        assert got == sorted((r.doc_id, r.term) for r in text.relevance_tokens(text.token_table(d, ["doc_id"]), ["doc_id"], components).collect())
+    whole = d.select("doc_id", text.terms(F.col("text")).alias("a"), F.transform(text.tokens(F.col("text")), text.normalize).alias("b"))
+    assert whole.where("NOT a <=> b").count() == 0
+
+
 def test_query_side_has_no_components(spark):
     rows = text.relevance_tokens(text.token_table(frame(spark, "high-risk IL6"), ["doc_id"]), ["doc_id"], components=False).collect()
     assert sorted(r.term for r in rows) == ["high-risk", "il-6"]
