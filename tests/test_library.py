@@ -19,14 +19,41 @@ def parse(xml, scope="full"):
 
 
 def test_full_text():
-    (doc,) = parse(JATS.format(n=5, body="Cancer."))
-    assert (doc["pmcid"], doc["pmid"], doc["title"], doc["year"], doc["language"], doc["license_url"]) == ("PMC5", "51", "Title 5", "2020", "en", "https://creativecommons.org/licenses/by/4.0/")
+    (doc,) = parse(JATS.format(n=5, body="Low water."))
+    assert (doc["pmcid"], doc["pmid"], doc["title"], doc["year"], doc["language"], doc["license_url"]) == ("PMC5", "51", "Rivers of valley 5", "2021", "en", "https://creativecommons.org/licenses/by/4.0/")
     assert [(b["kind"], b["text"]) for b in doc["blocks"]] == [
-        ("title", "Title 5"), ("heading", "Goal"), ("abstract", "Short abstract text."), ("heading", "Intro"), ("body", "Before x mid"), ("caption", "Figure text."), ("body", "after."), ("body", "Cancer."), ("table", "1"), ("table", "2"),
+        ("title", "Rivers of valley 5"), ("heading", "Aim"), ("abstract", "We mapped every stream."), ("heading", "Flow"), ("body", "Gauges of type two"), ("caption", "The map."), ("body", "were read daily."),
+        ("body", "Low water."), ("table", "low"), ("table", "high"),
     ]
-    assert doc["blocks"][4]["section"] == "正文 / Intro" and [b["text"] for b in doc["back_blocks"]] == ["Refs."]
+    assert doc["blocks"][4]["section"] == "正文 / Flow" and [b["text"] for b in doc["back_blocks"]] == ["Sources."]
     (short,) = parse(JATS.format(n=5, body="x"), "abstract")
-    assert [b["text"] for b in short["blocks"]] == ["Short abstract text."]
+    assert [b["text"] for b in short["blocks"]] == ["We mapped every stream."]
+
+
+def read_blocks(xml):
+    reader = article_xml.Reader(set())
+    reader.read(article_xml.parse_safely(xml.encode()), "S", "body")
+    return [(b["kind"], b["section"], b["text"]) for b in reader.blocks]
+
+
+@pytest.mark.parametrize(
+    ("xml", "blocks"),
+    [
+        ("<body>a<p>b <i>c</i> d</p>e</body>", [("body", "S", "a"), ("body", "S", "b c d"), ("body", "S", "e")]),
+        # a block within a line parts the line and what it stands in
+        ("<p>a <i>b <p>c</p> d</i> e</p>", [("body", "S", "a"), ("body", "S", "b"), ("body", "S", "c"), ("body", "S", "d"), ("body", "S", "e")]),
+        # the title names what comes before it, too
+        ("<sec><label>1</label><title>T <b>x</b></title><sec><p>y</p></sec></sec>", [("heading", "S / T x", "1"), ("heading", "S / T x", "T x"), ("body", "S / T x", "y")]),
+        ("<body><p id='k'>a</p><i id='k'>b</i><p id='k'>c</p></body>", [("body", "S", "a"), ("body", "S", "b")]),
+        ("<body><td>a<p>b</p><fig>c</fig></td><sub-article><p>d</p></sub-article></body>", [("table", "S", "a b c")]),
+        # silent elements give no text, but part it if they hold blocks
+        ("<p>a<graphic/>b<media><p>x</p></media>c</p>", [("body", "S", "ab"), ("body", "S", "c")]),
+        ("<p>one<xref>two</xref>three</p>", [("body", "S", "one two three")]),
+        ("<title>a<fig><caption><p>b</p></caption></fig></title>", [("body", "S", "a"), ("caption", "S", "b")]),
+    ],
+)
+def test_blocks(xml, blocks):
+    assert read_blocks(xml) == blocks
 
 
 def test_pubmed():
@@ -98,7 +125,7 @@ def test_import_statuses(spark, tmp_path):
     back = library.restore(deleted.documents, deleted.deleted, spark.createDataFrame([("PMC2",)], "pmcid string"), stored)
     assert back.documents.count() == 2 and back.deleted.count() == 0
     assert readers.blocks_of(stored).where("kind = 'body'").count() > 0
-    assert library.overview(stored).first().documents == 2 and library.matching(stored, "TITLE 2").count() == 1
+    assert library.overview(stored).first().documents == 2 and library.matching(stored, "VALLEY 2").count() == 1
 
 
 def test_sync_sees_contents_and_missing_sources(spark, tmp_path):
