@@ -32,7 +32,8 @@ def parser() -> argparse.ArgumentParser:
     command("stats", docs, help="totals of a library")
     command("analyze", docs, out, help="four-condition analysis of abstracts, as CSV")
     command("spell", query, docs, help="spelling suggestions from the documents' words")
-    command("neighbors", query, docs, ("--top", {"type": int, "default": 10}), help="neighbours of a word")
+    command("train", docs, out, help="train word vectors on the sentences of the abstracts")
+    command("neighbors", query, ("vectors", {"help": "folder of trained vectors"}), docs, ("--top", {"type": int, "default": 10}), help="neighbours of a word")
     command("verify", ("snapshot", {}), help="check a sealed snapshot")
     return p
 
@@ -71,20 +72,35 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "analyze":
         texts = analysis.validated(readers.abstract_texts(docs), "pmid", "text")
         n = texts.count()
-        ranked = analysis.ranked_terms(analysis.corpus_counts(texts, "pmid"), n)
-        writers.write_csv(ranked, ["condition", "rank", "term", "cf", "df", "idf"], f"{a.out}/terms")
-        writers.write_csv(analysis.summaries(ranked, n), ["condition", "documents", "tokens", "unique_terms", "singleton_terms", "top10_token_share", "postings_entries"], f"{a.out}/summary")
-        writers.write_csv(analysis.zipf_fits(ranked), ["condition", "segment", "points", "rank_start", "rank_end", "slope", "intercept", "zipf_exponent", "r_squared", "rmse", "status"], f"{a.out}/regression")
+        counts = analysis.corpus_counts(texts, "pmid")
+        ranked = analysis.ranked_terms(counts, n)
+        chosen = analysis.selected_terms(ranked.where("condition = 'B'"), n)
+        summary = analysis.summaries(ranked, n)
+        terms = ["condition", "rank", "term", "cf", "df", "idf"]
+        chosen_terms = [*terms, "coverage", "occurrences_per_document"]
+        fit = ["condition", "segment", "points", "rank_start", "rank_end", "slope", "intercept", "zipf_exponent", "r_squared", "rmse", "status"]
+        for name, rows, columns in (
+            ("terms", ranked, terms),
+            ("top50", ranked.where("rank <= 50"), terms),
+            ("documents", analysis.document_counts(texts, "pmid"), ["condition", "pmid", "tokens", "unique_terms"]),
+            ("summary", summary, summary.columns),
+            ("comparison", analysis.comparison_rows(summary), ["condition", "metric", "value"]),
+            ("regression", analysis.zipf_fits(ranked), fit),
+            ("selected", chosen, chosen_terms),
+            ("representative", analysis.representative_terms(chosen), chosen_terms),
+        ):
+            writers.write_csv(rows, columns, f"{a.out}/{name}")
     elif a.command == "spell":
         q = spark.createDataFrame([(1, a.query)], "query_id int, query string")
         spelling.choices(spelling.suggest(q, spelling.build_vocabulary(blocks))).show(truncate=False)
-    else:
+    elif a.command == "train":
         from pyspark.ml.functions import vector_to_array
 
-        from .functions.sentences import sentence_table
-
-        rows = sentence_table(blocks, ["doc_id", "block_id"]).select(F.transform(text.tokens(F.col("text")), text.normalize).alias("tokens")).where(F.size("tokens") > 0)
+        rows = vectors.training_records(blocks.where("kind = 'abstract'"), ["doc_id", "block_id"])
         known = vectors.train_words(rows).getVectors().select("word", vector_to_array("vector").alias("vector"))
+        vectors.save_vectors(known, a.out, writers.collection_fingerprint(docs))
+    else:
+        known = vectors.load_vectors(spark, a.vectors, writers.collection_fingerprint(docs))
         state, found = vectors.neighbours(known, a.query, a.top)
         print(state) if found is None else found.orderBy("rank").show(a.top)
     return 0

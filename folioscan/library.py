@@ -26,7 +26,7 @@ class Change:
     manifest: DataFrame
 
 
-def _manifest(rows: DataFrame, **given: Column) -> DataFrame:
+def manifest_rows(rows: DataFrame, **given: Column) -> DataFrame:
     """Rows in the manifest's columns; what isn't there is empty."""
     return rows.select(*[given.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit("")).cast(f.dataType).alias(f.name) for f in MANIFEST])
 
@@ -52,7 +52,7 @@ def import_articles(documents: DataFrame, deleted: DataFrame, parsed: DataFrame,
     still = deleted.join(written.select("pmcid"), "pmcid", "left_anti").select(*deleted.columns) if restore else deleted
     reason = F.when(F.col("status") == "skipped_deleted", "the article was deleted").when(F.col("license") == "", "no licence was given").otherwise("")
     failed = parsed.where("error <> ''").select(F.lit("").alias("pmcid"), "raw_path", "sha256", F.lit("failed").alias("status"), F.col("error").alias("reason"))
-    log = _manifest(decided, reason=reason, imported_at=F.lit(now)).unionByName(_manifest(failed, imported_at=F.lit(now)))
+    log = manifest_rows(decided, reason=reason, imported_at=F.lit(now)).unionByName(manifest_rows(failed, imported_at=F.lit(now)))
     return Change(kept, still, log)
 
 
@@ -62,7 +62,7 @@ def soft_delete(documents: DataFrame, deleted: DataFrame, ids: DataFrame, reason
     stones = gone.select("pmcid", F.struct(*documents.columns).alias("document"), F.lit(now).alias("deleted_at"), F.lit(reason).alias("reason"))
     rest = documents.join(gone.select("pmcid"), "pmcid", "left_anti").select(*documents.columns)
     older = deleted.join(gone.select("pmcid"), "pmcid", "left_anti").select(*deleted.columns)
-    return Change(rest, older.unionByName(stones), _manifest(gone, status=F.lit("deleted"), reason=F.lit(reason), acquired_at=F.lit(now)))
+    return Change(rest, older.unionByName(stones), manifest_rows(gone, status=F.lit("deleted"), reason=F.lit(reason), acquired_at=F.lit(now)))
 
 
 def restore(documents: DataFrame, deleted: DataFrame, ids: DataFrame, sources: DataFrame, now: str = "") -> Change:
@@ -74,7 +74,7 @@ def restore(documents: DataFrame, deleted: DataFrame, ids: DataFrame, sources: D
         raise ValueError(f"{lost} of the documents can't be restored; none was")
     back = found.select("document.*")
     rest = documents.join(wanted, "pmcid", "left_anti").select(*documents.columns)
-    return Change(rest.unionByName(back), deleted.join(wanted, "pmcid", "left_anti").select(*deleted.columns), _manifest(back, status=F.lit("restored"), acquired_at=F.lit(now)))
+    return Change(rest.unionByName(back), deleted.join(wanted, "pmcid", "left_anti").select(*deleted.columns), manifest_rows(back, status=F.lit("restored"), acquired_at=F.lit(now)))
 
 
 def purge(deleted: DataFrame, ids: DataFrame) -> DataFrame:
@@ -126,6 +126,6 @@ def publish(documents: DataFrame, deleted: DataFrame, snapshot: DataFrame, now:
     known = documents.select("pmcid", F.sha2(F.to_json(F.struct(*documents.columns)), 256).alias("old"))
     marked = fresh.withColumn("new", F.sha2(F.to_json(F.struct(*documents.columns)), 256)).join(known, "pmcid", "left")
     status = F.when(F.col("old").isNull(), "imported").otherwise("updated")
-    log = _manifest(marked.where("old IS NULL OR old <> new"), status=status, reason=F.lit("published from a snapshot"), imported_at=F.lit(now))
+    log = manifest_rows(marked.where("old IS NULL OR old <> new"), status=status, reason=F.lit("published from a snapshot"), imported_at=F.lit(now))
     rest = documents.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*documents.columns)
     return Change(rest.unionByName(fresh), deleted.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*deleted.columns), log)

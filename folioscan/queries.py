@@ -367,7 +367,7 @@ def highlight_ranges(spark, sf_dir):
 @registered()
 def search_snippets(spark, sf_dir):
     blocks = document_blocks(spark, sf_dir).select("doc_id", "block_id", F.lit("").alias("section"), F.lit("body").alias("kind"), F.lit(0).alias("block_ord"), "text")
-    terms = search.parse_queries(batch_queries(spark, BATCH[:2]), "OR")
+    terms = search.parse_queries(batch_queries(spark), "OR")
     return snippets.snippets(snippets.hit_locations(index.located_terms(blocks, "plain"), terms), blocks)
 
 
@@ -418,7 +418,7 @@ def nearest_vectors(spark, sf_dir):
 @registered()
 def word_neighbours(spark, sf_dir):
     """Neighbours of a word by vectors trained on the documents' sentences."""
-    rows = sentences.sentence_table(table(spark, sf_dir, "documents"), ["doc_id"]).select(F.transform(text.tokens(F.col("text")), text.normalize).alias("tokens")).where(F.size("tokens") > 0)
+    rows = vectors.training_records(table(spark, sf_dir, "documents"), ["doc_id"])
     model = vectors.train_words(rows, partitions=4)
     from pyspark.ml.functions import vector_to_array
 
@@ -444,9 +444,18 @@ def status_counts(spark, sf_dir):
     return evaluation.status_counts(table(spark, sf_dir, "events"), "event_type")
 
 
-@registered("SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters FROM documents")
+@registered(f"SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters, sum(len(regexp_extract_all(text, '{_TOKEN}')))::BIGINT AS words FROM documents")
 def corpus_overview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("characters"))
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length(t)).alias("characters"), F.sum(F.size(text.tokens(t))).alias("words"))
+
+
+@registered()
+def sentence_overview(spark, sf_dir):
+    """Documents and sentences, and how many each rule ended."""
+    own = table(spark, sf_dir, "documents").select(sentences.sentences(F.col("text")).alias("s"))
+    rules = [F.sum(F.size(F.filter("s", lambda s, r=r: s["rule"] == r))).alias(r) for r in (sentences.PLAIN, sentences.ABBREVIATION, sentences.LAST)]
+    return own.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("s")).alias("sentences"), *rules)
 
 
 def _weighting_sql() -> str:

@@ -23,8 +23,12 @@ def append_manifest(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
-    """CSV with a header and the columns in the given order; further columns are left out."""
-    df.select(*columns).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """CSV with a header and the columns in the given order; further columns are left out.
+
+    The header begins with a byte order mark, by which spreadsheets know UTF-8.
+    """
+    marked = [F.col(c).alias("\ufeff" + c if i == 0 else c) for i, c in enumerate(columns)]
+    df.select(*marked).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 def canonical(column: Column) -> Column:
@@ -33,9 +37,10 @@ def canonical(column: Column) -> Column:
 
 
 def collection_fingerprint(documents: DataFrame, id_col: str = "pmcid") -> str:
-    """SHA-256 over the documents' digests in the order of identifiers: the same for the same content however it is stored.
+    """SHA-256 over the documents' digests: the same for the same content however it is stored.
 
-    Digests are hashed in range-partitioned groups, so one digest a group reaches the driver.
+    Digests are grouped by their first twelve bits and hashed in the order of
+    identifiers within a group, so one digest a group reaches the driver.
     """
     rows = documents.select(document_order(F.col(id_col)).alias("o"), F.sha2(canonical(F.struct(*documents.columns)), 256).alias("d"))
     groups = rows.withColumn("g", F.conv(F.substring("d", 1, 3), 16, 10).cast("int")).groupBy("g").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), ""), 256).alias("h"))

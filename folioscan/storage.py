@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """Hadoop's file system of ``path``, and the path as an object of it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -45,7 +45,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme: one without stands for the same place in Spark and outside it."""
-    system, at = _hadoop(spark, path)
+    system, at = hadoop(spark, path)
     return system.makeQualified(at).toString()
 
 
@@ -53,7 +53,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in this application's part of the shared folder, which goes when the driver's JVM ends."""
     app = f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}"
     if app not in _announced:
-        system, at = _hadoop(spark, app)
+        system, at = hadoop(spark, app)
         system.mkdirs(at)
         system.deleteOnExit(at)
         _announced.add(app)
@@ -78,12 +78,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Removes what ``materialise`` wrote for ``df``; nothing may read it afterwards."""
     if path := _places.pop(df, None):
-        system, at = _hadoop(df.sparkSession, path)
+        system, at = hadoop(df.sparkSession, path)
         system.delete(at, True)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Removes everything that this application has materialised; call it when no result is to be read any more."""
-    system, at = _hadoop(spark, f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}")
+    system, at = hadoop(spark, f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}")
     system.delete(at, True)
     _announced.clear()

@@ -21,5 +21,10 @@ def test_import_stats_search_spell(spark, tmp_path, capsys):
     assert cli.main(["build", docs, "--variant", "plain", "--phrases", "--out", at]) == 0
     assert cli.main(["search", "cancer treatment", at, "--mode", "PHRASE"]) == 0
     assert cli.main(["spell", "treatmnet", docs]) == 0
+    assert cli.main(["analyze", docs, "--out", str(tmp_path / "a")]) == 0
+    head = next((tmp_path / "a/top50").glob("part-*")).read_bytes()
+    assert head.startswith(b"\xef\xbb\xbfcondition,rank,term") and len(list((tmp_path / "a").iterdir())) == 8
+    assert cli.main(["train", docs, "--out", str(tmp_path / "v")]) == 0
+    assert cli.main(["neighbors", "stream", str(tmp_path / "v"), docs]) == 0
     out = capsys.readouterr().out
     assert "PMC1" in out and "treatment" in out
