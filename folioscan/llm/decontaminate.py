@@ -22,31 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import _MIX, _U, _hashes, _mixed
+from .words import LETTERS_ONLY, gram_hashes, hashed
 
+_U = np.uint64
 #: Characters of test items that are held on the driver and sent to the executors at a time.
 BLOCK_CHARS = 24_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An n-gram in so many documents is rare; or in so many times as many as the item's n-grams are in by median.
 RARE, RARE_FACTOR = 10, 3
-_TABLE = bytes(ord(" ") if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of a text's words in order: runs of anything but ASCII punctuation and white space, A-Z lower-cased."""
-    words = text.encode("utf-8", "replace").translate(_TABLE).split() if text else []
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=_U, count=len(words))
-
-
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n``-gram that begins at each word."""
-    if len(h) < n:
-        return np.zeros(0, dtype=_U)
-    total = np.full(len(h) - n + 1, _U(n), dtype=_U)
-    for k in range(n):
-        total = (total + h[k : len(h) - n + 1 + k]) * _MIX[3]
-        total ^= total >> _U(29)
-    return _mixed(total)
+    return next(hashed(pa.array([text], pa.string()), LETTERS_ONLY))[0]
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -87,6 +75,14 @@ class Lookup:
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.keys >> _U(42)).astype(np.int64)] = True
 
+    def within(self, h: np.ndarray, upto: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ``n``-grams of texts whose words are ``h``, those that are members: text, place of the first word in ``h``, place among the keys."""
+        at, place = self.find(gram_hashes(h, n))
+        text = np.searchsorted(upto, at, side="right") - 1
+        # no gram runs from a text into the next
+        own = at + n <= upto[text + 1]
+        return text[own], at[own], place[own]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``h`` of members, and their places among the sorted keys."""
         at = np.flatnonzero(self.bits[(h >> _U(42)).astype(np.int64)])
@@ -151,7 +147,7 @@ def choose_seeds(items: Items, every: dict[int, np.ndarray], docs_with: dict[int
     """Each item's rare n-grams and the rarest of each of its stretches; ``docs_with`` counts the documents that hold each of ``every``."""
     found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {k: [] for k in every}
     for at in range(len(items)):
-        own = grams(items[at], k := items.sizes[at])
+        own = gram_hashes(items[at], k := items.sizes[at])
         freq = docs_with[k][np.searchsorted(every[k], own)]
         present = np.flatnonzero(freq)
         if not len(present):
@@ -172,16 +168,17 @@ def choose_seeds(items: Items, every: dict[int, np.ndarray], docs_with: dict[int
 
 
 def _find_block(texts: DataFrame, items: Items, min_score: float, stretch: int, id_kind: str, item_kind: str) -> DataFrame:
-    every = {k: np.unique(np.concatenate([grams(items[at], k) for at in range(len(items)) if items.sizes[at] == k])) for k in sorted(set(items.sizes))}
+    every = {k: np.unique(np.concatenate([gram_hashes(items[at], k) for at in range(len(items)) if items.sizes[at] == k])) for k in sorted(set(items.sizes))}
 
     def count(batches):
         lookups = {k: Lookup(v) for k, v in every.items()}
         for batch in batches:
             seen = {k: np.zeros(len(v), dtype=np.int64) for k, v in every.items()}
-            for text in batch.column(0):
-                h = word_hashes(text.as_py())
+            for h, upto in hashed(batch.column(0), LETTERS_ONLY):
                 for k, lookup in lookups.items():
-                    seen[k][np.unique(lookup.find(grams(h, k))[1])] += 1
+                    text, _, place = lookup.within(h, upto, k)
+                    once = np.unique(text * len(every[k]) + place) % len(every[k])
+                    seen[k] += np.bincount(once, minlength=len(every[k]))
             for k, c in seen.items():
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at), pa.array(c[at])], names=["n", "at", "docs"])
@@ -212,21 +209,22 @@ def _find_block(texts: DataFrame, items: Items, min_score: float, stretch: int,
 
     def scan(batches):
         for batch in batches:
-            rows, source = [], []
-            for row, text in enumerate(batch.column(2)):
-                h = word_hashes(text.as_py())
-                hits: dict[int, list[int]] = {}
+            rows, source, first = [], [], 0
+            for h, upto in hashed(batch.column(2), LETTERS_ONLY):
+                # text and item -> places at which the item would begin
+                hits: dict[tuple[int, int], list[int]] = {}
                 for k, s in seeds.items():
-                    at, key = s.lookup.find(grams(h, k))
-                    for p, a, b in zip(at.tolist(), s.firsts[key].tolist(), s.firsts[key + 1].tolist(), strict=True):
+                    text, at, key = s.lookup.within(h, upto, k)
+                    for t, p, a, b in zip(text.tolist(), (at - upto[text]).tolist(), s.firsts[key].tolist(), s.firsts[key + 1].tolist(), strict=True):
                         for item, q in zip(s.item[a:b].tolist(), s.place[a:b].tolist(), strict=True):
-                            hits.setdefault(item, []).append(p - q)
-                for item, begins in hits.items():
+                            hits.setdefault((t, item), []).append(p - q)
+                for (t, item), begins in hits.items():
                     own = items[item]
-                    score, x, y = best_passage(own, h, sorted(begins))
+                    score, x, y = best_passage(own, h[upto[t] : upto[t + 1]], sorted(begins))
                     if score >= min_score * MATCH * len(own):
                         rows.append((item, score / (MATCH * len(own)), x, y))
-                        source.append(row)
+                        source.append(first + t)
+                first += len(upto) - 1
             if rows:
                 picked = pa.array(source, pa.int64())
                 cols = list(zip(*rows, strict=True))

@@ -24,6 +24,7 @@ A document's set is its distinct word n-grams, as 64-bit hashes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
@@ -34,9 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
+from .words import _MIX, PLAIN_WORDS, gram_hashes, hashed, mixed
 
-#: Words kept in a worker's memo of word hashes.
-MEMO_WORDS = 500_000
 #: Elements of the sets that one comparing task takes.
 TASK_ELEMENTS = 1 << 20
 #: Sets that a task remembers having signed; beyond it, copies are signed again.
@@ -47,40 +47,20 @@ TASK_NODES = 50_000
 BROADCAST_ROWS = 500_000
 
 _U = np.uint64
-_MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _MIX[1]
-    x = (x ^ (x >> _U(27))) * _MIX[2]
-    return x ^ (x >> _U(31))
+def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of each text the ascending hashes of the distinct ``n``-grams of its words, A-Z lower-cased; with fewer words, of all as one."""
+    for h, upto in hashed(texts, PLAIN_WORDS):
+        grams = gram_hashes(h, n)
+        bounds = upto.tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield np.unique(grams[a : b - n + 1] if b - a >= n else gram_hashes(h[a:b], b - a) if b > a else h[a:b])
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
-    """Ascending hashes of the distinct ``n``-grams of a text's words, A-Z lower-cased; with fewer words, of all as one."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=_U)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=_U, count=len(words))
-    size = min(n, len(h))
-    total = np.full(len(h) - size + 1, _U(int(_MIX[0]) * size % (1 << 64)) if size < n else _U(0), dtype=_U)
-    for k in range(size):
-        total = (total + h[k : len(h) - size + 1 + k]) * _MIX[3]
-        total ^= total >> _U(29)
-    return np.unique(_mixed(total))
+    """``sets_of`` one text."""
+    return next(sets_of(pa.array([text], pa.string()), n))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -132,7 +112,7 @@ class Bands:
         """Signatures of a set given as ascending hashes, as signed 64-bit integers."""
         out = []
         sums = np.zeros(len(own) + 1, dtype=_U)
-        np.cumsum(_mixed(own ^ _MIX[0]), out=sums[1:])
+        np.cumsum(mixed(own ^ _MIX[0]), out=sums[1:])
         for band in self.of(len(own)) if len(own) else []:
             if (shape := self.part(band)) is None:
                 continue
@@ -142,10 +122,10 @@ class Bands:
             count = np.diff(at).reshape(n1, n2)
             found, sizes = [], []
             for j, kept in enumerate(combinations(range(n2), n2 - 1)):
-                seed = _mixed(np.arange(n1, dtype=_U) * _U(64) + _U(j) + _U((band + 1) << 40))
+                seed = mixed(np.arange(n1, dtype=_U) * _U(64) + _U(j) + _U((band + 1) << 40))
                 value = seed
                 for c in kept:
-                    value = _mixed(value + part[:, c])
+                    value = mixed(value + part[:, c])
                 found.append(value)
                 sizes.append(sum(count[:, c] for c in kept))
             bare = np.array(sizes) == 0
@@ -283,7 +263,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def sized(batches):
         for batch in batches:
-            own = [shingles(t.as_py(), n) for t in batch.column(2)]
+            own = list(sets_of(batch.column(2), n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in own], pa.int64()), pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([sketch(s) if len(s) else None for s in own], pa.binary())],
                 names=["id", "tie", "n_shingles", "node", "sketch"],
@@ -293,8 +273,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         bands, seen = Bands(num, den), set()
         for batch in batches:
             nodes, found, total = [], [], 0
-            for t in batch.column(0):
-                own = shingles(t.as_py(), n)
+            for own in sets_of(batch.column(0), n):
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
                 # copies in a task say nothing new, so a large group of them is a few rows a task
@@ -312,7 +291,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def with_sets(batches):
         for batch in batches:
-            own = [shingles(t.as_py(), n) for t in batch.column(1)]
+            own = list(sets_of(batch.column(1), n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "elements"])
 
     def filtered(batches):

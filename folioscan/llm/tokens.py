@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import bytes_of, runs
+
 #: Words that each of a memo's two halves holds at most.
 MEMO_WORDS = 350_000
 #: Longer words are not worth keeping.
@@ -111,9 +113,7 @@ class TextEncoder:
 
     def _plain(self, texts: pa.LargeStringArray) -> list[bytes]:
         """Ids of plain texts."""
-        where = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[where[0] : where[-1]] if where[-1] > where[0] else np.zeros(0, dtype=np.uint8)
-        where = where - where[0]
+        data, where = bytes_of(texts)
         starts = word_starts(data, where[:-1][where[:-1] < where[1:]])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
         packed = [self.words[w] for w in words.dictionary.to_pylist()]
@@ -160,18 +160,6 @@ def encoder(path: str, memo_words: int = MEMO_WORDS) -> TextEncoder:
     return _encoders[key]
 
 
-def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
-    """Index ranges that follow each other, each of at most ``limit`` in total (a larger single item stands alone)."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > limit:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encoded_texts(path: str, texts: pa.Array) -> Iterator[bytes]:
     """Packed ids of each text in turn; a null text counts as empty."""
     return encoder(path).encode(texts)

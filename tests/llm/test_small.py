@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folioscan.llm import decontaminate, ngram_join, packing, quality_model, token_store, tokens
+from folioscan.llm import decontaminate, ngram_join, packing, quality_model, token_store, tokens, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,8 +61,8 @@ def test_other_files_go_to_the_library_whole():
 
 
 def test_runs_cover_everything():
-    assert list(tokens.runs([5, 5, 100, 1], 10)) == [(0, 2), (2, 3), (3, 4)]
-    assert list(tokens.runs([], 10)) == []
+    assert list(words.runs([5, 5, 100, 1], 10)) == [(0, 2), (2, 3), (3, 4)]
+    assert list(words.runs([], 10)) == []
 
 
 def test_best_two_fit_replaces_the_smallest():
