@@ -30,7 +30,7 @@ from .common import let
 ROUNDS = 8
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,126}[A-Za-z]{2,24}"
 #: Not after a word for a version: such numbers look alike.
-_IP = r"(?<![0-9.])(?<!\b(?:[Vv]ersion|[Bb]uild|[Rr]elease|[Rr]evision|[Ff]irmware|[Vv])[ :.=]{0,2})(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
+_IP = r"(?<![0-9.])(?=[0-9]{1,3}\.)(?<!\b(?:[Vv]ersion|[Bb]uild|[Rr]elease|[Rr]evision|[Ff]irmware|[Vv])[ :.=]{0,2})(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])(?!\.[0-9])"
 _ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DAY_DATE = r"(?<![0-9/.])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
