@@ -2,98 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, new_path, qualified
+
 #: ASCII white space that separates words; everything else is part of a word.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-_announced: set[str] = set()
-_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``).
-
-    Only in a session on this machine alone (a local master, as in tests) that
-    lacks the setting, a temporary folder is made, and removed when the
-    interpreter ends. On a cluster its absence is an error: a local folder
-    would be another one on each machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        made = tempfile.mkdtemp(prefix="folioscan-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _own_dirs[app] = "file://" + made
-    return _own_dirs[app]
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """Hadoop's file system of ``path``, and the path as an object of it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with its scheme: one without stands for the same place in Spark and outside it."""
-    system, at = _hadoop(spark, path)
-    return system.makeQualified(at).toString()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in this application's part of the shared folder, which goes when the driver's JVM ends."""
-    app = f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}"
-    if app not in _announced:
-        system, at = _hadoop(spark, app)
-        system.mkdirs(at)
-        system.deleteOnExit(at)
-        _announced.add(app)
-    return f"{app}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back.
-
-    A lost executor then costs only a re-read, and every later use sees the
-    same rows. What is written stays until ``discard``, ``clean_up`` or the
-    end of the driver's JVM.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _places[out] = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes what ``materialise`` wrote for ``df``; nothing may read it afterwards."""
-    if path := _places.pop(df, None):
-        system, at = _hadoop(df.sparkSession, path)
-        system.delete(at, True)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Removes everything that this application has materialised; call it when no result is to be read any more."""
-    system, at = _hadoop(spark, f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}")
-    system.delete(at, True)
-    _announced.clear()
-
-
 #: Rows up to which ``join_frequent`` broadcasts its right side (some tens of bytes each); beyond, a salted join.
 BROADCAST_ROWS = 300_000
 #: Tasks that the rows of one key are dealt to at least in a salted join.
