@@ -1,0 +1,131 @@
+"""Every registered query of the subpackage on whole tables, against plain Python or SQL."""
+
+import collections
+import hashlib
+import sys
+import zlib
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from folioscan.llm import queries  # noqa: E402
+from folioscan.llm.common import read_table  # noqa: E402
+from test_operators import plain_hilbert  # noqa: E402
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return read_table(spark, SF, "documents").orderBy("doc_id").collect()
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return [(r.doc_id, r.text) for r in documents]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return {r.doc_id: r.quality for r in read_table(spark, SF, "labels").collect()}
+
+
+def run(spark, name):
+    return queries.queries()[name](spark, SF).collect()
+
+
+def test_op1(spark, texts):
+    rows = run(spark, "op1_best_fit_packing")
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == brute.pieces(PATH, texts)
+    brute.packed_well(rows)
+
+
+def test_op2(spark, texts):
+    rows = {r.doc_id: (r.text, r.n_found) for r in run(spark, "op2_pii_pseudonyms")}
+    assert rows == {k: brute.pseudonymised(t, queries.PII_KEY) for k, t in texts} and sum(n for _, n in rows.values()) > 5
+
+
+def test_op3(spark, documents):
+    rows = sorted(tuple(r) for r in run(spark, "op3_line_dedup"))
+    cut = brute.without_spread_lines([(r.doc_id, r.source, r.text) for r in documents], 10)
+    assert rows == sorted((k, n, gone, len(t), hashlib.md5(t.encode()).hexdigest()) for k, t, n, gone in cut)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    order = [c[0] for c in found.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(order)
+    assert sorted(map(str, (tuple(r) for r in df.select(*order).collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_op5(spark, texts, labels):
+    rows = run(spark, "op5_quality_classifier")
+    want = brute.quality_scores(texts, labels)
+    assert {r.doc_id for r in rows} == set(want) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert np.allclose([r.score for r in rows], [want[r.doc_id] for r in rows], atol=1e-5) and all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_op6(spark, texts):
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, "op6_ngram_join")} == brute.classes(texts, 4, 85, 100)
+
+
+def test_op8(spark, documents):
+    rows = run(spark, "op8_hilbert_shards")
+    size = {r.doc_id: len((r.text or "").encode()) + 1 for r in documents}
+    mark = {r.doc_id: zlib.crc32((r.text or "").encode()) for r in documents}
+    assert all((r["size"], r.text_crc32, r.law, r.grown_shard) == (size[r.doc_id], mark[r.doc_id], "rows", None) for r in rows)
+    n = len(documents)
+    cuts = lambda values, key: sorted({sorted(values, key=key)[-(-k * n // 16) - 1] for k in range(1, 16)}, key=key)
+    text_order, number = (lambda v: v.encode()), (lambda v: v)
+    dims = [([r.lang or "" for r in documents], text_order), ([r.source or "" for r in documents], text_order), ([size[r.doc_id] for r in documents], number)]
+    cells = [[sum(key(c) < key(v) for c in own) for v in values] for values, key in dims for own in [cuts(values, key)]]
+    salt = {r.doc_id: r.s for r in spark.createDataFrame([(k, mark[k]) for k in size], "doc_id bigint, text_crc32 bigint").select("doc_id", F.pmod(F.xxhash64(F.struct("doc_id", "text_crc32")), F.lit(32)).alias("s")).collect()}
+    order = sorted((plain_hilbert([c[i] for c in cells], 4), salt[r.doc_id], r.doc_id) for i, r in enumerate(documents))
+    shards = collections.defaultdict(list)
+    for rank, (_, _, k) in enumerate(order):
+        shards[rank * 8 // n].append(k)
+    assert {(r.shard, r.slot): r.doc_id for r in rows} == {(s, i): k for s, own in shards.items() for i, k in enumerate(own)}
+
+
+def test_op9(spark, texts):
+    rows, start, want = run(spark, "op9_token_tables"), 0, []
+    for k, t in texts:
+        ids = brute.ids_of(PATH, t)
+        want.append((k, start, len(ids), brute.crc(ids)))
+        start += len(ids)
+    assert sorted(map(tuple, rows)) == want
+
+
+def test_op10(spark, texts):
+    items = [(r.item_id, r.text) for r in read_table(spark, SF, "benchmark").collect()]
+    rows = {(r.doc_id, r.item_id): r.score for r in run(spark, "op10_decontamination")}
+    want = brute.copies(texts, items, 0.5)
+    assert set(rows) == set(want) and all(rows[k] == pytest.approx(want[k]) for k in want) and len(want) >= 3
+
+
+def test_pipeline(spark, documents, texts, labels):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    scores = brute.quality_scores(texts, labels)
+    left = [(r.doc_id, r.source, r.text) for r in documents if scores[r.doc_id] >= 0.5]
+    source = {k: s for k, s, _ in left}
+    left = [(k, t) for k, t, n, gone in brute.without_spread_lines(left, 10) if not gone or n > gone]
+    group = brute.classes(left, 5, 80, 100)
+    left = [(k, t) for k, t in left if not group[k][0] or group[k][1] == k]
+    leaked = {k for k, _ in brute.copies(left, [(r.item_id, r.text) for r in read_table(spark, SF, "benchmark").collect()], 0.5)}
+    left = [(k, t) for k, t in left if k not in leaked]
+    assert source and leaked and sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == brute.pieces(PATH, left)
+    brute.packed_well(rows)
