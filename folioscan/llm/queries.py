@@ -119,6 +119,24 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, NOT base_failed AND 100 * lost_words <= 30 * n_words AS kept FROM judged
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM g
+), x AS (SELECT doc_id, unnest(s) AS e FROM g
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM x a JOIN x b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 85 * (a.n + b.n - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, v FROM reach r JOIN links ON u = r.other
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, role AS speaker,
@@ -141,4 +159,4 @@ FROM w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_chat_perspectives": OP7_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_chat_perspectives": OP7_SQL}
