@@ -454,8 +454,11 @@ def corpus_overview(spark, sf_dir):
 def sentence_overview(spark, sf_dir):
     """Documents and sentences, and how many each rule ended."""
     own = table(spark, sf_dir, "documents").select(sentences.sentences(F.col("text")).alias("s"))
-    rules = [F.sum(F.size(F.filter("s", lambda s, r=r: s["rule"] == r))).alias(r) for r in (sentences.PLAIN, sentences.ABBREVIATION, sentences.LAST)]
-    return own.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("s")).alias("sentences"), *rules)
+
+    def ended_by(rule: str):
+        return F.sum(F.size(F.filter("s", lambda s: s["rule"] == rule))).alias(rule)
+
+    return own.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("s")).alias("sentences"), *map(ended_by, (sentences.PLAIN, sentences.ABBREVIATION, sentences.LAST)))
 
 
 def _weighting_sql() -> str:

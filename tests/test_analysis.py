@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,10 +113,20 @@ def test_protection(spark, word, reason):
     assert spark.createDataFrame([(word,)], "w string").select(spelling.protection(F.col("w"), F.lit(False))).first()[0] == reason
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "vec_id int, embedding array<double>")
     rows = vectors.nearest(v, v.where("vec_id = 1"), 2).orderBy("rank").collect()
     assert [r.vec_id for r in rows] == [2, 3]
+    rng = np.random.default_rng(2)
+    many = np.round(rng.normal(size=(300, 5)), 1)
+    many[40:60] = many[3]
+    own = spark.createDataFrame([(int(i), [float(x) for x in r]) for i, r in enumerate(many)], "vec_id int, embedding array<double>").repartition(3)
+    sims = np.round((u := many / np.linalg.norm(many, axis=1, keepdims=True)) @ u.T, 10)
+    for block in (7, 10_000):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "ROW_BLOCK", 11)
+        got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(own, own.where("vec_id % 20 = 0"), 6).collect()}
+        assert got == {(q, k + 1): int(i) for q in range(0, 300, 20) for k, i in enumerate(sorted((i for i in range(300) if i != q), key=lambda i: (-sims[q, i], i))[:6])}
     assert vectors.neighbours(v.select(F.lit("a").alias("word"), F.col("embedding").alias("vector")), "two words")[0] == "invalid_query"
 
 
