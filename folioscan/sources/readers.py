@@ -161,8 +161,9 @@ def verified_snapshot(spark: SparkSession, root: str) -> DataFrame:
     if wrong := sorted(n for n, d in wanted.items() if digests.get(n) != d):
         raise ValueError(f"the snapshot was altered: {', '.join(wrong)}")
     docs = read_documents(spark, f"{root}/abstracts.jsonl")
-    ids = [r[0] for r in docs.select("pmid").collect()]
-    if sorted(ids) != sorted(manifest["selected_pmids"]) or len(set(ids)) != len(ids):
+    listed = spark.createDataFrame([(i,) for i in manifest["selected_pmids"]], "pmid string").groupBy("pmid").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.groupBy("pmid").agg(F.count(F.lit(1)).alias("n_found"))
+    if not found.join(listed, "pmid", "full_outer").where("n IS NULL OR n_found IS NULL OR n <> 1 OR n_found <> 1").isEmpty():
         raise ValueError("the snapshot's documents aren't those it lists")
     texts = abstract_texts(docs)
     if not docs.where("language <> 'eng'").isEmpty() or not texts.where("trim(text) = ''").isEmpty():

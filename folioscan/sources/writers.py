@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_order
+from ..storage import hadoop
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -85,23 +87,34 @@ def publication_groups(documents: DataFrame, size: int = 100) -> DataFrame:
 def seal_snapshot(spark: SparkSession, documents: DataFrame, selection: DataFrame, raw_files: list[dict], query: str, root: str) -> None:
     """Writes abstracts.jsonl, selection.json and, last, snapshot.json, which makes the snapshot valid.
 
-    A snapshot is a fixed sample that people review, so it is written as single files.
+    A snapshot is a fixed sample that people review, so it is written as single
+    files; rows pass through the driver one partition at a time.
     """
     from ..operators.evaluation import status_counts
 
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def put(name: str, content: str) -> str:
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(conf).create(path, True)
-        data = content.encode()
-        out.write(bytearray(data))
+    def put(name: str, pieces: Iterable[str]) -> str:
+        system, path = hadoop(spark, f"{root}/{name}")
+        out, digest = system.create(path, True), hashlib.sha256()
+        for piece in pieces:
+            data = piece.encode()
+            digest.update(data)
+            out.write(bytearray(data))
         out.close()
-        return hashlib.sha256(data).hexdigest()
-
-    docs = [r[0] for r in documents.withColumn("__o", document_order(F.col("pmcid"))).orderBy("__o").select(canonical(F.struct(*documents.columns))).collect()]
-    chosen = selection.orderBy("pmid").collect()
-    digests = {"abstracts": put("abstracts.jsonl", "\n".join(docs) + "\n"), "selection": put("selection.json", json.dumps([r.asDict(True) for r in chosen], ensure_ascii=False))}
+        return digest.hexdigest()
+
+    def listed(rows: Iterable[str]) -> Iterator[str]:
+        yield "["
+        for i, row in enumerate(rows):
+            yield (", " if i else "") + row
+        yield "]"
+
+    ordered = documents.withColumn("__o", document_order(F.col("pmcid"))).orderBy("__o").select(canonical(F.struct(*documents.columns)))
+    chosen = selection.orderBy("pmid")
+    digests = {
+        "abstracts": put("abstracts.jsonl", (r[0] + "\n" for r in ordered.toLocalIterator())),
+        "selection": put("selection.json", listed(json.dumps(r.asDict(True), ensure_ascii=False) for r in chosen.toLocalIterator())),
+    }
+    selected = [r[0] for r in chosen.where("status = 'selected'").select("pmid").toLocalIterator()]
     reasons = {r["reason"]: r["n"] for r in status_counts(selection.where("status = 'excluded'"), "reason").collect()}
-    meta = {"schema_version": 1, "query": query, "counts": {r["status"]: r["n"] for r in status_counts(selection).collect()}, "selected_pmids": [r["pmid"] for r in chosen if r["status"] == "selected"], "sha256": digests, "raw_files": raw_files, "exclusion_reasons": reasons}
+    meta = {"schema_version": 1, "query": query, "counts": {r["status"]: r["n"] for r in status_counts(selection).collect()}, "selected_pmids": selected, "sha256": digests, "raw_files": raw_files, "exclusion_reasons": reasons}
     put("snapshot.json", summary_json(meta))
