@@ -47,11 +47,6 @@ def hilbert_index(cells: Column, dims: int, bits: int) -> Column:
     return bound(x, lambda y: bound(gray(y), lambda g: bound(final(g), woven)))
 
 
-def prefix_number(text: Column) -> Column:
-    """A number in the order of the first seven UTF-8 bytes of ``text``."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
 def string_cuts(df: DataFrame, value: Column, n: int) -> list[str]:
     """The quantile cuts at 1/n to (n-1)/n of a string column without nulls, by whole values.
 

@@ -295,7 +295,7 @@ def test_hilbert_curve(spark, dims, bits):
 def test_shards_are_even_and_gapless(spark, n):
     rows = [(i if i % 9 else None, f"{i}", "hot" if i % 3 else f"s{i}") for i in range(n)] + ([(5, "5", "hot")] * 3 if n > 8 else [])
     d = docs(spark, rows).select("doc_id", "source", F.length("text").alias("size"))
-    out = sharding.shard_by_curve(d, [sharding.prefix_number(F.col("source")), F.col("size")], 8, bits=3).collect()
+    out = sharding.shard_by_curve(d, [F.col("source"), F.col("size")], 8, bits=3).collect()
     sizes = collections.Counter(r.shard for r in out)
     assert len(out) == len(rows) and all(0 <= r.shard < 8 for r in out)
     assert not rows or max(sizes.values()) - min(sizes.get(k, 0) for k in range(8)) <= 1
@@ -305,7 +305,7 @@ def test_shards_are_even_and_gapless(spark, n):
 
 def test_shard_files_cover_few_values(spark, tmp_path):
     d = docs(spark, [(i, "x" * (i % 50), f"s{i % 8}") for i in range(800)]).select("doc_id", "source", F.length("text").alias("size"))
-    out = sharding.shard_by_curve(d, [sharding.prefix_number(F.col("source")), F.col("size")], 8, bits=3)
+    out = sharding.shard_by_curve(d, [F.col("source"), F.col("size")], 8, bits=3)
     sharding.write_shards(out, str(tmp_path / "o"))
     back = spark.read.parquet(str(tmp_path / "o"))
     assert back.count() == 800 and back.groupBy("shard").agg(F.countDistinct("source").alias("n")).agg(F.avg("n")).first()[0] <= 5
