@@ -43,6 +43,12 @@ def normalize_exact(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).casefold().translate(table))
 
 
+def exact_forms(rows: DataFrame, term_col: str = "term") -> DataFrame:
+    """(term, exact) of the distinct terms that ``normalize_exact`` changes; only terms beyond ASCII are looked at."""
+    odd = rows.select(F.col(term_col).alias("term")).where(F.col("term").rlike(r"[^\x00-\x7F]")).distinct()
+    return odd.withColumn("exact", normalize_exact(F.col("term"))).where("exact <> term")
+
+
 def tokens(text: Column) -> Column:
     """Tokens as they stand in the text, in order."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))

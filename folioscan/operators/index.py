@@ -83,16 +83,29 @@ class Index:
     doc_col: str = "doc_id"
 
 
-def build_index(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", locations: bool = True) -> Index:
+def with_exact_terms(posting_rows: DataFrame, doc_col: str) -> DataFrame:
+    """Postings under the exact forms of their terms, those that become one term put together."""
+    forms = materialise(text.exact_forms(posting_rows), "exact-forms")
+    if forms.isEmpty():
+        return posting_rows
+    few = F.broadcast(forms) if forms.count() <= BROADCAST_TERMS else forms
+    named = posting_rows.join(few, "term", "left").withColumn("term", F.coalesce("exact", "term"))
+    more = [F.sort_array(F.flatten(F.collect_list("locations"))).alias("locations")] if "locations" in posting_rows.columns else []
+    return materialise(named.groupBy("term", doc_col).agg(F.sum("tf").alias("tf"), *more), "postings")
+
+
+def build_index(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", locations: bool = True, exact: bool = False) -> Index:
     """Index of a table of text blocks; documents without terms count in N.
 
     The texts are read once: postings are written in the shared folder, and
     idf and norms come from there. ``write_index`` gives an index a place of
-    its own.
+    its own. With ``exact`` terms are composed and case-folded in full, for
+    texts that aren't in composed form; queries then need it as well.
     """
     n = blocks.select(doc_col).distinct().count()
     rows = postings(located_terms(blocks, variant, doc_col, block_col, text_col), doc_col, block_col) if locations else term_frequencies(blocks, variant, doc_col, text_col)
     rows = materialise(rows, "postings")
+    rows = with_exact_terms(rows, doc_col) if exact else rows
     idf = materialise(inverse_document_frequency(rows, n), "idf")
     return Index(variant, rows, idf, document_norms(rows, idf, blocks, doc_col), n, doc_col)
 
@@ -149,17 +162,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/tokens")
 
 
-def current_index(blocks: DataFrame, path: str, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", phrases: bool = False, locations: bool = True) -> Index:
+def current_index(blocks: DataFrame, path: str, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", phrases: bool = False, locations: bool = True, exact: bool = False) -> Index:
     """The index at ``path``, built again if it is missing, not whole, of other rules or of other blocks."""
     spark = blocks.sparkSession
-    mark = content_mark(blocks, doc_col, block_col, text_col)
+    mark = content_mark(blocks, doc_col, block_col, text_col) + (":exact" if exact else "")
     try:
         meta = _meta(spark, path)
     except AnalysisException:
         meta = {}
     if (meta.get("rules"), meta.get("variant"), meta.get("content")) != (rules(), variant, mark) or (phrases and not meta["tokens"]):
         rows = text.token_table(blocks, [doc_col, block_col], text_col) if phrases else None
-        write_index(build_index(blocks, variant, doc_col, block_col, text_col, locations), path, token_rows=rows, content=mark)
+        write_index(build_index(blocks, variant, doc_col, block_col, text_col, locations, exact), path, token_rows=rows, content=mark)
     return read_index(spark, path)
 
 

@@ -32,8 +32,13 @@ def check_query(query: str, mode: str, ranking: str) -> None:
         raise ValueError(f"a query has at most {MAX_QUERY} characters")
 
 
-def parse_queries(queries: DataFrame, mode: str = "AND", stemming: bool = False, query_col: str = "query", id_col: str = "query_id") -> DataFrame:
-    """Distinct terms of each query: query_id, term, ord (from 1). PHRASE keeps order and repetition."""
+def parse_queries(queries: DataFrame, mode: str = "AND", stemming: bool = False, query_col: str = "query", id_col: str = "query_id", exact: bool = False) -> DataFrame:
+    """Distinct terms of each query: query_id, term, ord (from 1). PHRASE keeps order and repetition.
+
+    ``exact`` is for an index of exact terms; it composes the queries first.
+    """
+    if exact:
+        queries = queries.withColumn(query_col, text.normalize_exact(F.col(query_col)))
     if mode == "RELEVANCE":
         rows = text.relevance_tokens(text.token_table(queries, [id_col], query_col), [id_col], components=False).select(id_col, "term", "pos")
     elif mode == "PHRASE":
@@ -96,7 +101,7 @@ def phrase_matches(token_rows: DataFrame, terms: DataFrame, doc_col: str = "doc_
     return runs.join(size, id_col).where("found = n").select(id_col, doc_col, block_col, "start", "end")
 
 
-def search_batch(index: Index, queries: DataFrame, mode: str = "AND", stemming: bool = False, ranking: str = "document_id", token_rows: DataFrame | None = None, limit: int | None = None, id_col: str = "query_id") -> DataFrame:
+def search_batch(index: Index, queries: DataFrame, mode: str = "AND", stemming: bool = False, ranking: str = "document_id", token_rows: DataFrame | None = None, limit: int | None = None, id_col: str = "query_id", exact: bool = False) -> DataFrame:
     """Answers every query: query, rank (from 1), doc, score (null where not ranked by it).
 
     RELEVANCE is always ranked by score and keeps positive ones; PHRASE needs
@@ -105,7 +110,7 @@ def search_batch(index: Index, queries: DataFrame, mode: str = "AND", stemming:
     """
     check_query("", mode, ranking)
     ranking = "tfidf" if mode == "RELEVANCE" else ranking
-    terms = parse_queries(queries, mode, stemming and mode != "PHRASE", id_col=id_col)
+    terms = parse_queries(queries, mode, stemming and mode != "PHRASE", id_col=id_col, exact=exact)
     if mode == "PHRASE":
         if token_rows is None:
             raise ValueError("phrase search needs the token table")
