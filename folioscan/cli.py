@@ -10,6 +10,7 @@ from . import library
 from .functions import text
 from .operators import index, search, spelling, vectors
 from .plans import analysis
+from .schemas import TOMBSTONE
 from .session import local_session, ship_package
 from .sources import readers, writers
 
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     command("spell", query, docs, help="spelling suggestions from the documents' words")
     command("train", docs, out, help="train word vectors on the sentences of the abstracts")
     command("neighbors", query, ("vectors", {"help": "folder of trained vectors"}), docs, ("--top", {"type": int, "default": 10}), help="neighbours of a word")
+    command("publish", ("snapshot", {}), docs, out, help="stored documents with a sealed snapshot's put in")
     command("verify", ("snapshot", {}), help="check a sealed snapshot")
     return p
 
@@ -67,6 +69,10 @@ def main(argv: list[str] | None = None) -> int:
     blocks = readers.blocks_of(docs)
     if a.command == "stats":
         library.overview(docs).show()
+    elif a.command == "publish":
+        change = library.publish(docs, spark.createDataFrame([], TOMBSTONE), readers.verified_snapshot(spark, a.snapshot))
+        writers.write_documents(change.documents, a.out)
+        change.manifest.groupBy("status").count().show()
     elif a.command == "build":
         index.current_index(blocks, a.out, a.variant, phrases=a.phrases)
     elif a.command == "analyze":

@@ -56,6 +56,19 @@ def import_articles(documents: DataFrame, deleted: DataFrame, parsed: DataFrame,
     return Change(kept, still, log)
 
 
+def requested_only(parsed: DataFrame, requested: DataFrame) -> DataFrame:
+    """Of what a service sent, the articles of ``requested`` (pmid) that came exactly once; a row with an error for each of the others.
+
+    Records that nobody asked for are left out.
+    """
+    good = parsed.where("error = ''").withColumn("__pmid", F.col("document.pmid"))
+    times = requested.select("pmid").distinct().join(good.groupBy("__pmid").agg(F.count(F.lit(1)).alias("n")), F.col("pmid") == F.col("__pmid"), "left").select("pmid", F.coalesce("n", F.lit(0)).alias("n"))
+    once = good.join(times.where("n = 1").select(F.col("pmid").alias("__pmid")), "__pmid", "left_semi").select(*parsed.columns)
+    given = {"raw_path": F.col("pmid"), "sha256": F.lit(""), "error": F.when(F.col("n") == 0, "the service sent no article of this PMID").otherwise("the service sent several articles of this PMID"), "deleted_record": F.lit(False)}
+    missing = times.where("n <> 1").select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in parsed.schema])
+    return once.unionByName(missing)
+
+
 def soft_delete(documents: DataFrame, deleted: DataFrame, ids: DataFrame, reason: str = "", now: str = "") -> Change:
     """Moves the documents of ``ids`` (pmcid) to the tombstones."""
     gone = documents.join(ids.select("pmcid").distinct(), "pmcid", "left_semi").select(*documents.columns)

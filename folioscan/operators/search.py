@@ -71,6 +71,19 @@ def matches(index: Index, terms: DataFrame, mode: str, id_col: str = "query_id")
     return found.join(wanted, id_col).where("found = wanted").select(id_col, index.doc_col)
 
 
+def scan_matches(docs: DataFrame, terms: DataFrame, mode: str, doc_col: str = "doc_id", text_col: str = "text", id_col: str = "query_id") -> DataFrame:
+    """Documents with all (AND) or any (OR) of each query's terms, found by looking through every text: a check on ``matches``.
+
+    For a stated set of queries, which goes to all tasks whole.
+    """
+    if mode not in ("AND", "OR"):
+        raise ValueError("mode must be AND or OR")
+    asked = F.broadcast(terms.groupBy(id_col).agg(F.collect_set("term").alias("asked")))
+    own = docs.select(doc_col, F.array_distinct(text.terms(F.col(text_col))).alias("own"))
+    holds = F.size(F.array_except("asked", "own")) == 0 if mode == "AND" else F.arrays_overlap("asked", "own")
+    return own.join(asked, holds).select(id_col, doc_col)
+
+
 def cosine_scores(index: Index, terms: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Cosine of log-tf idf vectors for every query and every document with one of its terms: query, doc, score, n_terms.
 

@@ -282,6 +282,17 @@ def search_or(spark, sf_dir):
     return search.search_batch(_plain(spark, sf_dir), batch_queries(spark), "OR").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id")
 
 
+@registered(f"WITH {_scored(_B)} SELECT query_id, doc_id FROM scored {_AND}")
+def scan_and(spark, sf_dir):
+    """What ``search_and`` finds, without an index."""
+    return search.scan_matches(_texts(spark, sf_dir), search.parse_queries(batch_queries(spark), "AND"), "AND")
+
+
+@registered(f"WITH {_scored(_B)} SELECT query_id, doc_id FROM scored")
+def scan_or(spark, sf_dir):
+    return search.scan_matches(_texts(spark, sf_dir), search.parse_queries(batch_queries(spark), "OR"), "OR")
+
+
 @registered(f"WITH {_scored(_B)} SELECT query_id, doc_id, score FROM scored {_AND}")
 def search_and_tfidf(spark, sf_dir):
     return search.search_batch(_plain(spark, sf_dir), batch_queries(spark), "AND", ranking="tfidf").select("query_id", "doc_id", F.round("score", 6).alias("score"))
@@ -364,6 +375,14 @@ def highlight_ranges(spark, sf_dir):
     return snippets.merged_ranges(hits, ["doc_id"])
 
 
+@registered(f"SELECT conv_id AS doc_id, turn AS block_id, text FROM conversations WHERE role = 'assistant' AND len(list_filter(regexp_extract_all(lower(text), '{_TOKEN}'), lambda t: t IN ('thanea', 'the'))) > 0")
+def hit_blocks(spark, sf_dir):
+    """The blocks of one section that hold a query's terms."""
+    blocks = conversation_blocks(spark, sf_dir).withColumnRenamed("kind", "section")
+    hits = snippets.hit_locations(index.located_terms(blocks, "plain"), search.parse_queries(batch_queries(spark, ("thanea the",)), "OR"))
+    return snippets.chosen_blocks(blocks, hits, "assistant").select("doc_id", "block_id", "text")
+
+
 @registered()
 def search_snippets(spark, sf_dir):
     blocks = document_blocks(spark, sf_dir).select("doc_id", "block_id", F.lit("").alias("section"), F.lit("body").alias("kind"), F.lit(0).alias("block_ord"), "text")

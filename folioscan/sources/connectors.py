@@ -1,18 +1,21 @@
 """Network connectors as Python data sources: polite, bounded, resumable requests.
 
-``register`` adds the formats ``article_api`` (batches of identifiers) and
-``article_harvest`` (a list that goes on by token, as a stream). The transport
+``register`` adds the formats ``article_search`` (identifiers, page by page),
+``article_api`` (batches of identifiers) and ``article_harvest`` (a list that
+goes on by token, as a stream). The transport
 is a function, so tests and other services can bring their own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -43,12 +46,84 @@ def polite_fetch(url: str, opener: Callable | None = None, sleep: Callable[[floa
     raise AssertionError
 
 
+class Fetcher:
+    """``polite_fetch`` with a cap on requests and, in a folder that all readers share, a cache of bodies.
+
+    A body is kept under the digest of its URL with its own digest before it;
+    one that doesn't match is fetched again. So a job that was cut short goes
+    on with what it has, without asking twice.
+    """
+
+    def __init__(self, cache: str = "", limit: int = MAX_REQUESTS, fetch: Callable[[str], bytes] = polite_fetch):
+        self.cache, self.left, self.fetch = cache, limit, fetch
+
+    def __call__(self, url: str) -> bytes:
+        at = os.path.join(self.cache, hashlib.sha256(url.encode()).hexdigest()) if self.cache else ""
+        if at and os.path.exists(at):
+            with open(at, "rb") as f:
+                digest, body = f.read(64), f.read()
+            if hashlib.sha256(body).hexdigest().encode() == digest:
+                return body
+        if not self.left:
+            raise ValueError("the limit of requests is reached")
+        self.left -= 1
+        body = self.fetch(url)
+        if at:
+            os.makedirs(self.cache, exist_ok=True)
+            own = f"{at}.{os.getpid()}.tmp"
+            with open(own, "wb") as f:
+                f.write(hashlib.sha256(body).hexdigest().encode() + body)
+            os.replace(own, at)
+        return body
+
+
+def listed_ids(url: str, size: int, fetch: Callable[[str], bytes]) -> Iterator[tuple[int, str]]:
+    """(place, identifier) of a search's results, page after page of ``size``, until as many as it counts have come."""
+    place, total = 0, 1
+    while place < total:
+        root = ET.fromstring(fetch(f"{url}&retstart={place}&retmax={size}"))
+        total = int(root.findtext("Count") or 0)
+        found = [n.text or "" for n in root.iterfind("IdList/Id")]
+        if not found and place < total:
+            raise ValueError(f"the service gave {place} of {total} identifiers")
+        for own in found:
+            yield place, own
+            place += 1
+
+
+class _SearchReader(DataSourceReader):
+    def __init__(self, options):
+        self.url, self.size = options["url"], int(options.get("page", 500))
+        self.fetch = Fetcher(options.get("cache", ""))
+
+    def partitions(self):
+        return [InputPartition(0)]
+
+    def read(self, partition):
+        yield from listed_ids(self.url, self.size, self.fetch)
+
+
+class ArticleSearch(DataSource):
+    """Options: url (a search, to which the page is added), page (size), cache. A row for each identifier found, with its place."""
+
+    @classmethod
+    def name(cls):
+        return "article_search"
+
+    def schema(self):
+        return "place int, pmid string"
+
+    def reader(self, schema):
+        return _SearchReader(self.options)
+
+
 class _ApiReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.ids = options["url"], [i for i in options.get("ids", "").split(",") if i]
         self.batch = int(options.get("batch", 20))
         if len(self.ids) > self.batch * MAX_REQUESTS:
             raise ValueError(f"at most {MAX_REQUESTS} requests")
+        self.fetch = Fetcher(options.get("cache", ""))
 
     def partitions(self):
         # one partition, so that requests keep their distance
@@ -57,11 +132,11 @@ class _ApiReader(DataSourceReader):
     def read(self, partition):
         for i in range(0, len(self.ids), self.batch):
             own = self.ids[i : i + self.batch]
-            yield ",".join(own), polite_fetch(self.url + urllib.parse.quote(",".join(own), safe=","))
+            yield ",".join(own), self.fetch(self.url + urllib.parse.quote(",".join(own), safe=","))
 
 
 class ArticleApi(DataSource):
-    """Options: url (a prefix that takes a list of identifiers), ids, batch."""
+    """Options: url (a prefix that takes a list of identifiers), ids, batch, cache."""
 
     @classmethod
     def name(cls):
@@ -117,4 +192,5 @@ class ArticleHarvest(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArticleApi)
+    spark.dataSource.register(ArticleSearch)
     spark.dataSource.register(ArticleHarvest)

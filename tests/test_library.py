@@ -177,6 +177,13 @@ def test_selection_cascade(spark):
     assert rows == {"1": ("excluded", "language_not_confirmed_english"), "2": ("excluded", "empty_abstract"), "3": ("selected", "english_nonempty_abstract"), "4": ("selected", "english_nonempty_abstract"), "5": ("not_needed", "eligible_after_target_reached"), "6": ("excluded", "missing_from_efetch")}
 
 
+def test_only_single_matches_are_taken(spark, tmp_path):
+    path = folder(tmp_path, a=JATS.format(n=1, body="x"), b=JATS.format(n=2, body="y"), c=JATS.format(n=2, body="z"), d=PUBMED)
+    wanted = spark.createDataFrame([("11",), ("21",), ("99",)], "pmid string")
+    rows = library.requested_only(readers.read_articles(spark, path), wanted).collect()
+    assert sorted((r.document.pmid if r.document else r.raw_path, bool(r.error)) for r in rows) == [("11", False), ("21", True), ("99", True)]
+
+
 def test_sealed_snapshot(spark, tmp_path):
     path = folder(tmp_path, p=PUBMED)
     docs = readers.documents_of(readers.read_articles(spark, path))
