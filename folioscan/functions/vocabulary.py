@@ -12,18 +12,15 @@ CELL_LETTERS = ("b", "t")
 CELL_WORDS = ("cell", "cells")
 
 # Function words that corpus analysis leaves out in its conditions C and D. Negations stay in.
-ANALYSIS_STOPWORDS = tuple(
-    """
-    a about above after again against all am an and any are as at
-    be because been before being below between both but by
-    can could did do does doing down during each either else few for from further
-    had has have having he her here hers herself him himself his how
-    i if in into is it its itself just may me might more most much must my myself
-    of off on once only or other our ours ourselves out over own
-    same she should so some such than that the their theirs them themselves then there these they this those through to too
-    under until up upon us very was we were what when where whether which while who whom whose why will with would you your yours yourself yourselves
-    """.split()
-)
+ANALYSIS_STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both",
+    "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "either", "else", "few", "for", "from", "further", "had", "has", "have", "having", "he",
+    "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "may", "me", "might", "more", "most", "much",
+    "must", "my", "myself", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so", "some", "such",
+    "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "upon", "us",
+    "very", "was", "we", "were", "what", "when", "where", "whether", "which", "while", "who", "whom", "whose", "why", "will", "with", "would", "you", "your", "yours", "yourself",
+    "yourselves",
+)
 # Terms that a selection of analysis terms always shows where they occur.
 SELECTED_DOMAIN_TERMS = (
     "agonist", "diabetes", "glp", "glp-1", "glp-1ra", "glp-1ras", "glucagon-like", "glucose", "il6", "insulin", "no", "not", "obesity",

@@ -114,6 +114,7 @@ def select_candidates(candidates: DataFrame, fetched: DataFrame, target: int) ->
     """
     by_id = fetched.groupBy("pmid").agg(F.count(F.lit(1)).alias("records"), F.first(F.struct("kind", "languages", "error", "abstract")).alias("r"))
     joined = candidates.select("pmid", "ord").join(by_id, "pmid", "left")
+    # The reasons as they are stored, here and below.
     excluded = (
         F.when(F.col("records").isNull(), "missing_from_efetch")
         .when(F.col("records") > 1, "ambiguous_duplicate_record")
