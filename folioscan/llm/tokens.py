@@ -28,7 +28,7 @@ MEMO_WORDS = 350_000
 #: Longer words are not worth keeping.
 MEMO_LENGTH = 40
 #: Bytes of text that are cut at a time (a longer text stands alone).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 #: The character by which byte-level models write each byte: visible ones of Latin-1 stand for themselves, the others follow from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,7 +121,10 @@ class TextEncoder:
         pool, own = np.frombuffer(b"".join(packed), dtype="<u4"), words.indices.to_numpy()
         counts = sizes[own]
         ends = np.concatenate(([0], np.cumsum(counts)))
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[own] - ends[:-1], counts) + np.arange(ends[-1])]
+        # where each id lies in the pool: runs of places that follow each other
+        at = np.repeat(((np.cumsum(sizes) - sizes)[own] - ends[:-1]).astype(np.int32), counts)
+        at += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[at]
         cuts = ends[np.searchsorted(starts, where)].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 

@@ -8,10 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept in a worker's memo of word hashes.
-MEMO_WORDS = 500_000
 #: Bytes of text that are taken at a time (a longer text stands alone).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -20,19 +18,6 @@ PLAIN_WORDS = np.array([32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 e
 LETTERS_ONLY = np.array([b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256)], dtype=np.uint8)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _MIX[1]
     x = (x ^ (x >> _U(27))) * _MIX[2]
@@ -60,6 +45,8 @@ def bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
 
 def hashed(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of ``texts``: the hashes of all words, and the place of each text's first word (and past the last). Null counts as empty."""
+    from xxhash import xxh3_64_intdigest
+
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     for a, b in runs(pc.binary_length(texts).to_pylist(), SLICE_BYTES):
         data, where = bytes_of(texts[a:b])
@@ -73,7 +60,7 @@ def hashed(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         starts = np.flatnonzero(first[ink])
         letters = shown[ink]
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(letters))), pa.py_buffer(letters)]).dictionary_encode()
-        own = np.array([_hashes[w] for w in words.dictionary.to_pylist()], dtype=_U)
+        own = np.array(list(map(xxh3_64_intdigest, words.dictionary.to_pylist())), dtype=_U)
         upto = np.concatenate(([0], np.cumsum(first)))[where]
         yield (own[words.indices.to_numpy()] if len(own) else own), upto
 
