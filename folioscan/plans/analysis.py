@@ -62,9 +62,10 @@ def _shared_stems(vocabulary: DataFrame) -> DataFrame:
 def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
     """(condition, term, cf, df) of all documents, written once; ``docs`` has a row for each document."""
     kinds = _kinds(conditions)
-    own = {k: text.condition_terms(F.col(text_col), k) for k in kinds}
+    # columns of their own, so that a text is cut once for each condition
+    own = docs.select(doc_col, *[text.condition_terms(F.col(text_col), k).alias(k) for k in kinds])
     one = lambda k, terms, cf, df: F.struct(F.lit(k).alias("condition"), terms.alias("terms"), F.lit(cf).alias("cf"), F.lit(df).alias("df"))
-    lists = docs.select(F.explode(F.array(*[x for k, t in own.items() for x in (one(k, t, 1, 0), one(k, F.array_distinct(t), 0, 1))])).alias("x"))
+    lists = own.select(F.explode(F.array(*[x for k in kinds for x in (one(k, F.col(k), 1, 0), one(k, F.array_distinct(k), 0, 1))])).alias("x"))
     rows = lists.select("x.condition", F.explode("x.terms").alias("term"), "x.cf", "x.df")
     counted = materialise(rows.groupBy("condition", "term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")), "term-counts")
     if not {"C", "D"} & set(conditions):
@@ -74,7 +75,7 @@ def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     if "D" in conditions:
         vocabulary = materialise(porter.stems(c), "stems")
         shared = _shared_stems(vocabulary)
-        held = docs.select(doc_col, F.explode(F.array_distinct(own["B"])).alias("term")).join(shared, "term").select("stem", doc_col).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
+        held = own.select(doc_col, F.explode(F.array_distinct("B")).alias("term")).join(shared, "term").select("stem", doc_col).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
         by_stem = vocabulary.groupBy("stem").agg(F.sum("cf").alias("cf"), F.max("df").alias("df")).join(held, "stem", "left")
         parts.append(materialise(by_stem.select(F.lit("D").alias("condition"), F.col("stem").alias("term"), "cf", F.coalesce("held", "df").alias("df")), "stem-counts"))
     return reduce(DataFrame.unionByName, parts)

@@ -16,6 +16,7 @@ from .functions import porter, sentences, text
 from .functions.vocabulary import ANALYSIS_STOPWORDS, CELL_LETTERS, CELL_WORDS, LETTER_CONTEXTS, SEARCH_STOPWORDS, SELECTED_DOMAIN_TERMS
 from .operators import evaluation, index, search, snippets, spelling, vectors
 from .plans import analysis
+from .session import dealt
 from .storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,8 @@ def registered(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name == "documents" else rows
 
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

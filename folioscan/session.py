@@ -8,7 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet[SparkContext] = weakref.WeakSet()
 
@@ -27,6 +27,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context)
 
 
+#: Bytes (as stored) below which a table may be a few splits, or one row group, whatever the number of cores.
+SMALL_BYTES = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, so that heavy work on its rows isn't one task's; a larger one is left where it lies."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SMALL_BYTES and cores > 1 else df
+
+
 def local_session(name: str = "folioscan", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine for tests, benchmarks and exploration."""
     spark = (
