@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from ..storage import discard, materialise, new_path, qualified
 
 #: ASCII white space that separates words; everything else is part of a word.
@@ -50,4 +51,5 @@ def words_of(text: Column) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name == "documents" else rows
