@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, sharding, token_store
+from . import chat, conversation_repair, decontaminate, fill_middle, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, secret_scan, sharding, token_store
 from .common import read_table
 
 
@@ -66,8 +66,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tie")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = secret_scan.of_kinds(F.col("spans"), secret_scan.BASE)
+    counts = [F.size(secret_scan.of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"), seed=42, percent=50, percent_spm=80, texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_best_fit_packing, op2_pii_pseudonyms, op3_line_dedup, op4_quality_rules, op5_quality_classifier, op6_ngram_join, op7_chat_perspectives, op8_hilbert_shards, op9_token_tables, op10_decontamination)
+    every += (op11_conversation_repair, op12_secret_scan, op13_fill_in_middle)
     return {f.__name__: f for f in every}
 
 
@@ -158,5 +174,24 @@ FROM w
 """
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+|[ \t-\r]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_chat_perspectives": OP7_SQL}
+    return {"op13_fill_in_middle": OP13_SQL, "op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_ngram_join": OP6_SQL, "op7_chat_perspectives": OP7_SQL}

@@ -287,3 +287,109 @@ def copies(rows, items, min_score):
                 if score >= min_score * 2 * len(words):
                     out[doc_id, item] = score / (2 * len(words))
     return out
+
+
+# ---- conversations
+
+
+def damaged(rows):
+    """(conv, turn, role, text) after the damage of the query, in order; every conversation stays known."""
+    out = {conv: [] for conv, *_ in rows}
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out[conv] += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return {conv: sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, *t[1:])) for conv, turns in out.items()}
+
+
+def cheapest_edits(turns):
+    """(cost, edits) by going from every state through all edits, from the end to the front; turns are (role initial, fault)."""
+
+    @functools.cache
+    def best(i, last, inserted):
+        ways = [(0, "")] if i == len(turns) and last in ("", "a") else []
+        for target in ("u", "a"):
+            if inserted < 3 and target in after[last]:
+                ways.append(grown(best(i, target, inserted + 1), 5, "I"))
+        if i < len(turns):
+            initial, fault = turns[i]
+            ways.append(grown(best(i + 1, last, 0), 2, "D"))
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault == "truncated" else 0
+                if initial and initial in after[last]:
+                    ways.append(grown(best(i + 1, initial, 0), more, "K"))
+                for target in "ua":
+                    if target in after[last]:
+                        ways.append(grown(best(i + 1, target, 0), 1 + more, "R"))
+        return min(ways, default=(10**9, ""))
+
+    def grown(rest, cost, letter):
+        return rest[0] + cost, letter + rest[1]
+
+    after = {"": "su", "s": "u", "u": "a", "a": "u"}
+    return best(0, "", 0)
+
+
+def repaired(turns):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of one conversation's turns (turn, role, text)."""
+    numbers = {t for t, _, _ in turns if t is not None}
+    seen, marked = set(), []
+    for _, role, text in turns:
+        body = text.strip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else ""
+        seen.add((role, text))
+        marked.append((role[:1], fault))
+    cost, audit = cheapest_edits(tuple(marked))
+    lines, last, rest = [], "", list(turns)
+    for letter in audit:
+        role, text = ("", "") if letter == "I" else rest.pop(0)[1:]
+        if letter == "D":
+            continue
+        if letter in "IR":
+            role = "assistant" if last == "u" else "user"
+        lines.append(f"{role}:{text}")
+        last = role[:1]
+    counts = (sum(f == k for _, f in marked) for k in ("blank", "duplicate", "truncated"))
+    illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:], strict=False))
+    gaps = max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0
+    return (gaps, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+# ---- secrets
+
+
+def base_secrets(text):
+    """(start, kind number, end) by plain patterns over the text."""
+    text, out = text or "", []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 6 else []
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def secret_row(text):
+    """(n_assign, n_access, n_hex, sha256) of the base spans."""
+    spans = base_secrets(text)
+    shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+    return (*(sum(k == n for _, k, _ in spans) for n in range(3)), hashlib.sha256(shown.encode()).hexdigest())
+
+
+# ---- fill in the middle
+
+
+def middle_row(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output_sha256, restored_sha256)."""
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    seed, n = sha(f"42:{'' if doc_id is None else doc_id}"), len(units)
+    h1, h2, h3, h4 = (int(seed[k : k + 8], 16) for k in (0, 8, 16, 24))
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h3 % 100 >= 50:
+        return n, "plain", None, None, sha(text), sha(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    head, mid, tail = ("".join(units[i:j]) for i, j in ((0, a), (a, b), (b, n)))
+    spm = h4 % 100 < 80
+    out = f"<S>{tail}<P>{head}<M>{mid}" if spm else f"<P>{head}<S>{tail}<M>{mid}"
+    return n, "spm" if spm else "psm", len(head), len(mid), sha(out), sha(text)
