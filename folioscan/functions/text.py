@@ -111,8 +111,9 @@ def token_table(df: DataFrame, keys: list[str], text_col: str = "text") -> DataF
     matches and the matches make up the text, and offsets are running sums.
     ``keys`` must identify a text. Null texts have no tokens.
     """
-    own = F.arrays_zip(tokens(F.col(text_col)).alias("surface"), F.slice(F.split(F.col(text_col), TOKEN, -1), F.lit(1), F.size(tokens(F.col(text_col)))).alias("gap"))
-    rows = df.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(own).alias("pos", "t")).select(*keys, (F.col("pos") + 1).alias("pos"), "t.surface", "t.gap")
+    cut = df.where(F.col(text_col).isNotNull()).select(*[F.col(k).alias(k) for k in keys], tokens(F.col(text_col)).alias("__own"), F.split(F.col(text_col), TOKEN, -1).alias("__gaps"))
+    own = F.arrays_zip(F.col("__own").alias("surface"), F.slice("__gaps", F.lit(1), F.size("__own")).alias("gap"))
+    rows = cut.select(*keys, F.posexplode(own).alias("pos", "t")).select(*keys, (F.col("pos") + 1).alias("pos"), "t.surface", "t.gap")
     order = Window.partitionBy(*keys).orderBy("pos")
     end = F.sum(F.length("gap") + F.length("surface")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     placed = rows.withColumn("end", end)

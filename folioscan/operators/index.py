@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter, text
+from ..session import dealt
 from ..storage import materialise
+from . import topk
+from .phrases import token_pairs, write_pairs
 
 VARIANTS = ("plain", "porter", "relevance", "porter_relevance")
 #: Terms up to which their idf is broadcast (some 40 bytes each); beyond, a shuffle join.
 BROADCAST_TERMS = 500_000
 #: Changes with anything that alters an index's content.
-INDEX_VERSION = "1"
+INDEX_VERSION = "2"
 
 
 def variant_name(stemming: bool, relevance: bool) -> str:
@@ -81,6 +84,9 @@ class Index:
     norms: DataFrame
     n_documents: int
     doc_col: str = "doc_id"
+    #: For the best documents without whole posting lists; see ``topk``.
+    impacts: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def with_exact_terms(posting_rows: DataFrame, doc_col: str) -> DataFrame:
@@ -125,54 +131,95 @@ def content_mark(blocks: DataFrame, doc_col: str, block_col: str, text_col: str)
     return f"{n}:{total}"
 
 
-def write_index(index: Index, path: str, buckets: int = 64, token_rows: DataFrame | None = None, content: str = "") -> None:
+def partitions(spark: SparkSession, given: int | None) -> int:
+    """Into how many parts a table is cut: as many as the session's shuffles have unless a number is given."""
+    return given or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _put_mark(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.range(1).select(F.lit(json.dumps(meta, sort_keys=True)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def _mark(spark: SparkSession, path: str) -> dict:
+    """What a part was built from; nothing if it isn't there or not whole."""
+    try:
+        return json.loads(spark.read.text(path).first()[0])
+    except AnalysisException:
+        return {}
+
+
+def write_index(index: Index, path: str, buckets: int | None = None, token_rows: DataFrame | None = None, content: str = "", best: bool = False) -> None:
     """Writes an index sorted by term, so a lookup of terms reads few row groups; metadata last, as the mark that it is whole.
 
-    ``token_rows``, a token table, is what phrase search needs besides; it is
-    sorted by term as well. ``content`` is the ``content_mark`` of the blocks.
+    ``token_rows``, a table of ``token_pairs``, is what phrase search needs
+    besides; with ``best`` impacts and vectors are written, by which the best
+    documents are found without whole posting lists. Each part has a mark of
+    its own. ``content`` is the ``content_mark`` of the blocks.
     """
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    saved = spark.read.parquet(f"{path}/postings")
-    idf = inverse_document_frequency(saved, index.n_documents)
-    idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
+    # places of a very common term are spread over files
+    index.postings.repartitionByRange(partitions(spark, buckets), "term", index.doc_col).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
     index.norms.write.mode("overwrite").parquet(f"{path}/norms")
+    meta = {"rules": rules(), "variant": index.variant, "n_documents": index.n_documents, "doc_col": index.doc_col, "content": content}
+    _put_mark(spark, f"{path}/meta", meta)
     if token_rows is not None:
-        token_rows.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/tokens")
-    meta = {"rules": rules(), "variant": index.variant, "n_documents": index.n_documents, "doc_col": index.doc_col, "tokens": token_rows is not None, "content": content}
-    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        write_tokens(token_rows, path, buckets, content)
+    if best:
+        write_best(spark, path)
+
 
+def write_tokens(token_rows: DataFrame, path: str, buckets: int | None = None, content: str = "") -> None:
+    """Writes the token pairs of phrase search; they need no other part."""
+    write_pairs(token_rows, f"{path}/tokens", partitions(token_rows.sparkSession, buckets))
+    _put_mark(token_rows.sparkSession, f"{path}/tokens-meta", {"rules": rules(), "content": content})
 
-def _meta(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/meta").first()[0])
+
+def write_best(spark: SparkSession, path: str) -> None:
+    """Adds impacts and vectors to a written index."""
+    meta = _mark(spark, f"{path}/meta")
+    few = spark.read.parquet(f"{path}/idf")
+    few = F.broadcast(few) if few.count() <= BROADCAST_TERMS else few
+    topk.write_impacts(topk.weights(spark.read.parquet(f"{path}/postings"), few, spark.read.parquet(f"{path}/norms"), meta["doc_col"]), path, meta["doc_col"])
+    _put_mark(spark, f"{path}/best-meta", meta)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """An index written by ``write_index``; refuses one that was built by other rules."""
-    meta = _meta(spark, path)
+    meta = _mark(spark, f"{path}/meta")
     if meta.get("rules") != rules():
         raise ValueError("the index was built by other rules; build it again")
-    return Index(meta["variant"], *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "idf", "norms")), meta["n_documents"], meta["doc_col"])
+    more = (spark.read.parquet(f"{path}/{t}") for t in ("impacts", "vectors")) if _mark(spark, f"{path}/best-meta") == meta else ()
+    return Index(meta["variant"], *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "idf", "norms")), meta["n_documents"], meta["doc_col"], *more)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The token table that was written with an index."""
-    if not _meta(spark, path)["tokens"]:
-        raise ValueError("the index was built without a token table, which phrase search needs")
+    """The token pairs that were written with an index."""
+    if _mark(spark, f"{path}/tokens-meta").get("rules") != rules():
+        raise ValueError("the index was built without a token table, which phrase search needs, or by other rules")
     return spark.read.parquet(f"{path}/tokens")
 
 
-def current_index(blocks: DataFrame, path: str, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", phrases: bool = False, locations: bool = True, exact: bool = False) -> Index:
-    """The index at ``path``, built again if it is missing, not whole, of other rules or of other blocks."""
+def current_tokens(blocks: DataFrame, path: str, doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", mark: str | None = None) -> DataFrame:
+    """The token pairs at ``path``, made again if they are missing, not whole, of other rules or of other blocks."""
+    mark = mark or content_mark(blocks, doc_col, block_col, text_col)
+    if _mark(blocks.sparkSession, f"{path}/tokens-meta") != {"rules": rules(), "content": mark}:
+        write_tokens(token_pairs(dealt(blocks), [doc_col, block_col], text_col), path, content=mark)
+    return read_tokens(blocks.sparkSession, path)
+
+
+def current_index(blocks: DataFrame, path: str, variant: str = "plain", doc_col: str = "doc_id", block_col: str = "block_id", text_col: str = "text", phrases: bool = False, locations: bool = True, exact: bool = False, best: bool = False) -> Index:
+    """The index at ``path``; each part asked for is built again if it is missing, not whole, of other rules or of other blocks."""
     spark = blocks.sparkSession
     mark = content_mark(blocks, doc_col, block_col, text_col) + (":exact" if exact else "")
-    try:
-        meta = _meta(spark, path)
-    except AnalysisException:
-        meta = {}
-    if (meta.get("rules"), meta.get("variant"), meta.get("content")) != (rules(), variant, mark) or (phrases and not meta["tokens"]):
-        rows = text.token_table(blocks, [doc_col, block_col], text_col) if phrases else None
-        write_index(build_index(blocks, variant, doc_col, block_col, text_col, locations, exact), path, token_rows=rows, content=mark)
+    meta = _mark(spark, f"{path}/meta")
+    if (meta.get("rules"), meta.get("variant"), meta.get("content")) != (rules(), variant, mark):
+        write_index(build_index(dealt(blocks), variant, doc_col, block_col, text_col, locations, exact), path, content=mark)
+        meta = _mark(spark, f"{path}/meta")
+    if best and _mark(spark, f"{path}/best-meta") != meta:
+        write_best(spark, path)
+    if phrases:
+        current_tokens(blocks, path, doc_col, block_col, text_col, mark)
     return read_index(spark, path)
 
 

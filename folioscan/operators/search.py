@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import porter, text
 from ..functions.vocabulary import SEARCH_STOPWORDS
+from . import topk
 from .index import Index
+from .phrases import pair_matches
 
 MODES = ("RELEVANCE", "AND", "OR", "PHRASE")
 RANKINGS = ("document_id", "tfidf")
@@ -102,11 +104,14 @@ def cosine_scores(index: Index, terms: DataFrame, id_col: str = "query_id") -> D
 def phrase_matches(token_rows: DataFrame, terms: DataFrame, doc_col: str = "doc_id", block_col: str = "block_id", id_col: str = "query_id") -> DataFrame:
     """Places of exact phrases: query, doc, block, start, end.
 
-    ``token_rows`` is a token table, ``terms`` has ord. The k-th word of a match
-    is the k-th token from its first, with nothing but white space between, so
-    a phrase is an equi-join on the term and a count by (block, first position).
-    Overlapping matches are all found.
+    ``token_rows`` is a table of token pairs, which is what an index keeps, or
+    a plain token table; ``terms`` has ord. In the latter the k-th word of a
+    match is the k-th token from its first, with nothing but white space
+    between, so a phrase is an equi-join on the term and a count by (block,
+    first position). Overlapping matches are all found.
     """
+    if "next" in token_rows.columns:
+        return pair_matches(token_rows, terms, doc_col, block_col, id_col)
     size = terms.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     spaced = (F.col("ord") == 1) | F.col("gap").rlike(text.ALL_SPACE)
     hit = token_rows.join(terms, "term").where(spaced).withColumn("first", F.col("pos") - F.col("ord"))
@@ -119,7 +124,9 @@ def search_batch(index: Index, queries: DataFrame, mode: str = "AND", stemming:
 
     RELEVANCE is always ranked by score and keeps positive ones; PHRASE needs
     the token table and isn't stemmed. Ranks are by falling score, then by
-    document; ``limit`` keeps the first of each query.
+    document; ``limit`` keeps the first of each query. With it, ranking by score
+    over any of the terms reads no more postings than it must, if the index
+    has impacts.
     """
     check_query("", mode, ranking)
     ranking = "tfidf" if mode == "RELEVANCE" else ranking
@@ -131,7 +138,10 @@ def search_batch(index: Index, queries: DataFrame, mode: str = "AND", stemming:
     else:
         found = None
     if ranking == "tfidf":
-        scored = cosine_scores(index, terms, id_col)
+        if limit and mode in ("OR", "RELEVANCE") and index.impacts is not None:
+            scored = topk.best_documents(index.impacts, index.vectors, index.idf, terms, limit, id_col, index.doc_col)
+        else:
+            scored = cosine_scores(index, terms, id_col)
         if mode == "AND":
             wanted = terms.groupBy(id_col).agg(F.countDistinct("term").alias("wanted"))
             scored = scored.join(wanted, id_col).where("n_terms = wanted")

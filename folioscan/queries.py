@@ -7,6 +7,7 @@ an event log and ``benchmark`` items as a batch of queries.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from .functions.vocabulary import ANALYSIS_STOPWORDS, CELL_LETTERS, CELL_WORDS,
 from .operators import evaluation, index, search, snippets, spelling, vectors
 from .plans import analysis
 from .session import dealt
-from .storage import new_path
+from .storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,8 +254,27 @@ def relevance_terms(spark, sf_dir):
 # ---- search
 
 
+def _index_path(spark: SparkSession, sf_dir: str, variant: str) -> str:
+    """A place for the index of a table, the same for all queries of a session: what one has built the next one reads."""
+    return shared_path(spark, f"index-{variant}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+
+
+def _as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("block_id"), "text")
+
+
+def _index(spark: SparkSession, sf_dir: str, variant: str = "plain", best: bool = False) -> index.Index:
+    """The index of the documents; read if it has been built from the same rows, else built."""
+    return index.current_index(_as_stored(spark, sf_dir), _index_path(spark, sf_dir, variant), variant, locations=False, best=best)
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token pairs of the documents, likewise."""
+    return index.current_tokens(_as_stored(spark, sf_dir), _index_path(spark, sf_dir, "plain"))
+
+
 def _plain(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build_index(document_blocks(spark, sf_dir), "plain", locations=False)
+    return _index(spark, sf_dir)
 
 
 _QUERY_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(BATCH, 1))
@@ -310,13 +330,13 @@ _STEM_QT = f"q0 AS (SELECT * FROM (VALUES {_QUERY_ROWS}) AS v(query_id, query)),
 
 @registered(f"WITH {_scored(f'SELECT doc_id, stem AS term FROM ({_B}) x JOIN bs USING (term)', _STEM_QT)} SELECT query_id, doc_id, score FROM scored")
 def search_or_porter(spark, sf_dir):
-    own = index.build_index(document_blocks(spark, sf_dir), "porter", locations=False)
+    own = _index(spark, sf_dir, "porter")
     return search.search_batch(own, batch_queries(spark), "OR", stemming=True, ranking="tfidf").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @registered(f"WITH {_RELEVANCE}, {_scored('SELECT doc_id, term FROM relevance', _QT.replace('FROM q)', f'FROM q), qt0 AS (SELECT 1)').replace('qt AS', 'qa AS').replace('qt0 AS (SELECT 1)', f'qt AS (SELECT * FROM qa WHERE term NOT IN ({_SEARCH_STOP}))'))} SELECT query_id, doc_id, score FROM scored WHERE score > 0")
 def search_relevance(spark, sf_dir):
-    own = index.build_index(document_blocks(spark, sf_dir), "relevance", locations=False)
+    own = _index(spark, sf_dir, "relevance")
     return search.search_batch(own, batch_queries(spark), "RELEVANCE").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -325,7 +345,7 @@ _PHRASES = f"SELECT 1 AS query_id, doc_id, a.stop - length(a.surface) AS start,
 
 @registered(f"WITH {_POSITIONS} {_PHRASES}")
 def phrase_offsets(spark, sf_dir):
-    rows = text.token_table(document_blocks(spark, sf_dir), ["doc_id", "block_id"])
+    rows = _tokens(spark, sf_dir)
     terms = search.parse_queries(batch_queries(spark, ('"of the"', "the the the")), "PHRASE")
     return search.phrase_matches(rows, terms).select("query_id", "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
@@ -333,9 +353,8 @@ def phrase_offsets(spark, sf_dir):
 @registered(f"WITH {_POSITIONS}, {_scored(_B, 'qt AS (SELECT * FROM (VALUES (1, ' + repr('of') + '), (1, ' + repr('the') + '), (2, ' + repr('the') + ')) AS v(query_id, term))')}, phrases AS ({_PHRASES}) SELECT query_id, doc_id, score FROM scored SEMI JOIN phrases USING (query_id, doc_id)")
 def search_phrase(spark, sf_dir):
     """Documents with an exact phrase, ranked by cosine, from an index that was written with its token table."""
-    path = new_path(spark, "index")
-    own = index.current_index(document_blocks(spark, sf_dir), path, "plain", phrases=True, locations=False)
-    best = search.search_batch(own, batch_queries(spark, ('"of the"', "the the the")), "PHRASE", ranking="tfidf", token_rows=index.read_tokens(spark, path))
+    own, rows = _plain(spark, sf_dir), _tokens(spark, sf_dir)
+    best = search.search_batch(own, batch_queries(spark, ('"of the"', "the the the")), "PHRASE", ranking="tfidf", token_rows=rows)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -345,7 +364,7 @@ _RELEVANCE_STEMS = f"q AS (SELECT * FROM (VALUES {_QUERY_ROWS}) AS v(query_id, q
 @registered(f"WITH {_RELEVANCE}, {_scored('SELECT doc_id, stem AS term FROM relevance JOIN bs USING (term)', _RELEVANCE_STEMS)} SELECT query_id, doc_id, score FROM scored WHERE score > 0")
 def search_porter_relevance(spark, sf_dir):
     """The usual public search, stemmed relevance, from a written index."""
-    own = index.current_index(document_blocks(spark, sf_dir), new_path(spark, "index"), "porter_relevance", locations=False)
+    own = _index(spark, sf_dir, "porter_relevance")
     return search.search_batch(own, batch_queries(spark), "RELEVANCE", stemming=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -353,7 +372,7 @@ def search_porter_relevance(spark, sf_dir):
 def batch_search_top10(spark, sf_dir):
     """Benchmark items as a batch of OR queries; scores of each item's ten best documents."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    best = search.search_batch(_plain(spark, sf_dir), items, "OR", ranking="tfidf", limit=10)
+    best = search.search_batch(_index(spark, sf_dir, best=True), items, "OR", ranking="tfidf", limit=10)
     return best.select("query_id", F.round("score", 6).alias("score")).groupBy("query_id", "score").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -49,15 +49,20 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(at).toString()
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in this application's part of the shared folder, which goes when the driver's JVM ends."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of a given name in this application's part of the shared folder, which goes when the driver's JVM ends."""
     app = f"{shared_dir(spark)}/folioscan-{spark.sparkContext.applicationId}"
     if app not in _announced:
         system, at = hadoop(spark, app)
         system.mkdirs(at)
         system.deleteOnExit(at)
         _announced.add(app)
-    return f"{app}/{name}-{uuid.uuid4().hex}"
+    return f"{app}/{name}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing else has."""
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
