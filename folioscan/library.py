@@ -6,13 +6,16 @@ and what comes in, by joins on the identifier.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .schemas import MANIFEST
+from .schemas import DOCUMENT, MANIFEST, TOMBSTONE
 from .sources.readers import documents_of
+from .storage import materialise
+from .versions import Lease, TableLog, Version, Write
 
 CONTENT = ("sha256", "content_scope", "blocks", "back_blocks", "statistics")
 
@@ -143,3 +146,48 @@ def publish(documents: DataFrame, deleted: DataFrame, snapshot: DataFrame, now:
     log = manifest_rows(marked.where("old IS NULL OR old <> new"), status=status, reason=F.lit("published from a snapshot"), imported_at=F.lit(now))
     rest = documents.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*documents.columns)
     return Change(rest.unionByName(fresh), deleted.join(fresh.select("pmcid"), "pmcid", "left_anti").select(*deleted.columns), log)
+
+
+class StoredLibrary:
+    """A library kept as a unit: documents, tombstones, manifest and the state of its folder change in one version.
+
+    Every change is worked out from the last version and tried again if another
+    writer was first. With a ``lease`` (``log.acquire``) no one else writes meanwhile.
+    """
+
+    def __init__(self, log: TableLog):
+        self.log = log
+
+    def tables(self, version: Version | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Documents, tombstones and manifest of a version, the last one by default."""
+        at = self.log.version() if version is None else version
+        return tuple(self.log.read(at, name, kind) for name, kind in (("documents", DOCUMENT), ("deleted", TOMBSTONE), ("manifest", MANIFEST)))
+
+    def change(self, make: Callable[[DataFrame, DataFrame], Change], operation: str, lease: Lease | None = None, tries: int = 5, more: Callable[[Version], dict[str, Write]] | None = None) -> Version:
+        """Commits what ``make`` gives for the documents and tombstones; only buckets of identifiers in its manifest are written."""
+
+        def writes(base: Version) -> dict[str, Write]:
+            documents, deleted, _ = self.tables(base)
+            made = make(documents, deleted)
+            log = materialise(made.manifest, "manifest")
+            keys = log.where("pmcid <> ''").select("pmcid")
+            return {"documents": Write(made.documents, keys), "deleted": Write(made.deleted, keys), "manifest": Write(log, append=True), **(more(base) if more else {})}
+
+        return self.log.transact(writes, operation, lease, tries)
+
+    def import_articles(self, parsed: DataFrame, restore: bool = False, now: str = "", lease: Lease | None = None) -> Version:
+        parsed = materialise(parsed, "parsed")
+        return self.change(lambda documents, deleted: import_articles(documents, deleted, parsed, restore, now), "import", lease)
+
+    def soft_delete(self, ids: DataFrame, reason: str = "", now: str = "", lease: Lease | None = None) -> Version:
+        return self.change(lambda documents, deleted: soft_delete(documents, deleted, ids, reason, now), "delete", lease)
+
+    def restore(self, ids: DataFrame, sources: DataFrame, now: str = "", lease: Lease | None = None) -> Version:
+        return self.change(lambda documents, deleted: restore(documents, deleted, ids, sources, now), "restore", lease)
+
+    def publish(self, snapshot: DataFrame, now: str = "", lease: Lease | None = None) -> Version:
+        return self.change(lambda documents, deleted: publish(documents, deleted, snapshot, now), "publish", lease)
+
+    def compact(self, lease: Lease | None = None) -> Version:
+        """The manifest, a part for each change, in one part."""
+        return self.log.transact(lambda base: {"manifest": Write(self.tables(base)[2])}, "compact", lease)

@@ -1,7 +1,7 @@
 """The files behind a library: uploads, other readings of what is stored, and removal for good.
 
 Files lie in ``raw`` and ``rejected`` below the store's folder, on any file
-system that Spark reaches. One writer at a time holds the store.
+system that Spark reaches. One writer at a time holds the store, by a lease.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import re
+import time
+import uuid
 from collections.abc import Iterator
 from xml.etree.ElementTree import tostring
 
@@ -20,8 +22,11 @@ from .library import Change, import_articles, manifest_rows
 from .sources.article_xml import MAX_BYTES, ArticleError, articles, identifier, parse_article, parse_safely, without
 from .sources.readers import read_articles
 from .storage import hadoop, materialise
+from .versions import Lease, LeaseError, TableLog
 
-JOURNAL, LOCK = "purge_pending", ".writer.lock"
+JOURNAL, LOCK = "purge_pending", ".writer"
+#: How long a writer is taken to be alive without a sign of it.
+LEASE_SECONDS = 600.0
 FOLDERS = ("raw", "rejected")
 
 
@@ -30,27 +35,28 @@ class StoreError(RuntimeError):
 
 
 @contextlib.contextmanager
-def sole_writer(spark: SparkSession, root: str) -> Iterator[None]:
-    """Holds the store; a second writer fails at once. Creating a file that must not exist is atomic on shared file systems."""
-    system, at = hadoop(spark, f"{root}/{LOCK}")
-    if not system.createNewFile(at):
-        raise StoreError("another writer holds the store")
+def sole_writer(spark: SparkSession, root: str, holder: str | None = None, seconds: float = LEASE_SECONDS) -> Iterator[Lease]:
+    """Holds the store; a second writer is refused at once, until the lease of a dead one has run out."""
+    log = TableLog(spark, f"{root}/{LOCK}")
     try:
-        yield
-    finally:
-        system.delete(at, False)
+        with log.held(holder or uuid.uuid4().hex, seconds) as lease:
+            yield lease
+    except LeaseError as e:
+        raise StoreError(str(e)) from e
+    log.clean_up()
 
 
 def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
-    """A file that is there whole or not at all."""
+    """A file that is there whole or not at all; one that it replaces stays until then."""
     system, at = hadoop(spark, path)
     own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{hashlib.sha256(raw).hexdigest()[:16]}.tmp")
     out = system.create(own, True)
     out.write(bytearray(raw))
     out.close()
-    system.delete(at, False)
-    if not system.rename(own, at):
-        raise StoreError(f"can't write {path}")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    how[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(system.makeQualified(own), system.makeQualified(at), how)
 
 
 def _holds_article(raw: bytes) -> bool:
@@ -148,7 +154,7 @@ def purge(spark: SparkSession, root: str, deleted: DataFrame, ids: list[str], no
     gone, known = [r.pmcid for r in chosen], {r.raw_path for r in chosen}
     # written before any file goes that it may have been read from
     left = materialise(deleted.where(~F.col("pmcid").isin(gone)), "tombstones")
-    with sole_writer(spark, root):
+    with sole_writer(spark, root) as lease:
         refuse_while_pending(spark, root)
         if gone:
             plan = _removal_plan(spark, root, gone, known)
@@ -158,7 +164,7 @@ def purge(spark: SparkSession, root: str, deleted: DataFrame, ids: list[str], no
                 system, at = hadoop(spark, f"{root}/{JOURNAL}")
                 system.delete(at, True)
                 raise StoreError(f"nothing was removed: {', '.join(r.raw_path for r in bad)} can't be read or would be too large")
-            _carry_out(spark, root)
+            _carry_out(spark, root, lease)
     log = spark.createDataFrame([(g,) for g in gone], "pmcid string")
     return left, manifest_rows(log, status=F.lit("purged"), reason=F.lit("removed for good"), acquired_at=F.lit(now))
 
@@ -168,15 +174,19 @@ def resume_purge(spark: SparkSession, root: str) -> bool:
     system, at = hadoop(spark, f"{root}/{JOURNAL}/_SUCCESS")
     if not system.exists(at):
         return False
-    with sole_writer(spark, root):
-        _carry_out(spark, root)
+    with sole_writer(spark, root) as lease:
+        _carry_out(spark, root, lease)
     return True
 
 
-def _carry_out(spark: SparkSession, root: str) -> None:
-    """File by file, so that no more than one is in memory; a file that someone else changed meanwhile stops it."""
+def _carry_out(spark: SparkSession, root: str, lease: Lease) -> None:
+    """File by file, so that no more than one is in memory; a file that someone else changed meanwhile stops it, and so does the loss of the lease."""
+    renewed = time.monotonic()
     for r in spark.read.parquet(f"{root}/{JOURNAL}").toLocalIterator():
         system, at = hadoop(spark, r.raw_path)
+        if time.monotonic() - renewed > lease.seconds / 4:
+            lease.renew()
+            renewed = time.monotonic()
         if at.getParent().getName() not in FOLDERS:
             raise StoreError(f"{r.raw_path} is no file of the store")
         if not system.exists(at):
