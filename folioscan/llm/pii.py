@@ -3,7 +3,9 @@
 Numbers and dates that pass their format's check are permuted by a keyed
 Feistel network within the format: a valid card number stays a valid one of as many digits, a date
 stays a date. What fails its check (Luhn digits, numbers that are never given
-out, octets over 255, days that don't exist) is left alone. The permutation
+out, octets over 255, days that don't exist) is left alone. Telephone numbers are
+the exception: their shape is all there is to check, so whatever has it is
+permuted among the digits. The permutation
 depends on the key and the format alone, so equal values keep equal
 pseudonyms in every document, and different values different ones. E-mail
 addresses and long hexadecimal secrets, which have no bounded domain, get
@@ -35,7 +37,11 @@ _ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 _DAY_DATE = r"(?<![0-9/.])[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}(?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
-_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]){3,}[0-9]{1,7}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
+#: Digits at a stretch, or in groups as they stand on cards: all but the last of 4 to 6 digits, or 6 and the rest.
+_CARD = (
+    r"(?<![0-9A-Za-z])(?:(?:[0-9]{4,6}[ -]){3,}[0-9]{1,7}|(?:[0-9]{4,6}[ -]){2}[0-9]{4,7}|[0-9]{6}[ -][0-9]{6,13})(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
+)
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 #: One pattern; at a place the first alternative that fits wins.
 PATTERN = "|".join([_EMAIL, _IP, _ISO_DATE, _DAY_DATE, _SSN, _PHONE, _CARD, _SECRET])
@@ -146,19 +152,31 @@ def _card(m: Column, key: Key) -> Column:
 _CHUNK = 64
 
 
+#: Groups that a card number has at most.
+_GROUPS = 5
+
+
 def _grouped_cards(m: Column, key: Key) -> Column:
-    """A run of groups of digits: each four that are a card number, from the left, are changed, so one after a year or another number is found.
+    """A run of groups of digits: from the left, the longest stretch of 13 to 19 digits (12, if it is the whole run) that is a card number is changed, so one after a year or another number is found.
 
-    Long runs are put together chunk by chunk, as adding each group to all
-    text before it would take time in the square of the run.
+    What a number becomes depends on its digits alone, however they are
+    grouped. Long runs are put together chunk by chunk, as adding each group to
+    all text before it would take time in the square of the run.
     """
 
     def of(groups: Column) -> Column:
         state = lambda text, skip, n: F.struct(text.alias("text"), skip.alias("skip"), n.alias("n"))
 
+        def stretch(i: Column, k: int) -> Column:
+            """The ``k`` groups from place i changed, and k; null if they are no card number."""
+            # twelve digits are too few to pick out of a longer run, where one stretch in ten passes by chance
+            least = F.when(F.size(groups) == k, 12).otherwise(13)
+            whole = let(F.array_join(F.slice(groups, i + 1, F.lit(k)), ""), lambda w: F.when(F.length(F.regexp_replace(w, "[^0-9]", "")).between(least, F.lit(19)), _card(w, key)))
+            return F.when(i + k <= F.size(groups), let(whole, lambda c: F.when(c.isNotNull(), F.struct(c.alias("text"), F.lit(k).alias("k")))))
+
         def step(s: Column, i: Column) -> Column:
-            four = F.when((s["skip"] == 0) & (i + 4 <= F.size(groups)), let(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), lambda w: _card(w, key)))
-            fresh = let(four, lambda c: F.when(c.isNull(), state(F.concat(s["text"], F.get(groups, i)), F.lit(0), s["n"])).otherwise(state(F.concat(s["text"], c), F.lit(3), s["n"] + 1)))
+            found = F.when(s["skip"] == 0, F.coalesce(*[stretch(i, k) for k in range(_GROUPS, 1, -1)]))
+            fresh = let(found, lambda c: F.when(c.isNull(), state(F.concat(s["text"], F.get(groups, i)), F.lit(0), s["n"])).otherwise(state(F.concat(s["text"], c["text"]), c["k"] - 1, s["n"] + 1)))
             return F.when(s["skip"] > 0, state(s["text"], s["skip"] - 1, s["n"])).otherwise(fresh)
 
         def chunk(s: Column, first: Column) -> Column:

@@ -152,8 +152,9 @@ def pseudonym(m, key):
     if whole(pii._CARD) and re.search("[ -]", m):
         groups, out, n, i = re.findall("[0-9]+[ -]?", m), "", 0, 0
         while i < len(groups):
-            four = card("".join(groups[i : i + 4]), key) if i + 4 <= len(groups) else None
-            out, n, i = (out + four, n + 1, i + 4) if four else (out + groups[i], n, i + 1)
+            stretches = (("".join(groups[i : i + k]), k) for k in (5, 4, 3, 2) if i + k <= len(groups))
+            found = next(((c, k) for w, k in stretches if (12 if k == len(groups) else 13) <= len(re.sub("[^0-9]", "", w)) <= 19 and (c := card(w, key))), None)
+            out, n, i = (out + found[0], n + 1, i + found[1]) if found else (out + groups[i], n, i + 1)
         return out, n
     if "@" in m:
         found = f"p{digest('mail')[:16]}@mail.invalid"

@@ -481,3 +481,80 @@ def test_permutations_are_one_to_one(spark):
     assert pii.pseudonymise(days.limit(0), "k").count() == 0
     with pytest.raises(ValueError):
         pii.pseudonymise(days.withColumn("n_found", F.lit(1)), "k")
+
+
+GROUPINGS = {"378282246310005": (4, 6, 5), "30569309025904": (4, 6, 4), "6304123456789012345": (4, 4, 4, 4, 3), "4539578763621486": (4, 4, 4, 4), "6221261234567890123": (6, 13), "630400000000": (4, 4, 4)}
+
+
+def grouped(number, sizes, sign):
+    cuts = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    return sign.join(number[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def with_check_digit(number):
+    return next(number[:-1] + c for c in "0123456789" if luhn(number[:-1] + c))
+
+
+@pytest.mark.parametrize("sign", [" ", "-"])
+def test_cards_in_every_grouping_have_one_pseudonym(spark, sign):
+    numbers = {with_check_digit(n): sizes for n, sizes in GROUPINGS.items()}
+    rows = []
+    for number, sizes in numbers.items():
+        shown = grouped(number, sizes, sign)
+        rows += [(len(rows), number), (len(rows) + 1, f"in May {shown}, yes"), (len(rows) + 2, f"{shown}, {shown}"), (len(rows) + 3, f"no. {grouped(number[:-1] + str((int(number[-1]) + 1) % 10), sizes, sign)}")]
+    out = [(r.text, r.n_found) for r in pii.pseudonymise(docs(spark, rows), "k").orderBy("doc_id").collect()]
+    for i, (number, sizes) in enumerate(numbers.items()):
+        (plain, n), (inside, m), (twice, two), (bad, none) = out[4 * i : 4 * i + 4]
+        assert n == 1 and plain != number and luhn(plain) and len(plain) == len(number)
+        assert (inside, m) == (f"in May {grouped(plain, sizes, sign)}, yes", 1), number
+        assert two == 2 and re.sub("[^0-9]", "", twice) == plain * 2
+        assert (bad, none) == (rows[4 * i + 3][1], 0)
+
+
+def test_cards_after_a_year_and_after_each_other(spark):
+    number = with_check_digit("378282246310005")
+    shown = grouped(number, (4, 6, 5), " ")
+    out = [r.text for r in pii.pseudonymise(docs(spark, [(0, number), (1, f"2024 {shown}"), (2, f"{shown} {shown} 17")]), "k").orderBy("doc_id").collect()]
+    assert out[1] == f"2024 {grouped(out[0], (4, 6, 5), ' ')}" and out[2] == f"{out[1][5:]} {out[1][5:]} 17"
+
+
+def test_no_valid_card_is_left_by_a_search_that_knows_no_pattern(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(300):
+        sizes = [(4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 4, 4, 4, 1), (16,), (13,), (6, 13)][rng.integers(8)]
+        number = with_check_digit("".join(map(str, rng.integers(0, 10, sum(sizes)))))
+        texts.append(f"word {grouped(number, sizes, ' -'[rng.integers(2)])} word")
+    out = {r.doc_id: r for r in pii.pseudonymise(docs(spark, list(enumerate(texts))), "k").collect()}
+    for k, text in enumerate(texts):
+        # every blank or hyphen taken out, so no grouping matters
+        before, after = (re.sub("[^0-9]", "", t) for t in (text, out[k].text))
+        assert out[k].n_found == 1 and luhn(after) and len(before) == len(after) and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", out[k].text)
+    assert sum(out[k].text != t for k, t in enumerate(texts)) >= 299
+
+
+def test_numbers_beside_a_run_of_groups_are_still_found(spark):
+    out = pii.pseudonymise(docs(spark, [(1, "1234 555-123-4567"), (2, "1999 2000 2001"), (3, "1234 5678")]), "k").orderBy("doc_id").collect()
+    assert out[0].n_found == 1 and out[0].text.startswith("1234 ") and [(r.text, r.n_found) for r in out[2:]] == [("1234 5678", 0)]
+
+
+BODY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+
+
+def test_lines_are_counted_in_documents(spark):
+    rows = [(k, f"{BODY} own{k}\nshared line here", "h") for k in range(6)] + [(k, f"{BODY} copy of all", "g") for k in range(10, 16)] + [(20, f"{BODY} said again", "f")] * 6 + [(30, "Shared LINE here", "h"), (31, None, "h")]
+    out = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows)).collect()}
+    assert [(out[k].lost_words, out[k].kept) for k in range(6)] == [(3, True)] * 6
+    assert [(out[k].lost_words, out[k].kept, out[k].base_failed) for k in range(10, 16)] == [(23, False, False)] * 6
+    assert out[20].lost_words == 0 and out[20].kept and not out[30].kept and out[30].lost_words == 3
+
+
+def test_cleaned_texts(spark):
+    rows = [(k, f"{BODY} own{k}\n\n  Shared line HERE \nlast {k}", "h") for k in range(6)] + [(k, f"{BODY} copy of all", "g") for k in range(10, 16)] + [(None, f"{BODY} free", None), (31, None, "h"), (32, "few words", "h"), (0, f"{BODY} other text", "h"), (0, f"{BODY} other text", "h")]
+    source = docs(spark, rows)
+    out = quality_rules.clean(source)
+    assert out.columns == source.columns
+    want = [(k, f"{BODY} own{k}\n\nlast {k}") for k in range(6)] + [(None, f"{BODY} free"), (0, f"{BODY} other text"), (0, f"{BODY} other text")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    kept = quality_rules.judge(source).where("kept")
+    assert out.count() == kept.count() and quality_rules.clean(source.where("doc_id < 0")).count() == 0
