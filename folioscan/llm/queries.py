@@ -114,7 +114,7 @@ WITH d AS (
 ), dup AS (
   SELECT doc_id, (count(*) - count(DISTINCT x))::BIGINT AS n_dup_lines FROM lines WHERE line <> '' GROUP BY doc_id
 ), frequent AS (
-  SELECT source, line FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 5
+  SELECT source, line FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) > 5
 ), lost AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '[^ \\t-\\r]+')))::BIGINT AS lost_words FROM lines JOIN frequent USING (source, line) GROUP BY doc_id
 ), win AS (
