@@ -100,11 +100,8 @@ def main(argv: list[str] | None = None) -> int:
         q = spark.createDataFrame([(1, a.query)], "query_id int, query string")
         spelling.choices(spelling.suggest(q, spelling.build_vocabulary(blocks))).show(truncate=False)
     elif a.command == "train":
-        from pyspark.ml.functions import vector_to_array
-
         rows = vectors.training_records(blocks.where("kind = 'abstract'"), ["doc_id", "block_id"])
-        known = vectors.train_words(rows).getVectors().select("word", vector_to_array("vector").alias("vector"))
-        vectors.save_vectors(known, a.out, writers.collection_fingerprint(docs))
+        vectors.save_vectors(vectors.train_words(rows), a.out, writers.collection_fingerprint(docs))
     else:
         known = vectors.load_vectors(spark, a.vectors, writers.collection_fingerprint(docs))
         state, found = vectors.neighbours(known, a.query, a.top)

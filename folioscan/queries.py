@@ -459,10 +459,7 @@ def nearest_vectors(spark, sf_dir):
 def word_neighbours(spark, sf_dir):
     """Neighbours of a word by vectors trained on the documents' sentences."""
     rows = vectors.training_records(table(spark, sf_dir, "documents"), ["doc_id"])
-    model = vectors.train_words(rows, partitions=4)
-    from pyspark.ml.functions import vector_to_array
-
-    known = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    known = vectors.train_words(rows, partitions=4)
     return vectors.nearest(known, known.where("word = 'thanea'"), 10, "word", "vector")
 
 
