@@ -85,10 +85,17 @@ def only_in(left: DataFrame, right: DataFrame, col: str = "term") -> DataFrame:
 
 
 def timings(rows: DataFrame, by: list[str], col: str = "ms") -> DataFrame:
-    """Samples, median and 95th percentile of durations; the latter is the sample at place int(0.95 n), counted from 1."""
-    sorted_values = F.sort_array(F.collect_list(col))
-    g = rows.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.expr(f"percentile(`{col}`, 0.5)").alias("median"), sorted_values.alias("v"))
-    return g.select(*by, "samples", "median", F.element_at("v", F.greatest(F.lit(1), F.floor(F.col("samples") * 0.95)).cast("int")).alias("p95"))
+    """Samples, median and 95th percentile of durations; the latter is the sample at place int(0.95 n), counted from 1.
+
+    Read from how often each duration occurs, so a group is never in one value.
+    """
+    counted = rows.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*by)
+    upto = counted.withColumn("upto", F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("samples", F.sum("n").over(own))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
+    n = F.col("samples")
+    middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    return upto.groupBy(*by, "samples").agg(middle.alias("median"), at(F.greatest(F.lit(1), F.floor(n * 0.95))).alias("p95"))
 
 
 def term_contributions(index: Index, terms: DataFrame, documents: DataFrame, id_col: str = "query_id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Spelling suggestions by bounded edit distance against a corpus vocabulary.
 
-A query word is compared with terms of nearly its length only: lengths are an
-equi-join, each word repeated for every length within its bound, and sets of
-letters prune pairs before any distance is computed.
+A term is cut into one segment more than edits are allowed, so one of them is
+without an edit and stands in the word in nearly its place. Words and terms
+meet in an equi-join on such segments, and sets of letters prune pairs before
+any distance is computed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..storage import materialise
 
+#: Signatures of query words up to which they go to all tasks (some 60 bytes each); beyond, a shuffle join.
+BROADCAST_SIGNATURES = 300_000
 MAX_LENGTH, SHORT_LENGTH, ONE_EDIT_LENGTH, SUGGESTIONS = 64, 3, 5, 3
 # Fixed value: query words keep inner punctuation, so that names are never corrected in parts.
 QUERY_WORD = r"[\p{L}\p{M}\p{N}]+(?:[-‐‑‒–—_'’./][\p{L}\p{M}\p{N}]+)*"
@@ -66,18 +70,54 @@ def query_words(queries: DataFrame, vocabulary: DataFrame, id_col: str = "query_
     return joined.select(id_col, "ord", "word", (F.col("end") - F.length("word")).alias("start"), "end", "term", protection(F.col("word"), F.coalesce("known", F.lit(False))).alias("reason"))
 
 
+def _segments(size: Column, most: int) -> list[tuple[Column, Column]]:
+    """Start (from 0) and length of the ``most`` + 1 segments of nearly one length that a term of a size is cut into."""
+    n = most + 1
+    base, longer = F.floor(size / n).cast("int"), (size % n).cast("int")
+    return [(base * i + F.greatest(F.lit(i) - (F.lit(n) - longer), F.lit(0)), base + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)) for i in range(n)]
+
+
+def term_signatures(terms: DataFrame) -> DataFrame:
+    """(most, size, segment, piece, term, cf, mask): every segment of each prepared term, for one edit and for two."""
+    pieces = [F.struct(F.lit(most).alias("most"), F.lit(i).alias("segment"), F.substring(F.col("term"), start + 1, length).alias("piece")) for most in (1, 2) for i, (start, length) in enumerate(_segments(F.col("size"), most))]
+    return terms.select("term", "cf", "size", "mask", F.explode(F.array(*pieces)).alias("p")).select("p.*", "term", "cf", "size", "mask")
+
+
+def word_signatures(asked: DataFrame) -> DataFrame:
+    """(word, word_mask, most, size, segment, piece) by which terms within ``most`` edits of a word are met.
+
+    Of a term's most + 1 segments one at least has no edit, so the word holds it,
+    moved by no more places than there are edits.
+    """
+    sized = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - F.col("most")), F.length("word") + F.col("most"))))
+
+    def pieces(i: int, start: Column, length: Column, most: int) -> Column:
+        last, first = F.least(F.length("word") - length, start + most), F.greatest(F.lit(0), start - most)
+        places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        held = F.array_distinct(F.transform(places, lambda p: F.substring(F.col("word"), p + 1, length)))
+        return F.when(F.col("most") == most, F.transform(held, lambda x: F.struct(F.lit(i).alias("segment"), x.alias("piece"))))
+
+    out = [pieces(i, start, length, most) for most in (1, 2) for i, (start, length) in enumerate(_segments(F.col("size"), most))]
+    none = F.array().cast("array<struct<segment:int,piece:string>>")
+    return sized.select("word", "word_mask", "most", "size", F.explode(F.concat(*[F.coalesce(x, none) for x in out])).alias("p")).select("word", "word_mask", "most", "size", "p.segment", "p.piece")
+
+
+def candidate_pairs(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, most, term, cf) of the pairs that share a segment in place and nearly all letters; whose distance is to be measured."""
+    most = F.when(F.length("word") <= ONE_EDIT_LENGTH, 1).otherwise(2)
+    asked = materialise(word_signatures(words.select("word").distinct().withColumn("most", most).withColumn("word_mask", text.letter_mask(F.col("word")))), "word-signatures")
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_SIGNATURES else asked
+    met = term_signatures(prepared(vocabulary)).join(few, ["most", "size", "segment", "piece"])
+    masks = (F.bit_count(F.col("word_mask").bitwiseAND(F.bitwise_not("mask"))) <= F.col("most")) & (F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("word_mask"))) <= F.col("most"))
+    return met.where(masks).select("word", "most", "term", "cf").distinct()
+
+
 def candidates(words: DataFrame, vocabulary: DataFrame, top: int = SUGGESTIONS) -> DataFrame:
     """The nearest terms of each word: word, rank, term, distance, cf; by distance, falling frequency and term.
 
     ``words`` has a column word, normalised ASCII. Words of up to five letters allow one edit, longer ones two.
     """
-    most = F.when(F.length("word") <= ONE_EDIT_LENGTH, 1).otherwise(2)
-    asked = words.select("word").distinct().withColumn("most", most).withColumn("word_mask", text.letter_mask(F.col("word")))
-    wide = asked.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - F.col("most")), F.length("word") + F.col("most"))))
-    near = wide.join(prepared(vocabulary), "size").where(
-        (F.bit_count(F.col("word_mask").bitwiseAND(F.bitwise_not("mask"))) <= F.col("most")) & (F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("word_mask"))) <= F.col("most"))
-    )
-    measured = near.withColumn("distance", F.levenshtein("word", "term", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("most")))
+    measured = candidate_pairs(words, vocabulary).withColumn("distance", F.levenshtein("word", "term", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("most")))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.col("cf").desc(), "term"))
     return measured.withColumn("rank", rank).where(F.col("rank") <= top).select("word", "rank", "term", "distance", "cf")
 

@@ -1,0 +1,74 @@
+"""Spelling candidates by segments, against exhaustive comparison."""
+
+import random
+
+import pytest
+
+from folioscan.operators import evaluation, spelling
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.fixture(scope="module")
+def terms():
+    rng = random.Random(2)
+    return sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 10))) for _ in range(1500)})
+
+
+@pytest.fixture(scope="module")
+def words(terms):
+    rng = random.Random(3)
+    out = {"a", "ab", "abcab", "abcabc", "aaaaaaaaaaaa"}
+    for t in rng.sample(terms, 60):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(t))
+            t = rng.choice((t[:i] + rng.choice("abcd") + t[i:], t[:i] + t[i + 1 :], t[:i] + rng.choice("abcd") + t[i + 1 :]))
+        out.add(t or "a")
+    return sorted(out)
+
+
+def test_equals_exhaustive_search(spark, terms, words):
+    vocabulary = spark.createDataFrame([(t, 1 + len(t) % 3) for t in terms], "term string, cf bigint")
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    got = sorted((r.word, r.term, r.distance) for r in spelling.candidates(asked, vocabulary, top=10**6).collect())
+    want = [(w, t, d) for w in words for t in terms if (d := distance(w, t)) <= (1 if len(w) <= 5 else 2)]
+    assert got == sorted(want) and {d for *_, d in want} == {0, 1, 2}
+    best = {}
+    for w, t, d in want:
+        best.setdefault(w, []).append((d, -(1 + len(t) % 3), t))
+    assert {(r.word, r["rank"], r.term) for r in spelling.candidates(asked, vocabulary).collect()} == {(w, i, t) for w, own in best.items() for i, (_, _, t) in enumerate(sorted(own)[:3], 1)}
+
+
+def test_meets_few_of_all_pairs(spark, terms):
+    rng = random.Random(6)
+    many = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 9))) for _ in range(4000)})
+    vocabulary = spark.createDataFrame([(t, 1) for t in many], "term string, cf bigint")
+    asked = spark.createDataFrame([(t,) for t in many[::40]], "word string")
+    n = spelling.candidate_pairs(asked, vocabulary).count()
+    by_length = sum(abs(len(w) - len(t)) <= 2 for w in many[::40] for t in many)
+    assert len(many[::40]) <= n < by_length / 50
+
+
+def test_beyond_the_broadcast(spark, terms, words, monkeypatch):
+    vocabulary = spark.createDataFrame([(t, 1) for t in terms], "term string, cf bigint")
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = lambda: sorted(map(tuple, spelling.candidate_pairs(asked, vocabulary).collect()))
+    want = rows()
+    monkeypatch.setattr(spelling, "BROADCAST_SIGNATURES", 0)
+    assert rows() == want
+
+
+def test_timings_of_odd_groups(spark):
+    values = {"a": [5.0], "b": [1.0, 2.0], "c": [3.0, 1.0, 1.0], "d": [float(i % 7) for i in range(100)]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, ms double")
+    frame = evaluation.timings(rows, ["k"])
+    median = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2
+    assert {r.k: (r.samples, r.median, r.p95) for r in frame.collect()} == {k: (len(v), median(v), sorted(v)[max(1, int(0.95 * len(v))) - 1]) for k, v in values.items()}
+    assert "collect_list" not in frame._jdf.queryExecution().toString()
