@@ -156,6 +156,8 @@ def page_text(page: Column) -> Column:
 def verified_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The documents of a sealed snapshot, after every stored digest, count and rule about them has been checked."""
     manifest = json.loads(spark.read.text(f"{root}/snapshot.json", wholetext=True).first()[0])
+    if manifest["schema_version"] == 2:
+        return _verified_parts(spark, root, manifest)
     digests = {r[0]: r[1] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -1), F.sha2("content", 256)).collect()}
     wanted = {"abstracts.jsonl": manifest["sha256"]["abstracts"], "selection.json": manifest["sha256"]["selection"]} | {f["file"].rpartition("/")[2]: f["sha256"] for f in manifest["raw_files"]}
     if wrong := sorted(n for n, d in wanted.items() if digests.get(n) != d):
@@ -169,3 +171,31 @@ def verified_snapshot(spark: SparkSession, root: str) -> DataFrame:
     if not docs.where("language <> 'eng'").isEmpty() or not texts.where("trim(text) = ''").isEmpty():
         raise ValueError("a document isn't English or has no abstract")
     return docs
+
+
+def _verified_parts(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
+    """The documents of a snapshot that ``seal_parts`` sealed; a part that was altered is named."""
+    from .writers import PART, part_digests, root_digest
+
+    sealed = spark.read.schema(PART).json(f"{root}/parts")
+    if root_digest(sealed) != manifest["root"]:
+        raise ValueError("the snapshot's list of parts was altered")
+    found = part_digests(spark, root, tuple(manifest["tables"]))
+    joined = sealed.alias("s").join(found.alias("f"), ["table", "part"], "full_outer")
+    wrong = joined.where(~F.col("s.sha256").eqNullSafe(F.col("f.sha256")) | ~F.col("s.rows").eqNullSafe(F.col("f.rows"))).select("table", "part").orderBy("table", "part").limit(10).collect()
+    if wrong:
+        raise ValueError(f"the snapshot was altered: {', '.join(f'{r.table}/{r.part}' for r in wrong)}")
+    if "raw_files" in manifest["tables"]:
+        listed = spark.read.schema("file string, sha256 string").json(f"{root}/raw_files")
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/raw").select(F.regexp_extract("path", r"/(raw/.*)$", 1).alias("file"), F.sha2("content", 256).alias("is"))
+        bad = [r[0] for r in listed.join(own, "file", "left").where(~F.col("sha256").eqNullSafe(F.col("is"))).select("file").orderBy("file").limit(10).collect()]
+        if bad:
+            raise ValueError(f"the snapshot was altered: {', '.join(bad)}")
+    docs = read_documents(spark, f"{root}/abstracts")
+    chosen = spark.read.schema("pmid string, status string").json(f"{root}/selection").where("status = 'selected'").groupBy("pmid").agg(F.count(F.lit(1)).alias("n"))
+    held = docs.groupBy("pmid").agg(F.count(F.lit(1)).alias("n_found"))
+    if not held.join(chosen, "pmid", "full_outer").where("n IS NULL OR n_found IS NULL OR n <> 1 OR n_found <> 1").isEmpty():
+        raise ValueError("the snapshot's documents aren't those it lists")
+    if not docs.where("language <> 'eng'").isEmpty() or not abstract_texts(docs).where("trim(text) = ''").isEmpty():
+        raise ValueError("a document isn't English or has no abstract")
+    return docs

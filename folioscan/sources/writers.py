@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import document_order
 from ..storage import hadoop
 
+#: Columns of the digests of a sealed snapshot's parts.
+PART = "table string, part string, rows long, sha256 string"
+
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """JSON lines in the order of identifiers across files; Spark's commit makes the whole set visible at once."""
@@ -118,3 +121,49 @@ def seal_snapshot(spark: SparkSession, documents: DataFrame, selection: DataFram
     reasons = {r["reason"]: r["n"] for r in status_counts(selection.where("status = 'excluded'"), "reason").collect()}
     meta = {"schema_version": 1, "query": query, "counts": {r["status"]: r["n"] for r in status_counts(selection).collect()}, "selected_pmids": selected, "sha256": digests, "raw_files": raw_files, "exclusion_reasons": reasons}
     put("snapshot.json", summary_json(meta))
+
+
+def part_digests(spark: SparkSession, root: str, tables: tuple[str, ...] = ("abstracts", "selection")) -> DataFrame:
+    """(table, part, rows, sha256) of the written parts: the digest of a part is over the sorted digests of its lines.
+
+    Tasks make them; a part has a bounded number of lines.
+    """
+    found = None
+    for name in tables:
+        lines = spark.read.text(f"{root}/{name}").select(F.lit(name).alias("table"), F.col("_metadata.file_name").alias("part"), F.sha2("value", 256).alias("line"))
+        found = lines if found is None else found.unionByName(lines)
+    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256)
+    return found.groupBy("table", "part").agg(F.count(F.lit(1)).alias("rows"), digest.alias("sha256"))
+
+
+def root_digest(parts: DataFrame) -> str:
+    """One digest over those of all parts. They are brought together by their first twelve bits, so few digests reach the driver."""
+    rows = parts.select(F.struct("table", "part", "rows", "sha256").alias("p"), F.substring("sha256", 1, 3).alias("g"))
+    groups = rows.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: F.concat_ws(":", p["table"], p["part"], p["rows"], p["sha256"])), "\n"), 256).alias("h"))
+    return hashlib.sha256("".join(r["h"] for r in groups.orderBy("g").collect()).encode()).hexdigest()
+
+
+def seal_parts(spark: SparkSession, documents: DataFrame, selection: DataFrame, query: str, root: str, raw_files: DataFrame | None = None, rows_per_part: int = 50_000) -> str:
+    """Seals a snapshot of any size: parts in the order of identifiers, their digests, and last snapshot.json with the root digest, which it returns.
+
+    Tasks write the parts and make the digests; the driver sees counts and the
+    root. ``raw_files`` has file (a path below ``root``) and sha256.
+    """
+    from ..operators.evaluation import status_counts
+
+    def put(rows: DataFrame, order: Column, name: str) -> None:
+        n = max(1, -(-rows.count() // rows_per_part))
+        keyed = rows.select(order.alias("__o"), canonical(F.struct(*rows.columns)).alias("value"))
+        keyed.repartitionByRange(n, "__o", "value").sortWithinPartitions("__o", "value").select("value").write.mode("overwrite").text(f"{root}/{name}")
+
+    put(documents, document_order(F.col("pmcid")), "abstracts")
+    put(selection, F.col("pmid"), "selection")
+    if raw_files is not None:
+        put(raw_files.select("file", "sha256"), F.col("file"), "raw_files")
+    tables = ("abstracts", "selection", *(("raw_files",) if raw_files is not None else ()))
+    part_digests(spark, root, tables).coalesce(1).write.mode("overwrite").json(f"{root}/parts")
+    digest = root_digest(spark.read.schema(PART).json(f"{root}/parts"))
+    reasons = {r["reason"]: r["n"] for r in status_counts(selection.where("status = 'excluded'"), "reason").collect()}
+    meta = {"schema_version": 2, "query": query, "counts": {r["status"]: r["n"] for r in status_counts(selection).collect()}, "tables": tables, "root": digest, "exclusion_reasons": reasons}
+    spark.range(1).select(F.lit(summary_json(meta))).coalesce(1).write.mode("overwrite").text(f"{root}/snapshot.json")
+    return digest

@@ -1,0 +1,157 @@
+"""Changes of a folder found without reading all of it; sealed snapshots in parts."""
+
+import os
+import pathlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscan import library
+from folioscan.schemas import DOCUMENT
+from folioscan.sources import readers, writers
+from folioscan.streaming import sync
+from folioscan.versions import TableLog
+from tests_support import JATS
+
+PUBMED = "<PubmedArticle><MedlineCitation><PMID>{n}</PMID><Article><Language>eng</Language><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>One {n}.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "raw").mkdir()
+    for k in range(12):
+        (tmp_path / f"raw/{k}.xml").write_text(f"<a>{k:02}</a>")
+    return tmp_path / "raw"
+
+
+def unseen_edit(path, text):
+    """Another content of the same size at the same time."""
+    stat = os.stat(path)
+    path.write_text(text)
+    os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+
+
+def names(rows):
+    return {r.raw_path.rpartition("/")[2] for r in rows}
+
+
+def test_only_suspects_are_read(spark, folder):
+    nothing = spark.createDataFrame([], sync.KNOWN)
+    known = sync.looked_over(spark, str(folder), nothing, 0)
+    known = spark.createDataFrame(known.collect(), known.schema)
+    assert known.count() == 12
+    group = lambda trigger: names(sync.suspects(spark, str(folder), known, trigger, 4).where("suspect").collect())
+    groups = [group(t) for t in range(4)]
+    assert set().union(*groups) == {f"{k}.xml" for k in range(12)} and sum(map(len, groups)) == 12
+    assert sync.suspects(spark, str(folder), known, 1, 4).where("suspect").agg(F.sum("length")).first()[0] == 9 * len(groups[1])
+    (folder / "12.xml").write_text("<a>new</a>")
+    (folder / "3.xml").write_text("<a>longer</a>")
+    os.unlink(folder / "5.xml")
+    assert group(0) == groups[0] - {"5.xml"} | {"12.xml", "3.xml"}
+    diff = {r.raw_path.rpartition("/")[2]: r.state for r in sync.differences(sync.looked_over(spark, str(folder), known, 0, 4), known).collect()}
+    assert {k: v for k, v in diff.items() if v != "same"} == {"12.xml": "added", "3.xml": "changed", "5.xml": "removed"}
+
+
+@pytest.mark.parametrize("named", [5000, 0])
+def test_an_edit_that_keeps_name_size_and_time_is_found_in_its_turn(spark, folder, monkeypatch, named):
+    monkeypatch.setattr(sync, "NAMED_FILES", named)
+    known = sync.looked_over(spark, str(folder), spark.createDataFrame([], sync.KNOWN), 0)
+    known = spark.createDataFrame(known.collect(), known.schema)
+    unseen_edit(folder / "7.xml", "<a>xx</a>")
+    found = []
+    for trigger in range(3):
+        now = sync.looked_over(spark, str(folder), known, trigger, 3)
+        found.append(names(sync.differences(now, known).where("state = 'changed'").collect()))
+    assert sorted(found, key=len) == [set(), set(), {"7.xml"}]
+
+
+def test_a_watch_goes_on_where_it_stopped(spark, folder, tmp_path):
+    seen = []
+
+    def once(rounds=1):
+        query = sync.watch(spark, str(folder), lambda s: seen.append(s.count()), str(tmp_path / "check"), seconds=None, rounds=rounds)
+        query.awaitTermination(120)
+
+    once()
+    once()
+    assert seen == [12]
+    (folder / "new.xml").write_text("<a/>")
+    once()
+    assert seen == [12, 13]
+    log = TableLog(spark, str(tmp_path / "check/digests"))
+    assert log.read(log.version(), "files").count() == 13 and len(log.numbers()) <= 2
+
+
+def test_a_stored_library_in_step_with_a_folder(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for n in (1, 2):
+        (raw / f"{n}.xml").write_text(JATS.format(n=n, body=f"Ice {n}."))
+    own = library.StoredLibrary(TableLog(spark, str(tmp_path / "lib"), buckets=4))
+    ids = lambda frame: sorted(r.pmcid for r in frame.select("pmcid").collect())
+    sync.sync_stored(spark, str(raw), own)
+    os.unlink(raw / "2.xml")
+    with own.log.held("sync") as lease:
+        sync.sync_stored(spark, str(raw), own, lease)
+    documents, deleted, manifest = own.tables()
+    assert ids(documents) == ["PMC1"] and ids(deleted) == ["PMC2"]
+    assert sorted((r.pmcid, r.status) for r in manifest.collect()) == [("PMC1", "duplicate"), ("PMC1", "imported"), ("PMC2", "imported"), ("PMC2", "source_removed")] or sorted((r.pmcid, r.status) for r in manifest.collect()) == [("PMC1", "imported"), ("PMC2", "imported"), ("PMC2", "source_removed")]
+    assert own.log.read(own.log.version(), "files").count() == 1
+
+
+# ---- sealed snapshots
+
+
+@pytest.fixture
+def sealed(spark, tmp_path):
+    (tmp_path / "snap/raw").mkdir(parents=True)
+    for n in range(1, 31):
+        (tmp_path / f"snap/raw/{n}.xml").write_text(PUBMED.format(n=n))
+    root = f"file://{tmp_path}/snap"
+    docs = readers.documents_of(readers.read_articles(spark, f"{root}/raw"))
+    docs = spark.createDataFrame(docs.collect(), DOCUMENT)
+    selection = spark.createDataFrame([(str(n), "selected" if n <= 30 else "excluded", "parse_error") for n in range(1, 33)], "pmid string, status string, reason string")
+    raw = spark.read.format("binaryFile").load(f"{root}/raw").select(F.concat(F.lit("raw/"), F.element_at(F.split("path", "/"), -1)).alias("file"), F.sha2("content", 256).alias("sha256"))
+    return root, pathlib.Path(tmp_path / "snap"), writers.seal_parts(spark, docs, selection, "q", root, raw, rows_per_part=10)
+
+
+def altered(path, change):
+    raw = bytearray(path.read_bytes())
+    change(raw)
+    path.write_bytes(bytes(raw))
+    for crc in path.parent.glob(".*.crc"):
+        crc.unlink()
+
+
+def flip(raw):
+    raw[len(raw) // 2] ^= 1
+
+
+def test_sealed_parts(spark, sealed):
+    root, path, digest = sealed
+    assert readers.verified_snapshot(spark, root).count() == 30
+    parts = spark.read.schema(writers.PART).json(f"{root}/parts")
+    assert parts.where("table = 'abstracts'").count() == 3 and parts.where("table = 'abstracts'").agg(F.sum("rows")).first()[0] == 30
+    assert writers.root_digest(parts) == digest and digest in next((path / "snapshot.json").glob("part-*")).read_text()
+
+
+@pytest.mark.parametrize("table", ["abstracts", "selection", "raw_files"])
+def test_a_flipped_byte_names_its_part(spark, sealed, table):
+    root, path, _ = sealed
+    part = sorted((path / table).glob("part-*"))[0]
+    altered(part, flip)
+    with pytest.raises(ValueError, match=f"{table}/{part.name}"):
+        readers.verified_snapshot(spark, root)
+
+
+def test_other_damage(spark, sealed):
+    root, path, _ = sealed
+    altered(path / "raw/4.xml", flip)
+    with pytest.raises(ValueError, match="raw/4.xml"):
+        readers.verified_snapshot(spark, root)
+    altered(path / "raw/4.xml", flip)
+    assert readers.verified_snapshot(spark, root).count() == 30
+    listed = next((path / "parts").glob("part-*"))
+    altered(listed, lambda raw: raw.__setitem__(slice(None), raw.replace(b'"rows":10', b'"rows":11')))
+    with pytest.raises(ValueError, match="list of parts"):
+        readers.verified_snapshot(spark, root)
