@@ -14,6 +14,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -46,37 +47,66 @@ def polite_fetch(url: str, opener: Callable | None = None, sleep: Callable[[floa
     raise AssertionError
 
 
+class DamagedCache(ValueError):
+    """A stored response isn't what was stored; it is neither used nor silently replaced."""
+
+
 class Fetcher:
     """``polite_fetch`` with a cap on requests and, in a folder that all readers share, a cache of bodies.
 
-    A body is kept under the digest of its URL with its own digest before it;
-    one that doesn't match is fetched again. So a job that was cut short goes
-    on with what it has, without asking twice.
+    A body is kept under the digest of its URL with its own digest before it,
+    so a job that was cut short goes on with what it has, without asking twice.
+    One that doesn't match its digest is refused by name: whoever removes the
+    file has it fetched again. The folder is a path, or a URL of a file system
+    that pyarrow knows.
     """
 
-    def __init__(self, cache: str = "", limit: int = MAX_REQUESTS, fetch: Callable[[str], bytes] = polite_fetch):
-        self.cache, self.left, self.fetch = cache, limit, fetch
+    def __init__(self, cache: str = "", limit: int = MAX_REQUESTS, fetch: Callable[[str], bytes] | None = None):
+        self.cache, self.left, self.fetch = cache, limit, fetch or polite_fetch
+
+    def _folder(self):
+        from pyarrow import fs
+
+        if "://" in self.cache:
+            return fs.FileSystem.from_uri(self.cache)
+        return fs.LocalFileSystem(), os.path.abspath(self.cache)
 
     def __call__(self, url: str) -> bytes:
-        at = os.path.join(self.cache, hashlib.sha256(url.encode()).hexdigest()) if self.cache else ""
-        if at and os.path.exists(at):
-            with open(at, "rb") as f:
-                digest, body = f.read(64), f.read()
-            if hashlib.sha256(body).hexdigest().encode() == digest:
-                return body
+        system, folder = self._folder() if self.cache else (None, "")
+        at = f"{folder}/{hashlib.sha256(url.encode()).hexdigest()}"
+        if system and system.get_file_info(at).is_file:
+            with system.open_input_stream(at) as f:
+                raw = f.read()
+            digest, body = raw[:64], raw[64:]
+            if hashlib.sha256(body).hexdigest().encode() != digest:
+                raise DamagedCache(f"{at}: the stored response to {url} is damaged; remove the file to have it fetched again")
+            return body
         if not self.left:
             raise ValueError("the limit of requests is reached")
         self.left -= 1
         body = self.fetch(url)
-        if at:
-            os.makedirs(self.cache, exist_ok=True)
-            own = f"{at}.{os.getpid()}.tmp"
-            with open(own, "wb") as f:
+        if system:
+            system.create_dir(folder, recursive=True)
+            own = f"{at}.{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(own) as f:
                 f.write(hashlib.sha256(body).hexdigest().encode() + body)
-            os.replace(own, at)
+            system.move(own, at)
         return body
 
 
+def listed_headers(page: bytes) -> tuple[list[tuple[str, bool]], str]:
+    """(identifier, deleted) of a list page's records, and the token by which the list goes on; "" at its end."""
+    root = ET.fromstring(page)
+    local = lambda n: n.tag.rpartition("}")[2]
+    if faults := [f"{n.get('code', '')}: {(n.text or '').strip()}" for n in root.iter() if local(n) == "error"]:
+        raise ValueError("; ".join(faults))
+    rows = []
+    for header in (n for n in root.iter() if local(n) == "header"):
+        own = next((c.text or "" for c in header if local(c) == "identifier"), "")
+        rows.append((own.strip(), header.get("status") == "deleted"))
+    return rows, next((n.text or "" for n in root.iter() if local(n) == "resumptionToken"), "").strip()
+
+
 def listed_ids(url: str, size: int, fetch: Callable[[str], bytes]) -> Iterator[tuple[int, str]]:
     """(place, identifier) of a search's results, page after page of ``size``, until as many as it counts have come."""
     place, total = 0, 1
@@ -157,14 +187,7 @@ class _HarvestReader(SimpleDataSourceStreamReader):
         return {"token": "", "done": False}
 
     def _page(self, token: str):
-        root = ET.fromstring(polite_fetch(f"{self.url}&resumptionToken={urllib.parse.quote(token)}" if token else self.url))
-        local = lambda n: n.tag.rpartition("}")[2]
-        rows = []
-        for header in (n for n in root.iter() if local(n) == "header"):
-            own = next((c.text or "" for c in header if local(c) == "identifier"), "")
-            rows.append((own, header.get("status") == "deleted"))
-        following = next((n.text or "" for n in root.iter() if local(n) == "resumptionToken"), "")
-        return rows, following.strip()
+        return listed_headers(polite_fetch(f"{self.url}&resumptionToken={urllib.parse.quote(token)}" if token else self.url))
 
     def read(self, start):
         if start["done"]:

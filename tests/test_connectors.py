@@ -45,7 +45,12 @@ def test_cache_and_cap(tmp_path):
     (file,) = [p for p in (tmp_path / "c").iterdir() if p.read_bytes().endswith(b"of b")]
     file.write_bytes(file.read_bytes()[:-1] + b"!")
     again = connectors.Fetcher(str(tmp_path / "c"), fetch=fetch)
-    assert again("a") == b"body of a" and again("b") == b"body of b" and asked == ["a", "b", "b"]
+    assert again("a") == b"body of a"
+    with pytest.raises(connectors.DamagedCache, match=file.name):
+        again("b")
+    assert asked == ["a", "b"] and file.read_bytes().endswith(b"of !")
+    file.unlink()
+    assert again("b") == b"body of b" and asked == ["a", "b", "b"]
 
 
 def test_requests_are_tried_again():

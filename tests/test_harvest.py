@@ -1,0 +1,94 @@
+"""A harvest over several pages that is cut short and taken up again."""
+
+import collections
+import urllib.parse
+
+import pytest
+
+from folioscan.streaming.harvest import Harvest
+from folioscan.versions import TableLog
+
+PAGES = {"": (["a:1", "a:2", "a:3"], "p2"), "p2": (["a:4", "-a:5", "a:2"], "p3"), "p3": (["a:6"], "")}
+
+
+def service(folder, broken=(), dies_at=None):
+    """A function that answers, and writes down what it was asked; the records in ``broken`` fail once."""
+    folder.mkdir(exist_ok=True)
+    log, died = folder / "asked", folder / "died"
+
+    def fetch(url):
+        with log.open("a") as f:
+            f.write(url + "\n")
+        if url.startswith("list"):
+            ids, token = PAGES[urllib.parse.parse_qs(url.partition("?")[2]).get("resumptionToken", [""])[0]]
+            headers = "".join(f'<header status="deleted"><identifier>{i[1:]}</identifier></header>' if i[0] == "-" else f"<header><identifier>{i}</identifier></header>" for i in ids)
+            return f"<OAI xmlns='x'><ListIdentifiers>{headers}<resumptionToken>{token}</resumptionToken></ListIdentifiers></OAI>".encode()
+        own = url.partition("id=")[2]
+        if own == dies_at and not died.exists():
+            died.write_text("x")
+            raise RuntimeError("the machine went down")
+        if own in broken and log.read_text().count(url + "\n") == 1:
+            raise OSError("no answer")
+        return f"<record>{own}</record>".encode()
+
+    return fetch, lambda: collections.Counter(log.read_text().split())
+
+
+def harvest(spark, tmp_path, fetch):
+    return Harvest(TableLog(spark, str(tmp_path / "h"), key="identifier", buckets=2), "list?x=1", "get?id=", str(tmp_path / "cache"), fetch)
+
+
+def bodies(own):
+    return {r.identifier: bytes(r.content).decode() for r in own.records().collect()}
+
+
+def test_a_harvest_in_small_pieces(spark, tmp_path):
+    fetch, asked = service(tmp_path / "s", broken=("a:3",))
+    own = harvest(spark, tmp_path, fetch)
+    assert own.run(requests=3) == 2
+    assert [(r.identifier, r.tries) for r in own.pending().collect()] == [("a:3", 0)]
+    # another process goes on
+    own, total = harvest(spark, tmp_path, fetch), 0
+    for _ in range(8):
+        total += own.run(requests=2)
+    assert total == 3 and own.pending().isEmpty()
+    assert bodies(own) == {f"a:{k}": f"<record>a:{k}</record>" for k in (1, 2, 3, 4, 6)}
+    events = sorted((r.identifier, r.status) for r in own.events().collect())
+    assert events == [("a:1", "fetched"), ("a:2", "fetched"), ("a:3", "failed"), ("a:3", "fetched"), ("a:4", "fetched"), ("a:5", "deleted"), ("a:6", "fetched")]
+    want = {u: 1 for u in ("list?x=1", "list?x=1&resumptionToken=p2", "list?x=1&resumptionToken=p3")} | {f"get?id=a:{k}": 1 for k in (1, 2, 4, 6)} | {"get?id=a:3": 2}
+    assert asked() == want
+    assert own.run() == 0 and asked() == want
+
+
+def test_cut_in_the_middle_of_a_page(spark, tmp_path):
+    fetch, asked = service(tmp_path / "s", dies_at="a:2")
+    own = harvest(spark, tmp_path, fetch)
+    with pytest.raises(Exception, match="went down"):
+        own.run()
+    assert own.pending().count() == 3 and bodies(own) == {}
+    while own.run():
+        pass
+    assert set(bodies(own)) == {"a:1", "a:2", "a:3", "a:4", "a:6"} and own.pending().isEmpty()
+    # what came before the fall was kept; only the request that fell was made again
+    assert {u: n for u, n in asked().items() if u.startswith("get")} == {"get?id=a:1": 1, "get?id=a:2": 2, "get?id=a:3": 1, "get?id=a:4": 1, "get?id=a:6": 1}
+
+
+def test_what_never_comes_is_given_up(spark, tmp_path):
+    fetch, _ = service(tmp_path / "s")
+
+    def never(url):
+        if url.endswith("a:6"):
+            raise OSError("gone")
+        return fetch(url)
+
+    own = harvest(spark, tmp_path, never)
+    for _ in range(6):
+        own.run()
+    assert own.pending().isEmpty() and [r.status for r in own.events().where("identifier = 'a:6'").orderBy("at", "status").collect()] == ["failed", "failed", "given_up"]
+
+
+def test_an_error_of_the_service_is_raised(spark, tmp_path):
+    own = harvest(spark, tmp_path, lambda _: b"<OAI><error code='badArgument'>no such set</error></OAI>")
+    with pytest.raises(ValueError, match="no such set"):
+        own.run()
+    assert own.log.version().number == 0
