@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import argparse
+import datetime
+import hashlib
+import itertools
+import re
+import urllib.parse
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import library
+from . import library, store
 from .functions import text
 from .operators import index, search, spelling, vectors
 from .plans import analysis
 from .schemas import TOMBSTONE
 from .session import local_session, ship_package
-from .sources import readers, writers
+from .sources import connectors, readers, writers
+from .storage import materialise
+from .streaming import harvest
+from .versions import TableLog
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +36,11 @@ def parser() -> argparse.ArgumentParser:
     docs = ("documents", {"help": "folder of stored documents"})
     out = ("--out", {"required": True})
     query = ("query", {})
+    command(
+        "download", ("root", {"help": "folder of the library and its harvest"}), ("--count", {"type": int, "default": 15, "help": "records to ask for, 50 at most"}), ("--from-date", {"default": "2025-01-01"}), ("--until-date", {"default": "2025-01-02"}),
+        ("--set", {"dest": "set_spec", "default": "pmc-open"}), help="go on with a harvest of articles and import what may be reused",
+    )
+    command("fetch", query, ("root", {"help": "folder of the snapshot"}), ("--count", {"type": int, "default": 1000}), help="search abstracts, take the first English ones and seal them")
     command("import", ("folder", {}), ("--scope", {"choices": ["full", "abstract"], "default": "full"}), out, help="parse a folder of XML and store its documents")
     command("build", docs, ("--variant", {"choices": index.VARIANTS, "default": "porter_relevance"}), ("--phrases", {"action": "store_true", "help": "with the token table that phrase search needs"}), out, help="build an index, unless the one there is still right")
     command("search", query, ("index", {"help": "folder of a built index"}), ("--documents", {"help": "folder of stored documents, for titles"}), ("--mode", {"choices": search.MODES}), ("--limit", {"type": int, "default": 10}), help="search a built index")
@@ -40,10 +54,79 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+# The services' addresses.
+OAI_URL = "https://pmc.ncbi.nlm.nih.gov/api/oai/v1/mh/"
+EUTILS_URL = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/"
+#: Records of a request for abstracts, and candidates that are looked at for each one wanted.
+FETCH_BATCH, CANDIDATES = 100, 3
+
+
+def download(spark: SparkSession, a: argparse.Namespace, now: str) -> int:
+    if not 1 <= a.count <= 50:
+        raise SystemExit("between 1 and 50 records can be asked for at a time")
+    dates = [datetime.date.fromisoformat(d) for d in (a.from_date, a.until_date)]
+    if dates[0] > dates[1]:
+        raise SystemExit("the first day must not lie after the last")
+    asked = urllib.parse.urlencode({"verb": "ListIdentifiers", "metadataPrefix": "pmc", "set": a.set_spec, "from": a.from_date, "until": a.until_date})
+    own = harvest.Harvest(
+        TableLog(spark, f"{a.root}/harvest-{hashlib.sha256(asked.encode()).hexdigest()[:12]}", key="identifier"), f"{OAI_URL}?{asked}", f"{OAI_URL}?verb=GetRecord&metadataPrefix=pmc&identifier=", f"{a.root}/cache",
+        next_url=f"{OAI_URL}?verb=ListIdentifiers&resumptionToken=",
+    )
+    left = a.count
+    while left > 0:
+        listing = own.pending().isEmpty()
+        before = own.log.version().number
+        came = own.run(1 if listing else left, now)
+        left -= came
+        if own.log.version().number == before or (not listing and not came):
+            break
+    paths = []
+    for r in own.records().where(F.col("fetched_at") == now).toLocalIterator():
+        paths.append(f"{a.root}/raw/{re.sub('[^A-Za-z0-9]+', '-', r.identifier)}.xml")
+        store.write_bytes(spark, paths[-1], bytes(r.content))
+    if not paths:
+        print("nothing new has come")
+        return 0
+    parsed = readers.read_articles(spark, paths)
+    fit = readers.english(F.col("document.language")) & readers.reusable_license(F.col("document.license_url"))
+    reason = F.when((F.col("error") == "") & ~F.coalesce(fit, F.lit(False)), "not in English, or not to be reused").otherwise(F.col("error"))
+    kept = library.StoredLibrary(TableLog(spark, f"{a.root}/library"))
+    version = kept.import_articles(parsed.withColumn("error", reason), now=now)
+    kept.tables(version)[2].where(F.col("imported_at") == now).groupBy("status").count().show()
+    return 0
+
+
+def fetch(spark: SparkSession, a: argparse.Namespace) -> int:
+    ask = connectors.Fetcher(f"{a.root}/cache", limit=CANDIDATES * a.count // FETCH_BATCH + 10)
+    search_url = f"{EUTILS_URL}esearch.fcgi?{urllib.parse.urlencode({'db': 'pubmed', 'retmode': 'xml', 'term': a.query})}"
+    ids = [pmid for _, pmid in itertools.islice(connectors.listed_ids(search_url, 500, ask), CANDIDATES * a.count)]
+    files = []
+    for at in range(0, len(ids), FETCH_BATCH):
+        raw = ask(f"{EUTILS_URL}efetch.fcgi?db=pubmed&retmode=xml&id={','.join(ids[at : at + FETCH_BATCH])}")
+        files.append((f"raw/batch-{at // FETCH_BATCH:05d}.xml", hashlib.sha256(raw).hexdigest()))
+        store.write_bytes(spark, f"{a.root}/{files[-1][0]}", raw)
+    if not files:
+        raise SystemExit("the search finds nothing")
+    parsed = materialise(readers.read_articles(spark, [f"{a.root}/{f}" for f, _ in files], "abstract"), "parsed")
+    good = parsed.where("error = ''").select("document.*")
+    texts = good.select("pmid", F.array("language").alias("languages")).join(readers.abstract_texts(good), "pmid")
+    fetched = texts.select("pmid", F.lit("article").alias("kind"), "languages", F.lit("").alias("error"), F.col("text").alias("abstract"))
+    candidates = spark.createDataFrame([(pmid, i) for i, pmid in enumerate(dict.fromkeys(ids))], "pmid string, ord int")
+    selection = materialise(library.select_candidates(candidates, fetched, a.count), "selection")
+    chosen = good.join(selection.where("status = 'selected'").select("pmid"), "pmid", "left_semi").select(*good.columns)
+    digest = writers.seal_parts(spark, chosen, selection.select("pmid", "status", "reason"), a.query, a.root, spark.createDataFrame(files, "file string, sha256 string"))
+    print(f"{readers.verified_snapshot(spark, a.root).count()} abstracts, sealed as {digest}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = local_session("folioscan")
     ship_package(spark)
+    if a.command == "download":
+        return download(spark, a, datetime.datetime.now(datetime.UTC).isoformat())
+    if a.command == "fetch":
+        return fetch(spark, a)
     if a.command == "verify":
         print(f"{readers.verified_snapshot(spark, a.snapshot).count()} documents, all as sealed")
         return 0

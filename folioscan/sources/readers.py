@@ -18,8 +18,8 @@ from .article_xml import MAX_BYTES, parse_file
 MAX_LIST_BYTES, MAX_LIST_IDS = 1024 * 1024, 100
 
 
-def read_articles(spark: SparkSession, path: str, scope: str = "full", only: DataFrame | None = None) -> DataFrame:
-    """A row of ``schemas.PARSED`` for each article of the XML files at ``path`` (a file, or a folder's ``*.xml`` in any case).
+def read_articles(spark: SparkSession, path: str | list[str], scope: str = "full", only: DataFrame | None = None) -> DataFrame:
+    """A row of ``schemas.PARSED`` for each article of the XML files at ``path`` (files, or a folder's ``*.xml`` in any case).
 
     ``only`` has the raw_path of the files to parse (default: all). Files larger
     than the limit aren't loaded; they give a row with an error.

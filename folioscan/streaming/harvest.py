@@ -38,13 +38,15 @@ def _schema(text: str) -> T.StructType:
 
 @dataclass
 class Harvest:
-    """``list_url`` gives the first page of identifiers; ``record_url`` and an identifier give a record."""
+    """``list_url`` gives the first page of identifiers, ``next_url`` and a token the following ones; ``record_url`` and an identifier give a record."""
 
     log: TableLog
     list_url: str
     record_url: str
     cache: str = ""
     fetch: Callable[[str], bytes] | None = None
+    #: By default the first page's with a parameter more; some services want the token alone.
+    next_url: str = ""
 
     def table(self, name: str, schema: str, version: Version | None = None) -> DataFrame:
         return self.log.read(version or self.log.version(), name, _schema(schema))
@@ -70,7 +72,7 @@ class Harvest:
         if started and not token:
             return None
         fetch = self.fetch or Fetcher(self.cache)
-        rows, following = listed_headers(fetch(f"{self.list_url}&resumptionToken={urllib.parse.quote(token)}" if token else self.list_url))
+        rows, following = listed_headers(fetch((self.next_url or f"{self.list_url}&resumptionToken=") + urllib.parse.quote(token) if token else self.list_url))
         spark = self.log.spark
         known = self.table("events", EVENTS, base).where("status = 'fetched'").select("identifier").distinct()
         fresh = spark.createDataFrame([(k, listed + i, 0, "") for i, (k, gone) in enumerate(rows) if not gone], PENDING).dropDuplicates(["identifier"]).join(known, "identifier", "left_anti")
