@@ -39,7 +39,8 @@ _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])"
 #: Digits at a stretch, or in groups as they stand on cards: all but the last of 4 to 6 digits, or 6 and the rest.
 _CARD = (
-    r"(?<![0-9A-Za-z])(?:(?:[0-9]{4,6}[ -]){3,}[0-9]{1,7}|(?:[0-9]{4,6}[ -]){2}[0-9]{4,7}|[0-9]{6}[ -][0-9]{6,13})(?![0-9A-Za-z])"
+    # possessive, and each group sure of the next: a long run is gone along without a step back
+    r"(?<![0-9A-Za-z])(?:(?:[0-9]{4,6}[ -](?=[0-9]{1,7}(?![0-9A-Za-z]))){3,}+[0-9]{1,7}|(?:[0-9]{4,6}[ -]){2}[0-9]{4,7}|[0-9]{6}[ -][0-9]{6,13})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
 )
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
