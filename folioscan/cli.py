@@ -161,7 +161,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "analyze":
         texts = analysis.validated(readers.abstract_texts(docs), "pmid", "text")
         n = texts.count()
-        counts = analysis.corpus_counts(texts, "pmid")
+        counts = analysis.corpus_counts(texts, "pmid", exact=True)
         ranked = analysis.ranked_terms(counts, n)
         chosen = analysis.selected_terms(ranked.where("condition = 'B'"), n)
         summary = analysis.summaries(ranked, n)

@@ -59,8 +59,32 @@ def _shared_stems(vocabulary: DataFrame) -> DataFrame:
     return F.broadcast(shared) if shared.count() <= BROADCAST_TERMS else shared
 
 
-def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
-    """(condition, term, cf, df) of all documents, written once; ``docs`` has a row for each document."""
+def _in_exact_form(counted: DataFrame, own: DataFrame, kinds: tuple[str, ...], doc_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Counts under the composed and fully folded forms of their terms, and (term, exact) of the terms that have another; None if none has.
+
+    Only distinct terms beyond ASCII are looked at. Where terms become one, the
+    documents that hold any of them are counted anew.
+    """
+    forms = materialise(text.exact_forms(counted), "exact-forms")
+    if forms.isEmpty():
+        return counted, None
+    few = F.broadcast(forms) if forms.count() <= BROADCAST_TERMS else forms
+    named = materialise(counted.join(few, "term", "left").withColumn("to", F.coalesce("exact", "term")), "named-counts")
+    several = named.groupBy("condition", "to").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("condition", "to")
+    shared = materialise(named.join(several, ["condition", "to"], "left_semi").select("condition", "term", "to"), "shared-forms")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_TERMS else shared
+    rows = own.select(doc_col, F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), F.array_distinct(k).alias("terms")) for k in kinds])).alias("x")).select(doc_col, "x.condition", F.explode("x.terms").alias("term"))
+    held = rows.join(shared, ["condition", "term"]).select("condition", "to", doc_col).distinct().groupBy("condition", "to").agg(F.count(F.lit(1)).alias("held"))
+    merged = named.groupBy("condition", "to").agg(F.sum("cf").alias("cf"), F.max("df").alias("df")).join(held, ["condition", "to"], "left")
+    return materialise(merged.select("condition", F.col("to").alias("term"), "cf", F.coalesce("held", "df").alias("df")), "exact-counts"), few
+
+
+def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS, exact: bool = False) -> DataFrame:
+    """(condition, term, cf, df) of all documents, written once; ``docs`` has a row for each document.
+
+    With ``exact`` terms are composed and folded in full, for texts that may
+    hold decomposed letters or letters whose folding is special.
+    """
     kinds = _kinds(conditions)
     # columns of their own, so that a text is cut once for each condition
     own = docs.select(doc_col, *[text.condition_terms(F.col(text_col), k).alias(k) for k in kinds])
@@ -68,6 +92,9 @@ def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     lists = own.select(F.explode(F.array(*[x for k in kinds for x in (one(k, F.col(k), 1, 0), one(k, F.array_distinct(k), 0, 1))])).alias("x"))
     rows = lists.select("x.condition", F.explode("x.terms").alias("term"), "x.cf", "x.df")
     counted = materialise(rows.groupBy("condition", "term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")), "term-counts")
+    forms = None
+    if exact:
+        counted, forms = _in_exact_form(counted, own, kinds, doc_col)
     if not {"C", "D"} & set(conditions):
         return counted
     c = counted.where((F.col("condition") == "B") & ~F.col("term").isin(list(ANALYSIS_STOPWORDS))).withColumn("condition", F.lit("C"))
@@ -75,7 +102,10 @@ def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     if "D" in conditions:
         vocabulary = materialise(porter.stems(c), "stems")
         shared = _shared_stems(vocabulary)
-        held = own.select(doc_col, F.explode(F.array_distinct("B")).alias("term")).join(shared, "term").select("stem", doc_col).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
+        terms = own.select(doc_col, F.explode(F.array_distinct("B")).alias("term"))
+        if forms is not None:
+            terms = terms.join(forms, "term", "left").select(doc_col, F.coalesce("exact", "term").alias("term"))
+        held = terms.join(shared, "term").select("stem", doc_col).distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("held"))
         by_stem = vocabulary.groupBy("stem").agg(F.sum("cf").alias("cf"), F.max("df").alias("df")).join(held, "stem", "left")
         parts.append(materialise(by_stem.select(F.lit("D").alias("condition"), F.col("stem").alias("term"), "cf", F.coalesce("held", "df").alias("df")), "stem-counts"))
     return reduce(DataFrame.unionByName, parts)

@@ -117,6 +117,13 @@ def term_ranks(spark, sf_dir):
     return rounded(_ranked(spark, sf_dir))
 
 
+@registered(f"WITH {_CONDITIONS.replace('lower(t)', 'lower(nfc_normalize(t))')} SELECT condition, rank, term, cf, df, round(idf, 6) + 0.0 AS idf FROM ranked")
+def exact_term_ranks(spark, sf_dir):
+    """As ``term_ranks``, with terms composed and folded in full."""
+    docs = _texts(spark, sf_dir)
+    return rounded(analysis.ranked_terms(analysis.corpus_counts(docs, exact=True), docs.count()))
+
+
 @registered(f"WITH {_CONDITIONS} SELECT d.condition, doc_id, coalesce(tokens, 0)::BIGINT AS tokens, coalesce(unique_terms, 0) AS unique_terms FROM (SELECT doc_id, unnest(['A', 'B', 'C', 'D']) AS condition FROM documents) d LEFT JOIN (SELECT condition, doc_id, sum(tf) AS tokens, count(*) AS unique_terms FROM tf GROUP BY ALL) USING (condition, doc_id)")
 def document_term_counts(spark, sf_dir):
     return analysis.document_counts(_texts(spark, sf_dir))

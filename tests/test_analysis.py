@@ -136,3 +136,20 @@ def test_measures(spark):
     assert (r.tp, r.fp, r.fn, r.count_error, r.f1) == (1, 1, 1, 0, 0.5)
     log = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "k string, n int, s string")
     assert evaluation.latest_by_key(log, "k", ["n"]).first().s == "b"
+
+
+def test_decomposed_texts_count_as_composed_ones(spark):
+    import unicodedata
+
+    texts = ["Café cafés été œuvre", "café, ÉTÉ naïve naïve", "straße STRASSE ﬁne Ångström", "plain text"]
+    ranks = lambda rows: sorted(map(tuple, analysis.ranked_terms(analysis.corpus_counts(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), exact=True), len(rows)).collect()))
+    whole = ranks(texts)
+    assert ranks([unicodedata.normalize("NFD", t) for t in texts]) == whole
+    # a document with both forms is one document of the term
+    mixed = [t + " " + unicodedata.normalize("NFD", t) for t in texts]
+    twice = {(c, t): (cf, df) for c, _, t, cf, df, _ in ranks(mixed)}
+    once = {(c, t): (cf, df) for c, _, t, cf, df, _ in whole}
+    assert twice == {k: (2 * cf, df) for k, (cf, df) in once.items()}
+    # the library's own composition and folding, term by term
+    known = {unicodedata.normalize("NFC", w).casefold() for t in texts for w in t.split()}
+    assert {t for c, _, t, *_ in whole if c == "A"} == known
