@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise
+from .common import BROADCAST_ROWS, discard, materialise
 
 VISIBLE = r"[^\x20\x09-\x0D]"
 OK, BLANK, DUPLICATE, TRUNCATED = range(4)
@@ -179,8 +179,8 @@ def _prepared(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, tex
     )
 
 
-def _signed(turns: DataFrame) -> DataFrame:
-    """conv, turn, role, lead, mark, copies and the signs of the first and of further copies, for each distinct turn.
+def _signed(turns: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """conv, turn, role, lead, mark, copies and the signs of the first and of further copies, for each distinct turn; and the tables it is read from.
 
     Equal turns are counted where they lie, before they are exchanged; no text is.
     """
@@ -198,17 +198,18 @@ def _signed(turns: DataFrame) -> DataFrame:
     earlier = F.coalesce(place != F.col("first"), F.lit(False))
     fault = F.when(F.col("fault") == BLANK, BLANK).when(earlier, DUPLICATE).otherwise(F.col("fault"))
     further = F.when(F.col("fault") == BLANK, BLANK).otherwise(DUPLICATE)
-    return told.select("conv", "turn", "role", "lead", "mark", "copies", F.char(65 + 4 * F.col("kind") + fault).alias("one"), F.char(65 + 4 * F.col("kind") + further).alias("more"))
+    signed = told.select("conv", "turn", "role", "lead", "mark", "copies", F.char(65 + 4 * F.col("kind") + fault).alias("one"), F.char(65 + 4 * F.col("kind") + further).alias("more"))
+    return signed, [counted, said]
 
 
 def signatures(turns: DataFrame) -> DataFrame:
-    """(conv, signature, gaps) from prepared turns.
+    """(conv, signature, gaps) from prepared turns, written.
 
     All turns are range-sorted by conversation, number, role and text, so one
     conversation, however long, is spread over tasks, each of which writes its
     part; the parts, a character a turn, are then joined.
     """
-    signed = _signed(turns)
+    signed, sources = _signed(turns)
     conv_kind = signed.schema["conv"].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +231,11 @@ def signatures(turns: DataFrame) -> DataFrame:
     pieces = many.mapInArrow(parts, f"conv {conv_kind}, task int, serial long, piece string, numbers long, low long, high long")
     whole = pieces.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("task", "serial", "piece", "numbers", "low", "high"))).alias("p"))
     numbered = F.filter("p", lambda p: p["low"].isNotNull())
-    return whole.select("conv", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("signature"), numbered.alias("p")).select("conv", "signature", _gaps(F.col("p")).alias("gaps"))
+    rows = whole.select("conv", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("signature"), numbered.alias("p"))
+    out = materialise(rows.select("conv", "signature", _gaps(F.col("p")).alias("gaps")), "signatures")
+    for source in sources:
+        discard(source)
+    return out
 
 
 def _gaps(parts: Column) -> Column:
@@ -267,6 +272,14 @@ def solved(signed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(walk, f"conv {conv_kind}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string")
 
 
+def _answers(turns: DataFrame) -> DataFrame:
+    """A row of answers for each conversation of prepared turns, written."""
+    signed = signatures(turns)
+    out = materialise(solved(signed), "answers")
+    discard(signed)
+    return out
+
+
 class Rewriter:
     """Goes along one conversation's edits with its turns; keeps a place in the edits and whose turn it is."""
 
@@ -331,7 +344,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     if conv_col in _CLASHES:
         raise ValueError(f"the result has a column {conv_col} of its own")
     prepared = _prepared(turns, conv_col, turn_col, role_col, text_col, copies_col)
-    answers = materialise(solved(materialise(signatures(prepared), "signatures")), "answers")
+    answers = _answers(prepared)
     kind = answers.schema["conv"].dataType.simpleString()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +394,7 @@ def repaired_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     if conv_col in ("position", "role", "text", "edit"):
         raise ValueError(f"the result has a column {conv_col} of its own")
     prepared = _prepared(turns, conv_col, turn_col, role_col, text_col, copies_col)
-    answers = materialise(solved(materialise(signatures(prepared), "signatures")), "answers")
+    answers = _answers(prepared)
     kind = answers.schema["conv"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
