@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import dealt
-from ..storage import materialise
+from ..storage import discard, materialise
 
 #: Postings of a block.
 BLOCK = 128
@@ -117,7 +117,7 @@ def outlines(stored: DataFrame) -> DataFrame:
 
 
 def levels(shares: DataFrame, heads: DataFrame, outline: DataFrame, k: int, id_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
-    """(query, term, share, level): blocks beyond the first whose weights are at most the level needn't be read.
+    """(query, term, share, level), written: blocks beyond the first whose weights are at most the level needn't be read.
 
     With every weight at its term's level, the shares of a query's terms add
     up to ``BUDGET`` of the floor. Among such levels those are sought that leave
@@ -134,7 +134,9 @@ def levels(shares: DataFrame, heads: DataFrame, outline: DataFrame, k: int, id_c
     sums = taken.groupBy(id_col, "price").agg(F.sum("cost").alias("cost"), F.sum("gain").alias("gain")).join(floors, id_col)
     price = sums.where(F.col("cost") < F.col("floor") * BUDGET).groupBy(id_col).agg(F.max_by("price", "gain").alias("price"))
     chosen = taken.join(price, [id_col, "price"]).select(id_col, "term", "level")
-    return shares.join(chosen, [id_col, "term"], "left").select(id_col, "term", "share", F.coalesce("level", F.lit(-1.0)).alias("level"))
+    out = materialise(shares.join(chosen, [id_col, "term"], "left").select(id_col, "term", "share", F.coalesce("level", F.lit(-1.0)).alias("level")), "levels")
+    discard(taken)
+    return out
 
 
 def best_documents(impact_rows: DataFrame, vector_rows: DataFrame, idf: DataFrame, terms: DataFrame, k: int, id_col: str = "query_id", doc_col: str = "doc_id", report: bool = False) -> DataFrame:
@@ -147,7 +149,7 @@ def best_documents(impact_rows: DataFrame, vector_rows: DataFrame, idf: DataFram
     words = _few(shares, "term")
     stored = impact_rows if words is None else impact_rows.where(any_of("term", words))
     heads = materialise(stored.where("block = 0").join(shares, "term"), "first-blocks")
-    level = materialise(levels(shares, heads, outlines(stored), k, id_col, doc_col), "levels")
+    level = levels(shares, heads, outlines(stored), k, id_col, doc_col)
     weighed = stored.where("block > 0").join(level, "term")
     above = F.col("top") > F.col("level")
     if report:
@@ -165,6 +167,8 @@ def best_documents(impact_rows: DataFrame, vector_rows: DataFrame, idf: DataFram
     bound = F.col("part") + F.coalesce("unread", F.lit(0.0)) - F.col("seen")
     able = partial.join(floors, id_col, "left").join(unread, id_col, "left").where(F.col("floor").isNull() | (bound >= F.col("floor") * (1 - SLACK))).select(id_col, doc_col)
     able = materialise(able, "able")
+    for done in (heads, level, rest, partial):
+        discard(done)
     ids = _few(able, doc_col)
     own = vector_rows if ids is None else vector_rows.where(any_of(doc_col, ids))
     full = own.join(able, doc_col).select(id_col, doc_col, "weights", F.posexplode("terms").alias("at", "term")).select(id_col, doc_col, "term", F.get("weights", F.col("at")).alias("weight")).join(shares, [id_col, "term"])
