@@ -184,7 +184,7 @@ def main(argv: list[str] | None = None) -> int:
         spelling.choices(spelling.suggest(q, spelling.build_vocabulary(blocks))).show(truncate=False)
     elif a.command == "train":
         rows = vectors.training_records(blocks.where("kind = 'abstract'"), ["doc_id", "block_id"])
-        vectors.save_vectors(vectors.train_words(rows), a.out, writers.collection_fingerprint(docs))
+        vectors.save_vectors(vectors.train_words_sampled(rows), a.out, writers.collection_fingerprint(docs))
     else:
         known = vectors.load_vectors(spark, a.vectors, writers.collection_fingerprint(docs))
         state, found = vectors.neighbours(known, a.query, a.top)
