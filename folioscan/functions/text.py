@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .counts import running_sums
 from .vocabulary import ANALYSIS_STOPWORDS, CELL_LETTERS, CELL_WORDS, LETTER_CONTEXTS, SEARCH_STOPWORDS
 
 # Fixed value: decimals, or runs of letters and digits that inner hyphens and apostrophes hold together.
@@ -30,8 +31,11 @@ def normalize(term: Column) -> Column:
     Equal to ``normalize_exact`` for text in composed form, but for a few
     letters whose case folding is special.
     """
-    folded = F.replace(F.lower(term), F.lit("ß"), F.lit("ss"))
-    return F.translate(folded, "ς’‐‑", "σ'--")
+    folded = F.lower(term)
+    # one search of bytes for each sign: F.translate looks up every letter
+    for sign, plain in (("ß", "ss"), ("ς", "σ"), ("’", "'"), ("‐", "-"), ("‑", "-")):
+        folded = F.replace(folded, F.lit(sign), F.lit(plain))
+    return folded
 
 
 @F.pandas_udf(T.StringType())
@@ -104,19 +108,27 @@ def letter_mask(term: Column) -> Column:
     return out
 
 
+def token_arrays(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """Keys and, of each text that isn't null, the arrays surface, gap (what lies before a token) and end.
+
+    Every letter and digit belongs to some token, so the pieces between
+    matches and the matches make up the text, and offsets are running sums,
+    taken within the row: nothing is exchanged or sorted.
+    """
+    cut = df.where(F.col(text_col).isNotNull()).select(*[F.col(k).alias(k) for k in keys], tokens(F.col(text_col)).alias("surface"), F.split(F.col(text_col), TOKEN, -1).alias("gap"))
+    cut = cut.withColumn("gap", F.slice("gap", F.lit(1), F.size("surface")))
+    return cut.withColumn("end", running_sums(F.zip_with("surface", "gap", lambda t, g: F.length(t) + F.length(g))))
+
+
 def token_table(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """A row for each token: keys, pos (from 1), surface, term, start, end, gap (what lies before it).
 
-    Every letter and digit belongs to some token, so the pieces between
-    matches and the matches make up the text, and offsets are running sums.
     ``keys`` must identify a text. Null texts have no tokens.
     """
-    cut = df.where(F.col(text_col).isNotNull()).select(*[F.col(k).alias(k) for k in keys], tokens(F.col(text_col)).alias("__own"), F.split(F.col(text_col), TOKEN, -1).alias("__gaps"))
-    own = F.arrays_zip(F.col("__own").alias("surface"), F.slice("__gaps", F.lit(1), F.size("__own")).alias("gap"))
-    rows = cut.select(*keys, F.posexplode(own).alias("pos", "t")).select(*keys, (F.col("pos") + 1).alias("pos"), "t.surface", "t.gap")
-    order = Window.partitionBy(*keys).orderBy("pos")
-    end = F.sum(F.length("gap") + F.length("surface")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    placed = rows.withColumn("end", end)
+    # not posexplode, for which Spark makes the array once more to see whether it is empty
+    own = F.arrays_zip("surface", "gap", "end")
+    rows = token_arrays(df, keys, text_col).select(*keys, F.posexplode_outer(own).alias("pos", "t")).where("t IS NOT NULL")
+    placed = rows.select(*keys, (F.col("pos") + 1).alias("pos"), "t.surface", "t.gap", "t.end")
     return placed.select(*keys, "pos", "surface", normalize(F.col("surface")).alias("term"), (F.col("end") - F.length("surface")).alias("start"), "end", "gap")
 
 
@@ -132,29 +144,43 @@ def compound_parts(surface: Column) -> Column:
     return F.aggregate(F.split(surface, _PIECES), start, step, lambda s: s["parts"])
 
 
-def relevance_occurrences(df: DataFrame, keys: list[str], text_col: str = "text", components: bool = True) -> DataFrame:
-    """(keys, term) for each term that ``relevance_tokens`` finds, without its place.
+def relevance_words(df: DataFrame, keys: list[str], text_col: str = "text", components: bool = True) -> DataFrame:
+    """(keys, words): the terms that ``relevance_tokens`` finds in each text that isn't null, as one array.
 
-    A token's neighbours come from shifted arrays of its own text, so nothing
-    is exchanged or sorted. Only tokens with digits or hyphens are taken apart.
+    A token's neighbours are looked up in its own text's arrays, so nothing is
+    exchanged, sorted or made a row. Only tokens with digits or hyphens are
+    taken apart, and only lone letters look at their neighbours.
     """
-    texts = df.where(F.col(text_col).isNotNull()).select(*keys, tokens(F.col(text_col)).alias("all"), F.split(F.col(text_col), TOKEN, -1).alias("gaps")).where(F.size("all") > 0)
-    n = F.size("all")
-    around = F.arrays_zip(
-        F.col("all").alias("surface"), F.concat(F.array(F.lit(None).cast("string")), F.slice("all", F.lit(1), n - 1)).alias("before"), F.slice("all", F.lit(2), n).alias("after"), F.slice("gaps", F.lit(1), n).alias("gap"), F.slice("gaps", F.lit(2), n).alias("gap_after")
-    )
-    rows = texts.select(*keys, F.explode(around).alias("t")).select(*keys, "t.*").withColumn("term", normalize(F.col("surface")))
-    named = F.lit(False)
-    for word, letters in LETTER_CONTEXTS.items():
-        named = named | ((normalize(F.col("before")) == word) & F.col("term").isin(list(letters)))
-    cell = F.col("term").isin(list(CELL_LETTERS)) & normalize(F.col("after")).isin(list(CELL_WORDS))
-    protected = F.when(F.length("term") == 1, (named & F.col("gap").rlike(ALL_SPACE)) | (cell & F.col("gap_after").rlike(ALL_SPACE))).otherwise(F.lit(False))
-    pieces = F.filter(F.split("surface", _PIECES), lambda p: ~p.rlike(rf"^{HYPHEN}?$"))
-    parts = F.when(F.col("surface").rlike(rf"{HYPHEN}|\p{{N}}"), F.transform(pieces, normalize)).otherwise(F.array("term"))
-    apart = rows.select(*keys, F.coalesce(protected, F.lit(False)).alias("protected"), parts.alias("parts"))
-    told = apart.withColumn("telling", F.filter("parts", lambda p: ~p.isin(list(SEARCH_STOPWORDS)) & ~isolated_letter(p))).where(F.col("protected") | (F.size("telling") > 0))
-    whole = F.array(F.array_join("parts", "-"))
-    return told.select(*keys, F.explode(F.when((F.size("parts") > 1) & F.lit(components), F.concat(whole, F.col("telling"))).otherwise(whole)).alias("term"))
+    texts = df.where(F.col(text_col).isNotNull()).select(*keys, tokens(F.col(text_col)).alias("all"), F.split(F.col(text_col), TOKEN, -1).alias("gaps")).withColumn("own", F.transform("all", normalize))
+    none = F.array().cast("array<string>")
+    stop = lambda p: p.isin(list(SEARCH_STOPWORDS))
+
+    def named_once(value: Column, use) -> Column:
+        """``use`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def with_parts(parts: Column, telling: Column) -> Column:
+        whole = F.array(F.array_join(parts, "-"))
+        return F.when(F.size(parts) > 1, F.concat(whole, telling)).otherwise(whole) if components else whole
+
+    def emitted(term: Column, i: Column) -> Column:
+        before, after = F.get("own", i - 1), F.get("own", i + 1)
+        named = F.lit(False)
+        for word, letters in LETTER_CONTEXTS.items():
+            named = named | ((before == word) & term.isin(list(letters)))
+        cell = term.isin(list(CELL_LETTERS)) & after.isin(list(CELL_WORDS))
+        protected = F.coalesce((named & F.get("gaps", i).rlike(ALL_SPACE)) | (cell & F.get("gaps", i + 1).rlike(ALL_SPACE)), F.lit(False))
+        parts = F.transform(F.filter(F.split(F.get("all", i), _PIECES), lambda p: ~p.rlike(rf"^{HYPHEN}?$")), normalize)
+        several = named_once(parts, lambda ps: named_once(F.filter(ps, lambda p: ~stop(p) & ~isolated_letter(p)), lambda telling: F.when(F.size(telling) == 0, none).otherwise(with_parts(ps, telling))))
+        lone = F.when(~isolated_letter(term) & ~stop(term), F.array(term)).when(protected, F.array(term)).otherwise(none)
+        return F.when(term.rlike(r"-|\p{N}") & (F.length(term) > 1), several).when(F.length(term) == 1, lone).when(stop(term), none).otherwise(F.array(term))
+
+    return texts.select(*keys, F.flatten(F.transform("own", emitted)).alias("words"))
+
+
+def relevance_occurrences(df: DataFrame, keys: list[str], text_col: str = "text", components: bool = True) -> DataFrame:
+    """(keys, term) for each term that ``relevance_tokens`` finds, without its place."""
+    return relevance_words(df, keys, text_col, components).select(*keys, F.explode_outer("words").alias("term")).where("term IS NOT NULL")
 
 
 def relevance_tokens(token_rows: DataFrame, keys: list[str], components: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter, text
+from ..functions.counts import counted_rows
 from ..session import dealt
 from ..storage import materialise
 from . import topk
@@ -51,13 +52,45 @@ def postings(terms: DataFrame, doc_col: str = "doc_id", block_col: str = "block_
     return terms.groupBy("term", doc_col).agg(*aggs)
 
 
-def term_frequencies(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc, tf) of a variant, straight from token arrays: no offsets, so no exchange but the count's."""
+def whole_documents(blocks: DataFrame, doc_col: str = "doc_id") -> bool:
+    """Whether every document is one row."""
+    return blocks.count() == blocks.select(doc_col).distinct().count()
+
+
+def term_frequencies(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", text_col: str = "text", whole: bool | None = None) -> DataFrame:
+    """(term, doc, tf) of a variant, counted and stemmed within each row; only documents of several rows need an exchange.
+
+    ``whole`` says that each document is one row; it is looked up if not given.
+    """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant: {variant!r}")
-    rows = text.relevance_occurrences(blocks, [doc_col], text_col) if "relevance" in variant else blocks.select(doc_col, F.explode(text.terms(F.col(text_col))).alias("term"))
-    counted = rows.groupBy("term", doc_col).agg(F.count(F.lit(1)).alias("tf"))
-    return porter.stemmed(counted).groupBy("term", doc_col).agg(F.sum("tf").alias("tf")) if "porter" in variant else counted
+    words = text.relevance_words(blocks, [doc_col], text_col) if "relevance" in variant else blocks.select(doc_col, text.terms(F.col(text_col)).alias("words"))
+    rows = counted_rows(words, [doc_col], "words", "porter" in variant).select("term", doc_col, "tf")
+    whole = whole_documents(blocks, doc_col) if whole is None else whole
+    return rows if whole else rows.groupBy("term", doc_col).agg(F.sum("tf").alias("tf"))
+
+
+def joined_terms(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """``rows`` with what ``values`` (term, df, ...) has of their terms.
+
+    The terms of the highest df, ``BROADCAST_TERMS`` at most, go to all tasks.
+    They have nearly all postings, so few postings are exchanged, however
+    many terms there are.
+    """
+    if values.count() <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(values), "term")
+    # no more different df than the root of twice the postings
+    left, least = BROADCAST_TERMS, None
+    for df, n in sorted(values.groupBy("df").count().collect(), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = df
+    if least is None:
+        return rows.join(values, "term")
+    common = F.broadcast(values.where(F.col("df") >= least))
+    others = rows.join(common, "term", "left_anti").join(values.where(F.col("df") < least), "term")
+    return rows.join(common, "term").unionByName(others)
 
 
 def inverse_document_frequency(posting_rows: DataFrame, n_documents: int) -> DataFrame:
@@ -69,8 +102,7 @@ def inverse_document_frequency(posting_rows: DataFrame, n_documents: int) -> Dat
 def document_norms(posting_rows: DataFrame, idf: DataFrame, documents: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc, norm) of every document, those without terms included: 0."""
     weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    few = idf.select("term", "idf") if idf.count() > BROADCAST_TERMS else F.broadcast(idf.select("term", "idf"))
-    own = posting_rows.join(few, "term").groupBy(doc_col).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    own = joined_terms(posting_rows, idf).groupBy(doc_col).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
     return documents.select(doc_col).distinct().join(own, doc_col, "left").select(doc_col, F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
@@ -109,7 +141,7 @@ def build_index(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_i
     texts that aren't in composed form; queries then need it as well.
     """
     n = blocks.select(doc_col).distinct().count()
-    rows = postings(located_terms(blocks, variant, doc_col, block_col, text_col), doc_col, block_col) if locations else term_frequencies(blocks, variant, doc_col, text_col)
+    rows = postings(located_terms(blocks, variant, doc_col, block_col, text_col), doc_col, block_col) if locations else term_frequencies(blocks, variant, doc_col, text_col, blocks.count() == n)
     rows = materialise(rows, "postings")
     rows = with_exact_terms(rows, doc_col) if exact else rows
     idf = materialise(inverse_document_frequency(rows, n), "idf")
@@ -121,7 +153,7 @@ def rules() -> dict:
     from ..functions import vocabulary
 
     words = {name: hashlib.sha256(json.dumps(getattr(vocabulary, name), sort_keys=True).encode()).hexdigest() for name in ("CELL_LETTERS", "CELL_WORDS", "LETTER_CONTEXTS", "SEARCH_STOPWORDS")}
-    sign = {name: hashlib.sha256(inspect.getsource(f).encode()).hexdigest() for name, f in (("normalize", text.normalize), ("stem", porter.stem_word), ("relevance", text.relevance_occurrences))}
+    sign = {name: hashlib.sha256(inspect.getsource(f).encode()).hexdigest() for name, f in (("normalize", text.normalize), ("stem", porter.stem_word), ("relevance", text.relevance_words))}
     return {"version": INDEX_VERSION, "token": text.TOKEN, "space": text.SPACE, "hyphen": text.HYPHEN, **words, **sign}
 
 

@@ -21,11 +21,27 @@ BROADCAST_PLACES = 200_000
 
 def token_pairs(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, pos, term, next, start, end, next_end of each token; next is null where a sign follows, or nothing."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    spaced = F.lead("gap").over(order).rlike(text.ALL_SPACE)
-    rows = text.token_table(df, keys, text_col)
-    paired = rows.withColumns({"spaced": spaced, "after": F.lead("term").over(order), "after_end": F.lead("end").over(order)})
-    return paired.select(*keys, "pos", "term", F.when(F.col("spaced"), F.col("after")).alias("next"), "start", "end", F.when(F.col("spaced"), F.col("after_end")).alias("next_end"))
+    n = F.size("surface")
+    shifted = text.token_arrays(df, keys, text_col).select(
+        *keys, F.posexplode_outer(F.arrays_zip("surface", "end", F.slice("surface", F.lit(2), n).alias("after"), F.slice("gap", F.lit(2), n).alias("between"), F.slice("end", F.lit(2), n).alias("after_end"))).alias("pos", "t")
+    )
+    rows = shifted.where("t IS NOT NULL").select(*keys, (F.col("pos") + 1).alias("pos"), "t.*").withColumn("spaced", F.col("between").rlike(text.ALL_SPACE))
+    follows = lambda x: F.when(F.col("spaced"), x)
+    return rows.select(*keys, "pos", text.normalize(F.col("surface")).alias("term"), follows(text.normalize(F.col("after"))).alias("next"), (F.col("end") - F.length("surface")).alias("start"), "end", follows(F.col("after_end")).alias("next_end"))
+
+
+def scanned_pairs(df: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text", id_col: str = "query_id") -> DataFrame:
+    """The token pairs that stated phrases are made of, found by looking through every text once and written: what ``pair_matches`` reads of an index.
+
+    For a batch that is asked once, which costs less than writing an index of
+    all pairs. Pairs beyond ``BROADCAST_PLACES`` are met by a shuffle join.
+    """
+    asked = query_pairs(terms, id_col).select("term", "next").distinct()
+    single = terms.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.first("term").alias("term")).where("n = 1").select("term", F.lit(None).cast("string").alias("next"))
+    wanted = materialise(asked.unionByName(single.distinct()).select(F.col("term").alias("__term"), F.col("next").alias("__next")), "asked-pairs")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_PLACES else wanted
+    met = (F.col("term") == F.col("__term")) & (F.col("__next").isNull() | (F.col("next") == F.col("__next")))
+    return materialise(token_pairs(df, keys, text_col).join(few, met, "left_semi"), "scanned-pairs")
 
 
 def write_pairs(rows: DataFrame, path: str, buckets: int) -> None:
