@@ -1,10 +1,9 @@
 """Corpus analysis under four preprocessing conditions.
 
 A: white-space tokens; B: word tokens; C: B without stopwords; D: C stemmed.
-One pass over the texts counts the terms of A and B, summed up before the one
-exchange by term, and the counts are written once. C is a filter of B's counts,
-and D regroups them by stem. Only the document frequency of a stem that
-several terms share needs the texts again.
+One pass over the texts counts terms and stems within each row, so that a text
+gives one row for each distinct term, and these are summed up in one exchange
+by term. C is a filter of B's counts.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import porter, text
+from ..functions.counts import counted_kinds, distinct_stems
 from ..functions.vocabulary import ANALYSIS_STOPWORDS, REPRESENTATIVE_TERMS, SELECTED_DOMAIN_TERMS
 from ..storage import materialise
 
@@ -79,6 +79,21 @@ def _in_exact_form(counted: DataFrame, own: DataFrame, kinds: tuple[str, ...], d
     return materialise(merged.select("condition", F.col("to").alias("term"), "cf", F.coalesce("held", "df").alias("df")), "exact-counts"), few
 
 
+def _row_counts(docs: DataFrame, kinds: list[str], text_col: str, conditions: tuple[str, ...]) -> DataFrame:
+    """(condition, term, cf, df), from terms that were counted and stemmed within their row: a text gives one row for each of its distinct terms, whatever the conditions."""
+    none = F.array().cast("array<string>")
+    lists = docs.select(text.normalize(F.col(text_col)).alias("t")).select(
+        (text.whitespace_tokens(F.col("t")) if "A" in kinds else none).alias("a"), (text.tokens(F.col("t")) if "B" in kinds else none).alias("b")
+    )
+    stems = text.without_stopwords(F.col("b")) if "D" in conditions else none
+    rows = counted_kinds(lists.withColumn("d", stems), "a", "b", "d")
+    summed = materialise(rows.groupBy("term").agg(*[f for k in "abd" for f in (F.sum(k).alias(k), F.count_if(F.col(k) > 0).alias(f"{k}_df"))]), "term-counts")
+    stop = F.col("term").isin(list(ANALYSIS_STOPWORDS))
+    of = {"A": ("a", F.lit(True)), "B": ("b", F.lit(True)), "C": ("b", ~stop), "D": ("d", F.lit(True))}
+    each = [F.when((F.col(k) > 0) & held, F.struct(F.lit(c).alias("condition"), F.col(k).alias("cf"), F.col(f"{k}_df").alias("df"))) for c, (k, held) in of.items() if c in conditions]
+    return summed.select("term", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL").select("x.condition", "term", "x.cf", "x.df")
+
+
 def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS, exact: bool = False) -> DataFrame:
     """(condition, term, cf, df) of all documents, written once; ``docs`` has a row for each document.
 
@@ -86,6 +101,8 @@ def corpus_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "tex
     hold decomposed letters or letters whose folding is special.
     """
     kinds = _kinds(conditions)
+    if not exact:
+        return _row_counts(docs, kinds, text_col, conditions)
     # columns of their own, so that a text is cut once for each condition
     own = docs.select(doc_col, *[text.condition_terms(F.col(text_col), k).alias(k) for k in kinds])
     one = lambda k, terms, cf, df: F.struct(F.lit(k).alias("condition"), terms.alias("terms"), F.lit(cf).alias("cf"), F.lit(df).alias("df"))
@@ -138,24 +155,17 @@ def ranked_terms(counts: DataFrame, n_documents: int, with_size: bool = False) -
 def document_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", conditions: tuple[str, ...] = text.CONDITIONS) -> DataFrame:
     """(condition, doc, tokens, unique_terms) of every document, zeros included.
 
-    Counted within the row but for the stems: a document's distinct stems are
-    its distinct terms less those that share a stem with another of them.
+    Counted and stemmed within the row: nothing is exchanged.
     """
     kinds = _kinds(conditions)
-    terms = {k: text.condition_terms(F.col(text_col), k) for k in kinds}
-    if {"C", "D"} & set(conditions):
-        terms["C"] = text.without_stopwords(terms["B"])
     size = lambda x: F.greatest(F.size(x), F.lit(0)).cast("long")
-    one = lambda c: F.struct(F.lit(c).alias("condition"), size(terms["C" if c == "D" else c]).alias("tokens"), size(F.array_distinct(terms["C" if c == "D" else c])).alias("unique_terms"))
-    rows = docs.select(doc_col, F.explode(F.array(*[one(c) for c in conditions])).alias("x")).select("x.condition", doc_col, "x.tokens", "x.unique_terms")
-    if "D" not in conditions:
-        return rows
-    own = docs.select(doc_col, F.explode(F.array_distinct(terms["C"])).alias("term"))
-    vocabulary = materialise(porter.stems(own.select("term").distinct()), "stems")
-    twice = own.join(_shared_stems(vocabulary), "term").groupBy(doc_col, "stem").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0").groupBy(doc_col).agg(F.sum("more").alias("more"))
-    twice = twice.select(F.col(doc_col).alias("__doc"), "more")
-    less = F.when(F.col("condition") == "D", F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
-    return rows.join(twice, F.col(doc_col).eqNullSafe(F.col("__doc")), "left").select("condition", doc_col, "tokens", (F.col("unique_terms") - less).alias("unique_terms"))
+    own = docs.select(doc_col, text.normalize(F.col(text_col)).alias("t")).select(doc_col, *[(text.whitespace_tokens(F.col("t")) if k == "A" else text.tokens(F.col("t"))).alias(k) for k in kinds])
+    if {"C", "D"} & set(conditions):
+        own = own.withColumn("C", text.without_stopwords(F.col("B")))
+    unique = lambda c: distinct_stems(F.col("C")) if c == "D" else size(F.array_distinct(c))
+    sizes = own.select(doc_col, *[x for c in conditions for x in (size(F.col("C" if c == "D" else c)).alias(f"n_{c}"), unique(c).alias(f"u_{c}"))])
+    one = lambda c: F.struct(F.lit(c).alias("condition"), F.col(f"n_{c}").alias("tokens"), F.col(f"u_{c}").alias("unique_terms"))
+    return sizes.select(doc_col, F.explode(F.array(*map(one, conditions))).alias("x")).select("x.condition", doc_col, "x.tokens", "x.unique_terms")
 
 
 def _share(a: Column, b: Column) -> Column:
