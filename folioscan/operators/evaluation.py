@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import Index
+from ..storage import materialise
+from .index import Index, joined_terms
+from .search import asked_postings, known_terms
 
 # Idf formulas that a ranking is compared under, by name; n and df are counts.
 WEIGHTINGS = {
@@ -46,21 +48,23 @@ def weighting_profiles(index: Index, terms: DataFrame, top: int = 10, id_col: st
     take log10 of term frequencies.
     """
     n = F.lit(float(index.n_documents))
-    out = None
-    for name, idf in WEIGHTINGS.items():
-        log = F.log10 if name == "lecture_log10" else F.log
-        weights = index.idf.select("term", idf(n, F.col("df").cast("double")).alias("idf"))
-        own = index.postings.select("term", index.doc_col, "tf").join(weights, "term").withColumn("w", (F.lit(1.0) + log(F.col("tf").cast("double"))) * F.col("idf"))
-        norms = own.groupBy(index.doc_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        q = terms.select(id_col, "term").distinct().join(weights, "term")
-        q_norm = q.groupBy(id_col).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("q_norm"))
-        dots = q.select(id_col, "term", F.col("idf").alias("q")).join(own, "term").groupBy(id_col, index.doc_col).agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-        score = F.when(F.col("q_norm") * F.col("norm") > 0, F.least(F.lit(1.0), F.col("dot") / (F.col("q_norm") * F.col("norm")))).otherwise(F.lit(0.0))
-        scored = dots.join(q_norm, id_col).join(norms, index.doc_col).select(id_col, F.lit(name).alias("weighting"), index.doc_col, score.alias("score"))
-        rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.round("score", 9).desc(), index.doc_col))
-        one = scored.withColumn("rank", rank).where(F.col("rank") <= top)
-        out = one if out is None else out.unionByName(one)
-    return out.select(id_col, "weighting", "rank", index.doc_col, "score")
+    names = list(WEIGHTINGS)
+    idf = [WEIGHTINGS[w](n, F.col("df").cast("double")) for w in names]
+    w = [(F.lit(1.0) + (F.log10 if name == "lecture_log10" else F.log)(F.col("tf").cast("double"))) * x for name, x in zip(names, idf, strict=True)]
+    # all weightings at once: postings are read for the norms, and those of the query's terms for the scores
+    norms = joined_terms(index.postings.select("term", index.doc_col, "tf"), index.idf.select("term", "df")).groupBy(index.doc_col).agg(*[F.sqrt(F.sum(x * x)).alias(f"norm_{i}") for i, x in enumerate(w)])
+    q = materialise(known_terms(index, terms, id_col), "weighted-terms")
+    q_norms = q.groupBy(id_col).agg(*[F.sqrt(F.sum(x * x)).alias(f"q_{i}") for i, x in enumerate(idf)])
+    dots = asked_postings(index, q).groupBy(id_col, index.doc_col).agg(*[F.sum(x * y).alias(f"dot_{i}") for i, (x, y) in enumerate(zip(idf, w, strict=True))])
+
+    def score(i: int) -> Column:
+        under = F.col(f"q_{i}") * F.col(f"norm_{i}")
+        return F.when(under > 0, F.least(F.lit(1.0), F.col(f"dot_{i}") / under)).otherwise(F.lit(0.0))
+
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("weighting"), score(i).alias("score")) for i, name in enumerate(names)]))
+    scored = dots.join(q_norms, id_col).join(norms, index.doc_col).select(id_col, index.doc_col, each.alias("x")).select(id_col, "x.weighting", index.doc_col, "x.score")
+    rank = F.row_number().over(Window.partitionBy(id_col, "weighting").orderBy(F.round("score", 9).desc(), index.doc_col))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(id_col, "weighting", "rank", index.doc_col, "score")
 
 
 def ranking_overlap(profiles: DataFrame, base: str = "legacy", id_col: str = "query_id", doc_col: str = "doc_id") -> DataFrame:
