@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.counts import counted_rows
 from ..storage import materialise
 
 #: Signatures of query words up to which they go to all tasks (some 60 bytes each); beyond, a shuffle join.
@@ -32,8 +33,9 @@ def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
 
 
 def build_vocabulary(blocks: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, cf) over all word tokens."""
-    return blocks.select(F.explode(text.tokens(F.col(text_col))).alias("t")).groupBy(text.normalize(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("cf"))
+    """(term, cf) over all word tokens, which are counted within their row first."""
+    rows = counted_rows(blocks.select(text.terms(F.col(text_col)).alias("own")), [], "own")
+    return rows.groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
 def prepared(vocabulary: DataFrame) -> DataFrame:
@@ -124,6 +126,8 @@ def candidates(words: DataFrame, vocabulary: DataFrame, top: int = SUGGESTIONS)
 
 def suggest(queries: DataFrame, vocabulary: DataFrame, id_col: str = "query_id", query_col: str = "query") -> DataFrame:
     """For each query: suggested_query, changes, protected and unresolved words. The query itself is never altered."""
+    # read twice: for words that are known, and for candidates
+    vocabulary = materialise(vocabulary, "vocabulary")
     words = query_words(queries, vocabulary, id_col, query_col)
     near = candidates(words.where("reason IS NULL").select(F.col("term").alias("word")), vocabulary)
     best = near.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "distance", "cf"))).alias("candidates"))
