@@ -57,6 +57,11 @@ def whole_documents(blocks: DataFrame, doc_col: str = "doc_id") -> bool:
     return blocks.count() == blocks.select(doc_col).distinct().count()
 
 
+def row_words(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, words): the array of each row's terms, not yet stemmed."""
+    return text.relevance_words(blocks, [doc_col], text_col) if "relevance" in variant else blocks.select(doc_col, text.terms(F.col(text_col)).alias("words"))
+
+
 def term_frequencies(blocks: DataFrame, variant: str = "plain", doc_col: str = "doc_id", text_col: str = "text", whole: bool | None = None) -> DataFrame:
     """(term, doc, tf) of a variant, counted and stemmed within each row; only documents of several rows need an exchange.
 
@@ -64,8 +69,7 @@ def term_frequencies(blocks: DataFrame, variant: str = "plain", doc_col: str = "
     """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant: {variant!r}")
-    words = text.relevance_words(blocks, [doc_col], text_col) if "relevance" in variant else blocks.select(doc_col, text.terms(F.col(text_col)).alias("words"))
-    rows = counted_rows(words, [doc_col], "words", "porter" in variant).select("term", doc_col, "tf")
+    rows = counted_rows(row_words(blocks, variant, doc_col, text_col), [doc_col], "words", "porter" in variant).select("term", doc_col, "tf")
     whole = whole_documents(blocks, doc_col) if whole is None else whole
     return rows if whole else rows.groupBy("term", doc_col).agg(F.sum("tf").alias("tf"))
 

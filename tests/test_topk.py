@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import index, search, topk
+from folioscan import queries as queries_module
+from folioscan.operators import index, scan, search, topk
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +92,45 @@ def test_an_index_of_nothing(spark, tmp_path):
     q = spark.createDataFrame([(1, "a b")], "query_id int, query string")
     assert search.search_batch(own, q, "OR", ranking="tfidf", limit=5).count() == 0
     assert search.search_batch(own, q, "PHRASE", token_rows=index.read_tokens(spark, str(tmp_path / "i"))).count() == 0
+
+
+def _scanned(corpus, queries, k, **kw):
+    return search.ranked(scan.best_documents(corpus, search.parse_queries(queries, "OR"), k, **kw), "doc_id", k)
+
+
+@pytest.mark.parametrize("k", [1, 10, 5000])
+def test_one_reading_equals_scoring_every_posting(corpus, own, queries, k, monkeypatch):
+    # several blocks of queries, and stretches of few documents
+    monkeypatch.setattr(scan, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(scan, "PARTS", 50)
+    plain = index.Index(own.variant, own.postings, own.idf, own.norms, own.n_documents)
+    want = search.search_batch(plain, queries, "OR", ranking="tfidf", limit=k).collect()
+    got = _scanned(corpus, queries, k).collect()
+    key = lambda r: (r.query_id, r["rank"])
+    assert [(*key(r), r.score) for r in sorted(got, key=key)] == [(*key(r), pytest.approx(r.score, abs=1e-11)) for r in sorted(want, key=key)]
+
+
+def test_one_reading_keeps_ties_in_order_and_counts_a_document_of_several_rows_once(spark, corpus):
+    q = spark.createDataFrame([(1, "w7 w9 w11"), (2, "nothing here")], "query_id int, query string")
+    assert [r.doc_id for r in _scanned(corpus, q, 20).orderBy("rank").collect()] == [f"PMC{2000 + i}" for i in range(20)]
+    rows = spark.createDataFrame([(1, 0, "w1 w2"), (1, 1, "w2 w3"), (2, 0, "w1 w2 w2 w3"), (3, 0, None), (4, 0, "w9")], "doc_id int, block_id int, text string")
+    one, two = _scanned(rows, spark.createDataFrame([(1, "w2 w9")], "query_id int, query string"), 10).where("doc_id < 3").collect()
+    assert one.score == two.score and {one.doc_id, two.doc_id} == {1, 2}
+    assert _scanned(rows.where("doc_id > 9"), q, 10).count() == 0 and _scanned(rows, q.where("query_id = 2"), 10).count() == 0
+
+
+def test_a_batch_asked_once_exchanges_no_postings(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(60))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(20)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    written = []
+    for name in ("write_index", "write_best"):
+        monkeypatch.setattr(index, name, lambda *a, **kw: written.append(a))
+    real = scan.materialise
+    monkeypatch.setattr(scan, "materialise", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    scores = queries_module.QUERIES["batch_search_top10"](spark, str(tmp_path))
+    assert scores.agg(F.sum("n")).first()[0] == 200
+    # a row for each document or term, and ten for each task and query at most
+    assert [name for name, _ in written] == ["document-terms", "idf", "norms", "query-shares", "best"]
+    assert written[-1][1].count() <= 10 * 20 * written[-1][1].rdd.getNumPartitions() * 4
