@@ -83,22 +83,6 @@ def counted_rows(df: DataFrame, keys: list[str], terms_col: str, stemming: bool
     return df.select(*keys, terms_col).mapInArrow(run, ", ".join(filter(None, [schema, "term string, tf bigint"])))
 
 
-def counted_lists(df: DataFrame, keys: list[str], terms_col: str, stemming: bool = False) -> DataFrame:
-    """(keys, terms, tf): each row's distinct terms, stemmed if asked for, and their counts as two arrays, from an array of terms."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                *own, lists = batch.slice(a, ROWS).columns
-                row, terms, tf = count_lists(lists, stemming)
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lists)))]).astype(np.int32))
-                both = [pa.ListArray.from_arrays(ends, terms.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([*own, *both], names=[*keys, "terms", "tf"])
-
-    return df.select(*keys, terms_col).mapInArrow(run, ", ".join(filter(None, [schema, "terms array<string>, tf array<bigint>"])))
-
-
 def counted_kinds(df: DataFrame, a: str, b: str, d: str) -> DataFrame:
     """(term, a, b, d) of each row's distinct terms: how often in the array ``a``, in ``b``, and as a stem in ``d``."""
 
