@@ -104,3 +104,16 @@ def test_weightings_share_their_reading(spark, blocks):
     own = index.build_index(blocks, locations=False)
     rows = evaluation.weighting_profiles(own, search.parse_queries(queries.batch_queries(spark, ("wall runs",)), "OR"))
     assert plan(rows).count("FileScan") <= 6 and rows.count() == 8
+
+
+def test_sentences_are_split_once_for_training(spark, blocks, monkeypatch):
+    rows = vectors.training_records(blocks.select("doc_id", "text"), ["doc_id"])
+    assert [(r.doc_id, r.sentence) for r in rows.collect()] == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    # what gives the ranges their bounds is read twice, so it is the texts
+    p = plan(rows)
+    assert p.index("MapInArrow") < p.index("rangepartitioning")
+    made, gone, real, drop = [], [], vectors.materialise, vectors.discard
+    monkeypatch.setattr(vectors, "materialise", lambda df, name: made.append(real(df, name)) or made[-1])
+    monkeypatch.setattr(vectors, "discard", lambda df: gone.append(df) or drop(df))
+    assert vectors.train_words(rows, size=4, min_count=1, epochs=1).count() > 4
+    assert len(made) == 1 and gone == made and made[0].columns == ["tokens"]
